@@ -43,6 +43,12 @@ def fbeta(precision: Column, recall: Column, beta: float) -> Column:
     return ratio(precision * recall * (1 + b2), precision * b2 + recall)
 
 
+def pearson(x: Column, y: Column) -> Column:
+    """Correlation of the rows where both sides have a value; NULL when a side does not vary."""
+    a, b = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+    return F.covar_pop(a, b) / F.nullif(F.stddev_pop(a) * F.stddev_pop(b), F.lit(0.0))
+
+
 def numeric_columns(df: DataFrame, skip: list[str] | tuple[str, ...] = ()) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType) and f.name not in skip]
 

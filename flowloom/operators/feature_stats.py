@@ -9,7 +9,7 @@ from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import c, is_infinite, is_missing, unpivot_features
+from ..functions.columns import c, is_infinite, is_missing, pearson, unpivot_features
 from ..functions.quantiles import exact_quantiles
 from .labels import binary_label
 
@@ -36,7 +36,7 @@ def correlation_matrix(df: DataFrame, names: list[str]) -> dict[tuple[str, str],
     """
     pairs = [(i, j) for j in range(len(names)) for i in range(j)]
     if len(pairs) <= DIRECT_PAIRS:
-        row = df.agg(*[F.corr(c(names[i]).cast("double"), c(names[j]).cast("double")).alias(f"r{n}")
+        row = df.agg(*[pearson(c(names[i]).cast("double"), c(names[j]).cast("double")).alias(f"r{n}")
                        for n, (i, j) in enumerate(pairs)]).first()
         values = {(names[i], names[j]): row[f"r{n}"] for n, (i, j) in enumerate(pairs)}
     else:
@@ -102,12 +102,12 @@ def quick_importance(df: DataFrame, names: list[str], label: str = "Label") -> D
         F.when(is_infinite(c(n)) | is_missing(c(n)), 0.0).otherwise(c(n).cast("double")).alias(n) for n in names])
     stats = zeroed.agg(*[
         F.struct(
-            F.lit(n).alias("feature"), F.corr(c(n), F.col("_y")).alias("r"),
+            F.lit(n).alias("feature"), pearson(c(n), F.col("_y")).alias("r"),
             F.var_pop(c(n)).alias("v"), F.max(F.abs(c(n))).alias("top"),
         ).alias(f"s{i}") for i, n in enumerate(names)
     ])
     long = stats.select(F.inline(F.array(*[F.col(f"s{i}") for i in range(len(names))])))
-    r = F.coalesce(F.nanvl(F.abs("r"), F.lit(0.0)), F.lit(0.0))
+    r = F.coalesce(F.abs("r"), F.lit(0.0))
     spread = F.when(F.col("top") > 0, F.col("v") / (F.col("top") * F.col("top"))).otherwise(0.0)
     return long.select("feature", (r * 0.7 + F.least(spread, F.lit(1.0)) * 0.3).alias("importance")).orderBy(
         F.desc("importance"), "feature")

@@ -11,8 +11,6 @@ from ..functions.columns import c, fbeta, ratio
 from ..functions.quantiles import exact_quantiles
 from ..functions.running import with_running_totals
 
-EVERYTHING = W.partitionBy()
-
 
 def _cells(truth: str = "y_true", pred: str = "y_pred") -> list[Column]:
     t, p = F.col(truth), F.col(pred)
@@ -221,6 +219,11 @@ def acceptance_checks(scores: DataFrame, model: str, file: str, benign_file, ddo
 
 def detection_matrix(df: DataFrame, model: str, capture: str, models: list, attack: Column) -> DataFrame:
     """Per capture, and in total (`capture` NULL): flows, attacks and detection rate for every model."""
-    return df.rollup(capture).pivot(model, models).agg(
-        F.count("*").alias("flows"), F.count_if(attack).alias("attacks"),
-        (ratio(F.count_if(attack), F.count("*")) * 100).alias("rate"))
+    cells = []
+    for m in models:
+        mine = F.col(model) == m
+        cells += [
+            F.count_if(mine).alias(f"{m}_flows"), F.count_if(mine & attack).alias(f"{m}_attacks"),
+            (ratio(F.count_if(mine & attack), F.count_if(mine)) * 100).alias(f"{m}_rate"),
+        ]
+    return df.rollup(capture).agg(*cells)

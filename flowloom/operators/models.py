@@ -57,8 +57,8 @@ def random_forest(**params) -> RandomForestClassifier:
 
 def boosted_trees(preset: str = "xgboost", validation: str | None = None, **params) -> GBTClassifier:
     """Boosted trees. With a boolean `validation` column, rounds stop once its loss no longer improves."""
-    gbt = GBTClassifier(weightCol="weight", **{"seed": 42, **GBT_PRESETS[preset], **params})
-    return gbt.setValidationIndicatorCol(validation).setValidationTol(1e-4) if validation else gbt
+    early = {"validationIndicatorCol": validation, "validationTol": 1e-4} if validation else {}
+    return GBTClassifier(weightCol="weight", **{"seed": 42, **GBT_PRESETS[preset], **early, **params})
 
 
 def train(df: DataFrame, features: list[str], label: str, learner, extra: list[str] = ()) -> PipelineModel:

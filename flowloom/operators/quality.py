@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..constants import CALIBRATION_CATEGORIES, CRITICAL_FEATURES, DEFAULT_TOLERANCE, FEATURES, TOLERANCES
 from ..constants import VALIDATION_CATEGORIES
-from ..functions.columns import c, finite, ratio, unpivot_features
+from ..functions.columns import c, finite, pearson, ratio, unpivot_features
 from ..functions.quantiles import exact_quantiles
 from ..functions.running import with_running_totals
 from .clean import find_column
@@ -35,6 +35,22 @@ def coverage_report(df: DataFrame, selected: list[str] = FEATURES) -> DataFrame:
     }).withColumn("is_valid", (F.col("pass_rate") >= 80) & (F.col("critical_missing") == 0))
 
 
+def coverage_by_file(headers: DataFrame, selected: list[str] = FEATURES) -> DataFrame:
+    """The same report for many files at once, from their `(file, name)` header rows."""
+    wanted = F.broadcast(headers.sparkSession.createDataFrame(  # one row per wanted feature
+        [(n.strip().lower(), n in CRITICAL_FEATURES) for n in selected], "known string, critical boolean"))
+    total, total_critical = len(selected), sum(n in CRITICAL_FEATURES for n in selected)
+    names = headers.select("file", F.lower(F.trim("name")).alias("known")).distinct()
+    out = names.join(wanted, "known", "left").groupBy("file").agg(
+        F.count("critical").alias("passed"), F.count_if("critical").alias("critical_found"))
+    out = out.withColumns({
+        "total": F.lit(total).cast("long"), "missing": F.lit(total) - F.col("passed"),
+        "critical_missing": F.lit(total_critical) - F.col("critical_found"),
+        "pass_rate": F.col("passed") * 100.0 / total})
+    return out.drop("critical_found").withColumn(
+        "is_valid", (F.col("pass_rate") >= 80) & (F.col("critical_missing") == 0))
+
+
 # --------------------------------------------------------------------------- tolerances
 
 def tolerance_table(df_or_spark, categories: dict = VALIDATION_CATEGORIES) -> DataFrame:
@@ -216,8 +232,7 @@ def paired_correlation(pairs: DataFrame, a: str, b: str, min_rows: int = 10) ->
     """Pearson r of two columns of one table, NULL with `min_rows` rows or fewer."""
     x, y = finite(c(a).cast("double")), finite(c(b).cast("double"))
     both = pairs.select(x.alias("x"), y.alias("y")).where("x is not null and y is not null")
-    r = F.corr("x", "y")
-    return both.agg(F.when((F.count("*") > min_rows) & ~F.isnan(r), r).alias("correlation"))
+    return both.agg(F.when(F.count("*") > min_rows, pearson(F.col("x"), F.col("y"))).alias("correlation"))
 
 
 KS_TERMS = 100
@@ -243,7 +258,7 @@ def ks_two_sample(a: DataFrame, b: DataFrame, value: str) -> DataFrame:
         lambda acc, k: acc + F.when(k % 2 == 1, 2.0).otherwise(-2.0) * F.exp(z * z * k * k * -2))
     return out.withColumns({
         "ks_pvalue": F.when(z < 0.2, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), tail))),
-        "n_a": F.lit(sizes.n), "n_b": F.lit(sizes.m)})
+        "n_a": F.lit(sizes.n).cast("long"), "n_b": F.lit(sizes.m).cast("long")})
 
 
 def high_discrepancy(drift: DataFrame) -> DataFrame:
