@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import functools
 import tempfile
 import uuid
 
@@ -25,15 +25,19 @@ def pin_small(df: DataFrame, max_rows: int = SMALL_ROWS):
     return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema)), rows
 
 
+@functools.cache
+def _local_dir() -> str:
+    return tempfile.mkdtemp(prefix="spark-")
+
+
 def _shared_dir(spark: SparkSession) -> str:
+    """The folder the session names; a temporary one only where all executors are this process."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-    local = os.path.join(tempfile.gettempdir(), f"spark-flowloom-{os.getpid()}")
-    spark.conf.set("spark.checkpoint.dir", local)
-    return local
+    return _local_dir()
 
 
 def stabilise(df: DataFrame) -> DataFrame:
