@@ -29,7 +29,7 @@ def finite(col: Column) -> Column:
 
 
 def any_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions, F.lit(False))
+    return reduce(lambda a, b: a | b, conditions) if conditions else F.lit(False)
 
 
 def ratio(numerator: Column, denominator: Column, otherwise: float = 0.0) -> Column:

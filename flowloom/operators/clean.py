@@ -130,7 +130,7 @@ def model_ready(df: DataFrame, selected: list[str], target: str = "Label_Binary"
 def check_contract(df: DataFrame, required: list[str] = (), min_rows: int = 1) -> list[str]:
     """Problems with a table, empty when it has the required columns and enough rows."""
     problems = [f"missing column: {n}" for n in required if n not in df.columns]
-    if df.limit(min_rows).count() < min_rows:
+    if len(df.select(F.lit(1)).take(min_rows)) < min_rows:
         problems.append(f"fewer than {min_rows} rows")
     return problems
 

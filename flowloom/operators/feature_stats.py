@@ -13,7 +13,7 @@ from ..functions.columns import c, is_infinite, is_missing, pearson, unpivot_fea
 from ..functions.quantiles import exact_quantiles
 from .labels import binary_label
 
-DIRECT_PAIRS = 64
+DIRECT_PAIRS = 32
 
 
 def variances(df: DataFrame, names: list[str]) -> DataFrame:
@@ -31,19 +31,29 @@ def variance_filter(df: DataFrame, names: list[str], threshold: float = 0.0) ->
 def correlation_matrix(df: DataFrame, names: list[str]) -> dict[tuple[str, str], float | None]:
     """Pearson r for every pair i < j; None where it is undefined.
 
-    Few pairs are one aggregation. Many pairs take the vector form, which
-    computes the whole matrix in one distributed pass.
+    A first pass finds columns that do not vary and columns with gaps. Few pairs
+    are then one aggregation. Many pairs take the vector form, which computes the
+    whole matrix of the gapless columns in one distributed pass.
     """
-    pairs = [(i, j) for j in range(len(names)) for i in range(j)]
-    if len(pairs) <= DIRECT_PAIRS:
-        row = df.agg(*[pearson(c(names[i]).cast("double"), c(names[j]).cast("double")).alias(f"r{n}")
-                       for n, (i, j) in enumerate(pairs)]).first()
-        values = {(names[i], names[j]): row[f"r{n}"] for n, (i, j) in enumerate(pairs)}
-    else:
-        plain = df.select(*[c(n).cast("double").alias(f"f{i}") for i, n in enumerate(names)])
+    pairs = [(a, b) for j, b in enumerate(names) for a in names[:j]]
+    first = df.agg(F.count("*").alias("n"), *[f(c(n).cast("double")).alias(f"{tag}{i}") for i, n in enumerate(names)
+                                              for tag, f in (("v", F.var_pop), ("c", F.count))]).first()
+    varies = {n for i, n in enumerate(names) if first[f"v{i}"]}
+    full = [n for i, n in enumerate(names) if n in varies and first[f"c{i}"] == first.n]
+    values: dict[tuple[str, str], float | None] = dict.fromkeys(pairs)
+    left = [p for p in pairs if varies.issuperset(p)]
+    if len(left) > DIRECT_PAIRS:
+        plain = df.select(*[c(n).cast("double").alias(f"f{i}") for i, n in enumerate(full)])
         vectors = VectorAssembler(inputCols=plain.columns, outputCol="v").transform(plain).select("v")
         matrix = Correlation.corr(vectors, "v").first()[0].toArray()
-        values = {(names[i], names[j]): float(matrix[i, j]) for i, j in pairs}
+        values |= {(a, b): float(matrix[i, j]) for j, b in enumerate(full) for i, a in enumerate(full[:j])}
+        left = [p for p in left if not set(full).issuperset(p)]
+    for at in range(0, len(left), DIRECT_PAIRS):
+        part = left[at:at + DIRECT_PAIRS]
+        row = df.agg(*[
+            (F.corr if set(full).issuperset((a, b)) else pearson)(c(a).cast("double"), c(b).cast("double")).alias(f"r{n}")
+            for n, (a, b) in enumerate(part)]).first()
+        values |= {p: row[f"r{n}"] for n, p in enumerate(part)}
     return {k: None if v is None or math.isnan(v) else v for k, v in values.items()}
 
 

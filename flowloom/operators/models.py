@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 import time
 
@@ -14,9 +15,11 @@ from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.bounded import pin_small
 from ..functions.columns import c
-from .labels import with_class_weight
+from .labels import class_weights
 
+MAX_CLASSES = 1_000
 # The forest that ranks features.
 IMPORTANCE_FOREST = {"numTrees": 100, "maxDepth": 10, "minInstancesPerNode": 50, "seed": 42}
 # Search spaces, (kind, low, high) or a list of choices, in Spark ML terms.
@@ -45,14 +48,24 @@ def assembler(features: list[str]) -> VectorAssembler:
     return VectorAssembler(inputCols=features, outputCol="features", handleInvalid="error")
 
 
-def training_table(df: DataFrame, features: list[str], label: str, extra: list[str] = ()) -> DataFrame:
-    """Features, `label` as double and the balanced `weight`."""
+def training_table(df: DataFrame, features: list[str], label: str, extra: list[str] = (),
+                   rows_per_partition: int = 2_000_000) -> DataFrame:
+    """Features, `label` as double and the balanced `weight`.
+
+    Training passes over the table dozens of times, so its slim rows are first
+    dealt evenly: over all cores, or into more parts when the table is long.
+    """
     slim = df.select(*[c(n) for n in features], c(label).cast("double").alias("label"), *[c(n) for n in extra])
-    return with_class_weight(slim)
+    weights, classes = pin_small(class_weights(slim), MAX_CLASSES)
+    if classes is None:
+        raise ValueError(f"more than {MAX_CLASSES} classes in {label!r}")
+    parts = max(df.sparkSession.sparkContext.defaultParallelism,
+                math.ceil(sum(r.n for r in classes) / rows_per_partition))
+    return slim.repartition(parts).join(weights.drop("n"), "label")
 
 
 def random_forest(**params) -> RandomForestClassifier:
-    return RandomForestClassifier(weightCol="weight", **{"seed": 42, "cacheNodeIds": True, **params})
+    return RandomForestClassifier(weightCol="weight", **{"seed": 42, **params})
 
 
 def boosted_trees(preset: str = "xgboost", validation: str | None = None, **params) -> GBTClassifier:

@@ -18,7 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.columns import c
+from ..functions.bounded import stabilise
+from ..functions.columns import any_of, c
 
 HASH_DIGITS = 4
 MAX_CLASSES = 1_000
@@ -37,9 +38,10 @@ def cut_by_rank(df: DataFrame, by: str | None, key: str, seed: int,
     """
     class_col = c(by) if by is not None else F.lit(0)
     hashed = df.withColumns({"_class": class_col, "_hash": hash_order(key, seed)}).withColumn(
-        "_bucket", F.conv(F.substring("_hash", 1, digits), 16, 10).cast("int"))
+        "_bucket", F.substring("_hash", 1, digits))
     counts = hashed.groupBy("_class", "_bucket").agg(F.count("*").alias("n"))
-    totals = {r["_class"]: r.n for r in counts.groupBy("_class").agg(F.sum("n").alias("n"))
+    per_bucket = stabilise(counts)  # a small table, used twice: one pass over the rows
+    totals = {r["_class"]: r.n for r in per_bucket.groupBy("_class").agg(F.sum("n").alias("n"))
               .limit(MAX_CLASSES + 1).collect()}
     if len(totals) > MAX_CLASSES:
         raise ValueError(f"more than {MAX_CLASSES} classes in {by!r}")
@@ -53,29 +55,39 @@ def cut_by_rank(df: DataFrame, by: str | None, key: str, seed: int,
     if inner:
         ranks = F.broadcast(spark.createDataFrame(inner, f"_class {kind}, rank long"))  # one row per class and cut
         upto = W.partitionBy("_class").orderBy("_bucket").rowsBetween(W.unboundedPreceding, W.currentRow)
-        cumulated = counts.withColumn("after", F.sum("n").over(upto))
+        cumulated = per_bucket.withColumn("after", F.sum("n").over(upto))
         hits = cumulated.join(ranks, "_class").where(
             (F.col("rank") < F.col("after")) & (F.col("rank") >= F.col("after") - F.col("n")))
         for r in hits.collect():  # one row per class and cut
-            marks[r["_class"]].append((r["_bucket"], r.after - r.n, r["rank"]))
-    per_class = F.broadcast(spark.createDataFrame(  # one row per class
-        [(k, sum(r <= 0 for r in ranks), sorted(marks[k])) for k, ranks in wanted.items()],
-        f"_class {kind}, _first int, _marks array<struct<bucket:int,before:bigint,at:bigint>>"))
-
-    rows = hashed.join(per_class, "_class").withColumn(
-        "_cut", F.exists("_marks", lambda m: m["bucket"] == F.col("_bucket")))
-    easy = rows.where(~F.col("_cut")).withColumn(
-        part, F.col("_first") + F.size(F.filter("_marks", lambda m: m["bucket"] < F.col("_bucket"))))
+            marks[r["_class"]].append((r["_bucket"], r["rank"], r.after - r.n))
+
+    # One row per class: how many cuts lie before its first row, then bucket, rank and base of each inner cut.
+    width = max((len(m) for m in marks.values()), default=0)
+    fields = [(f"_bucket{i}", f"_rank{i}", f"_base{i}") for i in range(width)]
+    ddl = "".join(f", {b} string, {r} long, {n} long" for b, r, n in fields)
+    per_class = F.broadcast(spark.createDataFrame([
+        (k, sum(r <= 0 for r in ranks), *[x for m in _padded(sorted(marks[k]), width) for x in m])
+        for k, ranks in wanted.items()], f"_class {kind}, _first int{ddl}"))
+
+    def count_true(conditions: list[Column]) -> Column:
+        return sum((F.coalesce(x.cast("int"), F.lit(0)) for x in conditions), F.col("_first"))
+
+    rows = hashed.join(per_class, "_class")
+    helpers = ["_class", "_hash", "_bucket", "_first", "_rank", *[x for f in fields for x in f]]
+    at_cut = F.coalesce(any_of([F.col("_bucket") == F.col(b) for b, _, _ in fields]), F.lit(False))
+    easy = rows.where(~at_cut).withColumn(
+        part, count_true([F.col("_bucket") > F.col(b) for b, _, _ in fields]))
     if not inner:
-        return easy.drop(*_HELPERS)
+        return easy.drop(*helpers)
     w = W.partitionBy("_class", "_bucket").orderBy("_hash", c(key))
-    before = F.filter("_marks", lambda m: m["bucket"] == F.col("_bucket"))[0]["before"]
-    cut = rows.where("_cut").withColumn("_rank", before + F.row_number().over(w) - 1).withColumn(
-        part, F.col("_first") + F.size(F.filter("_marks", lambda m: m["at"] <= F.col("_rank"))))
-    return easy.drop(*_HELPERS).unionByName(cut.drop(*_HELPERS))
+    base = F.coalesce(*[F.when(F.col("_bucket") == F.col(b), F.col(n)) for b, _, n in fields])
+    cut = rows.where(at_cut).withColumn("_rank", base + F.row_number().over(w) - 1).withColumn(
+        part, count_true([F.col("_rank") >= F.col(r) for _, r, _ in fields]))
+    return easy.drop(*helpers).unionByName(cut.drop(*helpers))
 
 
-_HELPERS = ["_class", "_hash", "_bucket", "_first", "_marks", "_cut", "_rank"]
+def _padded(marks: list[tuple], width: int) -> list[tuple]:
+    return marks + [(None, None, None)] * (width - len(marks))
 
 
 def balance(df: DataFrame, key: str, ratio: float = 2.0, label: str = "Label_Binary", seed: int = 42) -> DataFrame:

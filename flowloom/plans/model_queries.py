@@ -6,6 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.bounded import stabilise
 from ..functions.columns import c
 from ..operators import clean, labels, metrics, models, sampling
 from ..sources.bindings import spark_view
@@ -23,7 +24,8 @@ def _table(spark, sf_dir):
 
 
 def _split(spark, sf_dir):
-    return sampling.stratified_split(_table(spark, sf_dir), "row_key", "y")
+    """The split table, written once: training and evaluation read it many times."""
+    return stabilise(sampling.stratified_split(_table(spark, sf_dir), "row_key", "y"))
 
 
 def _evaluated(model, table):

@@ -185,11 +185,13 @@ SECONDS = "(greatest(max(ts_us) - min(ts_us), 1) / 1e6)"
 MICRO_DIGITS = -3  # deviations of microsecond values carry about 16 significant digits
 
 GROUPS: dict[str, tuple[list[str], str]] = {}
+ALL_SELECTS: list[str] = []
 
 
 def _group(name: str, select: list[str], source: str = "pk") -> None:
     names = [s.rsplit(' as "', 1)[1].rstrip('"') for s in select]
     prelude = TIMED if source == "timed" else FLOWS
+    ALL_SELECTS.extend(select)
     GROUPS[name] = (names, f"{prelude} select flow_key, flow_pos, {', '.join(select)} from {source} group by flow_key, flow_pos")
 
 
@@ -252,14 +254,16 @@ def _register_group(name: str, names: list[str], sql: str) -> None:
 for _name, (_names, _sql) in GROUPS.items():
     _register_group(_name, _names, _sql)
 
-_ACTIVE = [f"Active {s}" for s in ("Mean", "Std", "Max", "Min")]
-_IDLE = [f"Idle {s}" for s in ("Mean", "Std", "Max", "Min")]
-_register_group("feat_active_idle", _ACTIVE + _IDLE, TIMED + " select t.flow_key, t.flow_pos, " + ", ".join([
-    _d("max(a.active_mean)", "Active Mean"), _std("max(a.active_std)", "Active Std", MICRO_DIGITS),
-    _d("max(a.active_max)", "Active Max"), _d("max(a.active_min)", "Active Min"),
-    *_stats_sql("t.idle_us", "Idle", None, MICRO_DIGITS),
-]) + """ from timed t left join active a on a.flow_key = t.flow_key and a.flow_pos = t.flow_pos
-group by t.flow_key, t.flow_pos""")
+_PERIODS = [f"{kind} {s}" for kind in ("Active", "Idle") for s in ("Mean", "Std", "Max", "Min")]
+_PERIOD_SELECTS = [
+    _d("max(active_mean)", "Active Mean"), _std("max(active_std)", "Active Std", MICRO_DIGITS),
+    _d("max(active_max)", "Active Max"), _d("max(active_min)", "Active Min"),
+    *_stats_sql("idle_us", "Idle", None, MICRO_DIGITS)]
+_WITH_ACTIVE = "from timed left join active using (flow_key, flow_pos) group by flow_key, flow_pos"
+_register_group("feat_active_idle", _PERIODS, f"{TIMED} select flow_key, flow_pos, {', '.join(_PERIOD_SELECTS)} {_WITH_ACTIVE}")
+# The whole product of the packet side: all 77 features of every flow at once.
+_register_group("flow_features", FEATURES,
+                f"{TIMED} select flow_key, flow_pos, {', '.join(ALL_SELECTS + _PERIOD_SELECTS)} {_WITH_ACTIVE}")
 
 
 SANITY = ["Flow Duration", "Flow Bytes/s", "Down/Up Ratio", "Packet Length Mean"]
