@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from .columns import c, finite
 
-ONE_AGGREGATE_ROWS = 2_000_000
-HISTOGRAM_BINS = 512
+ONE_AGGREGATE_ROWS = 100_000
+HISTOGRAM_BINS = 4096
+COUNTS_PER_PASS = 200_000  # histogram rows that may reach the driver at once
 
 
 def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
@@ -54,9 +55,10 @@ def _by_histograms(df, columns, probs, bins):
         spans = sorted({(f, s[0], s[1]) for (f, _), s in open_.items()})
         table = F.broadcast(df.sparkSession.createDataFrame(  # at most 2 x columns x probs rows
             spans, "f int, lo double, hi double"))
+        width = max(2, min(bins, COUNTS_PER_PASS // len(spans)))
         # Halving lo and hi first keeps the width finite; values map to bins in order.
-        slot = F.least(F.lit(bins - 1), F.floor(
-            (F.col("v") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2) * bins)).cast("int")
+        slot = F.least(F.lit(width - 1), F.floor(
+            (F.col("v") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2) * width)).cast("int")
         counted = (
             long.join(table, "f").where("v between lo and hi")
             .groupBy("f", "lo", "hi", slot.alias("slot"))

@@ -7,55 +7,71 @@ from pyspark.sql import functions as F
 
 from ..constants import FEATURES
 from ..functions.columns import any_of, c, is_infinite, is_missing, ratio
-from .flows import ENDPOINTS, FLOW, FlowRules, base_aggregates, flag_aggregates, segment, window_aggregates, with_timing
+from .flows import ENDPOINTS, FLOW, FlowRules, flag_aggregates, per_flow, segment, window_aggregates, with_timing
 
 
-def _stats(prefix: str, value: Column) -> list[Column]:
+def _spread(prefix: str, value: Column) -> list[Column]:
     return [F.max(value).alias(f"{prefix}_max"), F.min(value).alias(f"{prefix}_min"),
-            F.avg(value).alias(f"{prefix}_mean"), F.stddev_pop(value).alias(f"{prefix}_std")]
+            F.stddev_pop(value).alias(f"{prefix}_std")]
 
 
 def _moments() -> list[Column]:
     fwd, bwd = F.col("is_forward"), ~F.col("is_forward")
     length, iat = F.col("packet_len"), F.col("iat_us")
-    return [
-        *_stats("fwd_len", F.when(fwd, length)), *_stats("bwd_len", F.when(bwd, length)), *_stats("len", length),
-        F.var_pop(length).alias("len_var"),
-        *_stats("iat", iat),
-        *_stats("fwd_iat", F.when(fwd, iat)), F.sum(F.when(fwd, iat)).alias("fwd_iat_total"),
-        *_stats("bwd_iat", F.when(bwd, iat)), F.sum(F.when(bwd, iat)).alias("bwd_iat_total"),
-        *_stats("active", F.col("active_us")), *_stats("idle", F.col("idle_us")),
+    out = [
+        *_spread("fwd_len", F.when(fwd, length)), *_spread("bwd_len", F.when(bwd, length)),
+        F.var_pop(length).alias("len_var"), F.stddev_pop(iat).alias("iat_std"),
         F.count_if(fwd & (F.col("payload_len") > 0)).alias("act_data_pkt_fwd"),
     ]
+    for prefix, value in (("fwd_iat", F.when(fwd, iat)), ("bwd_iat", F.when(bwd, iat)),
+                          ("active", F.col("active_us")), ("idle", F.col("idle_us"))):
+        out += [*_spread(prefix, value), F.sum(value).alias(f"{prefix}_total"), F.count(value).alias(f"{prefix}_n")]
+    return out
 
 
 def _feature_expressions() -> dict[str, Column]:
+    """Features over the aggregates. Means, and extremes over both directions, follow from the parts."""
     seconds = F.col("duration_us") / 1e6
     window = {d: F.coalesce(F.nullif(F.col(f"init_win_{d}"), F.lit(0)), F.lit(65535)) for d in ("fwd", "bwd")}
+
+    def mean(total: Column, n: Column) -> Column:
+        return total / F.nullif(n, F.lit(0))
+
+    def either(f, name: str) -> Column:
+        return f(F.col(f"fwd_{name}"), F.col(f"bwd_{name}"))
+
+    fwd_mean = mean(F.col("fwd_bytes"), F.col("fwd_packets"))
+    bwd_mean = mean(F.col("bwd_bytes"), F.col("bwd_packets"))
+    iat_total = F.coalesce("fwd_iat_total", F.lit(0)) + F.coalesce("bwd_iat_total", F.lit(0))
     out = {
         "Flow Duration": F.col("duration_us"),
         "Total Fwd Packets": F.col("fwd_packets"), "Total Backward Packets": F.col("bwd_packets"),
         "Total Length of Fwd Packets": F.col("fwd_bytes"), "Total Length of Bwd Packets": F.col("bwd_bytes"),
+        "Fwd Packet Length Mean": fwd_mean, "Bwd Packet Length Mean": bwd_mean,
         "Flow Bytes/s": F.col("bytes") / seconds, "Flow Packets/s": F.col("packets") / seconds,
         "Fwd Packets/s": F.col("fwd_packets") / seconds, "Bwd Packets/s": F.col("bwd_packets") / seconds,
+        "Flow IAT Mean": mean(iat_total, F.col("fwd_iat_n") + F.col("bwd_iat_n")), "Flow IAT Std": F.col("iat_std"),
+        "Flow IAT Max": either(F.greatest, "iat_max"), "Flow IAT Min": either(F.least, "iat_min"),
         "Fwd IAT Total": F.col("fwd_iat_total"), "Bwd IAT Total": F.col("bwd_iat_total"),
         "Fwd Header Length": F.col("fwd_header_bytes"), "Bwd Header Length": F.col("bwd_header_bytes"),
         "Fwd Header Length.1": F.col("fwd_header_bytes"),
-        "Min Packet Length": F.col("len_min"), "Max Packet Length": F.col("len_max"),
-        "Packet Length Mean": F.col("len_mean"), "Packet Length Std": F.col("len_std"),
-        "Packet Length Variance": F.col("len_var"),
+        "Min Packet Length": either(F.least, "len_min"), "Max Packet Length": either(F.greatest, "len_max"),
+        "Packet Length Mean": mean(F.col("bytes"), F.col("packets")),
+        "Packet Length Std": F.sqrt("len_var"), "Packet Length Variance": F.col("len_var"),
         "Down/Up Ratio": ratio(F.col("bwd_packets"), F.col("fwd_packets")),
         "Average Packet Size": ratio(F.col("bytes"), F.col("packets")),
-        "Avg Fwd Segment Size": F.col("fwd_len_mean"), "Avg Bwd Segment Size": F.col("bwd_len_mean"),
+        "Avg Fwd Segment Size": fwd_mean, "Avg Bwd Segment Size": bwd_mean,
         "Subflow Fwd Packets": F.col("fwd_packets"), "Subflow Fwd Bytes": F.col("fwd_bytes"),
         "Subflow Bwd Packets": F.col("bwd_packets"), "Subflow Bwd Bytes": F.col("bwd_bytes"),
         "Init_Win_bytes_forward": window["fwd"], "Init_Win_bytes_backward": window["bwd"],
         "act_data_pkt_fwd": F.col("act_data_pkt_fwd"), "min_seg_size_forward": F.col("fwd_len_min"),
     }
-    for title, prefix in (("Fwd Packet Length", "fwd_len"), ("Bwd Packet Length", "bwd_len"), ("Flow IAT", "iat"),
+    for title, prefix in (("Fwd Packet Length", "fwd_len"), ("Bwd Packet Length", "bwd_len"),
                           ("Fwd IAT", "fwd_iat"), ("Bwd IAT", "bwd_iat"), ("Active", "active"), ("Idle", "idle")):
-        for stat in ("Max", "Min", "Mean", "Std"):
+        for stat in ("Max", "Min", "Std"):
             out[f"{title} {stat}"] = F.col(f"{prefix}_{stat.lower()}")
+    for title, prefix in (("Fwd IAT", "fwd_iat"), ("Bwd IAT", "bwd_iat"), ("Active", "active"), ("Idle", "idle")):
+        out[f"{title} Mean"] = mean(F.col(f"{prefix}_total"), F.col(f"{prefix}_n"))
     for name in FEATURES:
         if "Bulk" in name:
             out[name] = F.lit(0.0)
@@ -75,12 +91,9 @@ def flow_features(packets: DataFrame, rules: FlowRules = FlowRules(), wanted: li
 
 def features_of(segmented: DataFrame, rules: FlowRules = FlowRules(), wanted: list[str] | None = None) -> DataFrame:
     timed = with_timing(segmented, rules)
-    per_flow = timed.groupBy(*FLOW).agg(
-        *[F.first(n).alias(n) for n in ENDPOINTS],  # constant inside a flow
-        *base_aggregates(), *flag_aggregates(), *window_aggregates(), *_moments(),
-    ).withColumn("duration_us", F.greatest(F.col("last_us") - F.col("start_us"), F.lit(1)))
+    flows = per_flow(timed, [*flag_aggregates(), *window_aggregates(), *_moments()])
     exprs = _feature_expressions()
-    return per_flow.select(
+    return flows.select(
         *FLOW, *ENDPOINTS, "initiator_ip", "start_us",
         *[F.coalesce(exprs[n].cast("double"), F.lit(0.0)).alias(n) for n in (wanted or FEATURES)])
 

@@ -138,9 +138,10 @@ def split_into_flows(grouped: DataFrame, keys: list[str], starts: Column, flow_p
     flows = grouped.withColumn("starts", starts).select(
         *keys, *ENDPOINTS, "packets", "starts", F.posexplode_outer("starts").alias("i", "begin"))
     end = F.coalesce(F.get("starts", F.col("i") + 1), F.size("packets"))
+    packets = F.posexplode_outer(F.slice("packets", F.col("begin") + 1, end - F.col("begin")))
     return flows.select(
-        *keys, flow_pos.alias("flow_pos"), *ENDPOINTS,
-        F.inline_outer(F.slice("packets", F.col("begin") + 1, end - F.col("begin"))))
+        *keys, flow_pos.alias("flow_pos"), *ENDPOINTS, packets.alias("packet_no", "packet")
+    ).select(*keys, "flow_pos", *ENDPOINTS, "packet_no", "packet.*")
 
 
 def gather(keyed: DataFrame, keys: list[str], carry: list[str]) -> DataFrame:
@@ -154,8 +155,9 @@ def gather(keyed: DataFrame, keys: list[str], carry: list[str]) -> DataFrame:
 def segment(packets: DataFrame, rules: FlowRules = FlowRules(), carry: list[str] | None = None) -> DataFrame:
     """Assign every packet to its flow.
 
-    The result has `flow_key, flow_pos`, the endpoints, `ts_us, packet_id, closes,
-    is_forward` and the `carry` columns (by default all packet measures).
+    The result has `flow_key, flow_pos`, the endpoints, `packet_no` (position in the
+    flow), `ts_us, packet_id, closes, is_forward` and the `carry` columns (by default
+    all packet measures).
 
     Keys of ordinary size are grouped once and folded inside the JVM, and the
     result stays partitioned by `flow_key`, so per-flow work needs no further
@@ -190,7 +192,7 @@ def with_timing(segmented: DataFrame, rules: FlowRules = FlowRules()) -> DataFra
     One window per flow serves every column. An active period ends where a gap
     exceeds the idle threshold, and at the last packet; zero-length ones vanish.
     """
-    w = W.partitionBy(*FLOW).orderBy("ts_us", "packet_id")
+    w = W.partitionBy(*FLOW).orderBy("packet_no")
     earlier = w.rowsBetween(W.unboundedPreceding, -1)
     so_far = w.rowsBetween(W.unboundedPreceding, W.currentRow)
     ts = F.col("ts_us")
@@ -232,11 +234,10 @@ def _when(forward: bool) -> Column:
 
 
 def base_aggregates() -> list[Column]:
-    first_is_forward = F.min_by("is_forward", F.struct("ts_us", "packet_id"))
     out = [
         F.min("ts_us").alias("start_us"), F.max("ts_us").alias("last_us"),
         F.count("*").alias("packets"), F.sum(F.col("packet_len").cast("long")).alias("bytes"),
-        F.when(first_is_forward, F.first("lo_ip")).otherwise(F.first("hi_ip")).alias("initiator_ip"),
+        F.min_by("is_forward", "packet_no").alias("initiator_is_lo"),
     ]
     for name, fwd in (("fwd", True), ("bwd", False)):
         out += [
@@ -247,10 +248,21 @@ def base_aggregates() -> list[Column]:
     return out
 
 
+def per_flow(segmented: DataFrame, aggregates: list[Column]) -> DataFrame:
+    """Aggregates per flow, with its endpoints, initiator and duration (at least 1 microsecond).
+
+    The endpoints are grouping columns: constant inside a flow, they cost nothing
+    there, while text among the aggregates would rule out hash aggregation.
+    """
+    return segmented.groupBy(*FLOW, *ENDPOINTS).agg(*base_aggregates(), *aggregates).withColumns({
+        "initiator_ip": F.when(F.col("initiator_is_lo"), F.col("lo_ip")).otherwise(F.col("hi_ip")),
+        "duration_us": F.greatest(F.col("last_us") - F.col("start_us"), F.lit(1)),
+    }).drop("initiator_is_lo")
+
+
 def flow_base(segmented: DataFrame) -> DataFrame:
-    """Packets, bytes, header bytes, start, last and duration (at least 1 microsecond) per flow."""
-    return segmented.groupBy(*FLOW).agg(*base_aggregates()).withColumn(
-        "duration_us", F.greatest(F.col("last_us") - F.col("start_us"), F.lit(1)))
+    """Packets, bytes, header bytes, start, last and duration per flow."""
+    return per_flow(segmented, []).drop(*ENDPOINTS)
 
 
 def flag_aggregates() -> list[Column]:
@@ -269,9 +281,9 @@ def flow_flags(segmented: DataFrame) -> DataFrame:
 
 
 def window_aggregates() -> list[Column]:
-    order = F.struct("ts_us", "packet_id")
     return [
-        F.min_by("window_size", F.when(_when(fwd) & F.col("window_size").isNotNull(), order)).alias(f"init_win_{name}")
+        F.min_by("window_size", F.when(_when(fwd) & F.col("window_size").isNotNull(), F.col("packet_no")))
+        .alias(f"init_win_{name}")
         for name, fwd in (("fwd", True), ("bwd", False))
     ]
 

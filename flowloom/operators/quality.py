@@ -107,20 +107,24 @@ def critical_failures(results: DataFrame) -> DataFrame:
 
 # --------------------------------------------------------------------------- flow by flow
 
-def match_flows(extracted: DataFrame, labelled: DataFrame, bucket_us: int = 3_600_000_000) -> DataFrame:
+def match_flows(extracted: DataFrame, labelled: DataFrame, bucket_us: int = 3_600_000_000,
+                values: list[str] = ()) -> DataFrame:
     """For every extracted flow, the labelled flow of the same key with the nearest start.
 
-    Both sides are `(flow_key, start_us, id)`. The result is `(flow_key, id,
-    start_us, labelled_id, labelled_start_us)`; of two equally near ones the earlier
-    wins. Flows of a key are never paired all with all: within a time bucket a
-    window finds the neighbours on either side, and one row per (key, bucket)
-    carries the neighbours across bucket borders.
+    Both sides are `(flow_key, start_us, id, *values)`. The result is `(flow_key, id,
+    start_us, labelled_id, labelled_start_us)` with the values of either side as the
+    structs `actual` and `expected`; of two equally near flows the earlier wins.
+
+    Flows of a key are never paired all with all: within a time bucket a window finds
+    the neighbours on either side, and one row per (key, bucket) carries the
+    neighbours across bucket borders. The values travel along, so nothing is joined back.
     """
     def side(df, tag):
-        spot = F.struct(F.col("start_us").alias("us"), F.col("id").alias("id"))
+        cells = F.struct(F.lit(0).alias("_"), *[c(n).cast("double").alias(f"v{i}") for i, n in enumerate(values)])
+        spot = F.struct(F.col("start_us").alias("us"), F.col("id").alias("id"), cells.alias("values"))
         return df.select("flow_key", "start_us", "id",
                          (F.col("start_us") - F.pmod("start_us", F.lit(bucket_us))).alias("bucket"),
-                         F.lit(tag).alias("tag"), F.when(F.lit(tag == 0), spot).alias("spot"))
+                         F.lit(tag).alias("tag"), F.when(F.lit(tag == 0), spot).alias("spot"), cells.alias("actual"))
 
     both = side(labelled, 0).unionByName(side(extracted, 1))
     inside = W.partitionBy("flow_key", "bucket")
@@ -146,19 +150,18 @@ def match_flows(extracted: DataFrame, labelled: DataFrame, bucket_us: int = 3_60
         | (F.col("start_us") - F.col("before.us") <= F.col("after.us") - F.col("start_us")), F.col("before"),
     ).otherwise(F.col("after"))
     return both_near.withColumn("pick", pick).where("pick is not null").select(
-        "flow_key", "id", "start_us", F.col("pick.id").alias("labelled_id"), F.col("pick.us").alias("labelled_start_us"))
+        "flow_key", "id", "start_us", F.col("pick.id").alias("labelled_id"), F.col("pick.us").alias("labelled_start_us"),
+        "actual", F.col("pick.values").alias("expected"))
 
 
 def compare_matched_flows(extracted: DataFrame, labelled: DataFrame, names: list[str],
                           bucket_us: int = 3_600_000_000) -> DataFrame:
     """Feature-by-feature verdicts of every matched pair of flows, as a long table."""
-    keys = ["flow_key", "start_us", "id"]
-    pairs = match_flows(extracted.select(*keys), labelled.select(*keys), bucket_us)
-    left = unpivot_features(labelled, ["flow_key", "id"], names, value_col="expected").withColumnRenamed(
-        "id", "labelled_id")
-    right = unpivot_features(extracted, ["flow_key", "id"], names, value_col="actual")
-    joined = pairs.join(right, ["flow_key", "id"]).join(left, ["flow_key", "labelled_id", "feature"])
-    return judged(joined.where("expected is not null and actual is not null"))
+    pairs = match_flows(extracted, labelled, bucket_us, names)
+    long = pairs.select("flow_key", "id", "labelled_id", F.inline(F.array(*[
+        F.struct(F.lit(n).alias("feature"), F.col(f"expected.v{i}").alias("expected"), F.col(f"actual.v{i}").alias("actual"))
+        for i, n in enumerate(names)])))
+    return judged(long.where("expected is not null and actual is not null"))
 
 
 # --------------------------------------------------------------------------- profiles

@@ -33,7 +33,8 @@ STATE = T.StructType([T.StructField(n, t) for n, t in {
     "lo_ip": _TEXT, "lo_port": _INT, "hi_ip": _TEXT, "hi_port": _INT, "protocol": _INT,
     "ts_us": _LONG, "packet_id": _LONG, "closes": _FLAG, "is_forward": _FLAG,
     "header_len": _INT, "payload_len": _INT, "packet_len": _INT, "tcp_flags": _INT, "window_size": _INT}.items()])
-OUTPUT = T.StructType([T.StructField("flow_key", _TEXT), T.StructField("flow_pos", _LONG), *STATE.fields])
+OUTPUT = T.StructType([T.StructField("flow_key", _TEXT), T.StructField("flow_pos", _LONG),
+                       T.StructField("packet_no", _INT), *STATE.fields])
 
 
 def packet_stream(spark: SparkSession, path: str, file_format: str = "parquet", delay: str = "2 minutes",
@@ -93,10 +94,10 @@ class FlowProcessor(StatefulProcessor):
             self.handle.registerTimer(max(int(due), watermark) // 1000 + 1)
         else:
             self.held.clear()
-        for first, end in done:
-            flow = packets.iloc[first:end]
+        for first, last in done:
+            flow = packets.iloc[first:last]
             # A stream cannot number the packets of a key, so the first packet's id names the flow.
-            yield flow.assign(flow_key=key[0], flow_pos=int(flow.packet_id.iloc[0]))[OUTPUT.fieldNames()]
+            yield flow.assign(flow_key=key[0], flow_pos=int(flow.packet_id.iloc[0]), packet_no=range(last - first))[OUTPUT.fieldNames()]
 
     def close(self):
         pass
