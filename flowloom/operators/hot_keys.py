@@ -16,10 +16,10 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.bounded import pin_small, stabilise
+from ..functions.bounded import stabilise
+from ..functions.ranks import with_position
 from . import flows
 
 CHUNK_PACKETS = 100_000
@@ -27,29 +27,6 @@ FAN_IN = 512
 KEYS = ["flow_key", "chunk"]
 
 
-def with_rank(packets: DataFrame, partition_rows: int = 250_000) -> DataFrame:
-    """Add `rank`, the 0-based position inside the key, by one range shuffle.
-
-    The range shuffle samples the order (key, time, id), so a hot key spreads over
-    as many partitions as it needs. The sorted rows are written once: positions
-    are taken per partition and shifted by the rows of the key in earlier ones.
-    """
-    order = ["flow_key", "ts_us", "packet_id"]
-    partitions = max(1, math.ceil(packets.count() / partition_rows))
-    placed = stabilise(
-        packets.repartitionByRange(partitions, *order).sortWithinPartitions(*order)
-        .withColumn("_place", F.monotonically_increasing_id())
-        .withColumn("_part", F.spark_partition_id())
-    )
-    earlier = W.partitionBy("flow_key").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    shifts = placed.groupBy("flow_key", "_part").agg(
-        F.count("*").alias("_n"), F.min("_place").alias("_first")
-    ).select("flow_key", "_part", (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift"))
-    shifts, _ = pin_small(shifts)  # about one row per partition and hot key
-    return placed.join(shifts, ["flow_key", "_part"]).withColumn(
-        "rank", F.col("_place") + F.col("_shift")).drop("_place", "_part", "_shift")
-
-
 def next_starts(ts: np.ndarray, closes: np.ndarray, rules: flows.FlowRules) -> np.ndarray:
     """For each position of a sorted packet run, where the flow after the one beginning there begins."""
     n = len(ts)
@@ -113,11 +90,11 @@ def chunk_entries(tables: DataFrame, chunks: int, fan_in: int = FAN_IN) -> DataF
 
 
 def segment_hot(keyed: DataFrame, rules: flows.FlowRules, carry: list[str], chunk_packets: int = CHUNK_PACKETS,
-                fan_in: int = FAN_IN, partition_rows: int = 250_000) -> DataFrame:
+                fan_in: int = FAN_IN, partitions: int | None = None) -> DataFrame:
     """Same rows and columns as the ordinary segmentation, with every task bounded."""
     chunk_packets = max(chunk_packets, rules.max_packets)
     needed = dict.fromkeys(["flow_key", *flows.ENDPOINTS, "ts_us", "packet_id", "tcp_flags", "is_forward", *carry])
-    ranked = with_rank(keyed.select(*needed), partition_rows)
+    ranked = with_position(keyed.select(*needed), ["flow_key"], ["ts_us", "packet_id"], "rank", partitions)
     own = F.expr(f"rank div {chunk_packets}")
     # The first max_packets packets of a chunk also close flows begun in the chunk before it.
     shared = (F.col("rank") % chunk_packets < rules.max_packets) & (own > 0)

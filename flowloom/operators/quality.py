@@ -12,6 +12,7 @@ from ..constants import CALIBRATION_CATEGORIES, CRITICAL_FEATURES, DEFAULT_TOLER
 from ..constants import VALIDATION_CATEGORIES
 from ..functions.columns import c, finite, pearson, ratio, unpivot_features
 from ..functions.quantiles import exact_quantiles
+from ..functions.ranks import placed
 from ..functions.running import with_running_totals
 from .clean import find_column
 
@@ -107,43 +108,41 @@ def critical_failures(results: DataFrame) -> DataFrame:
 
 # --------------------------------------------------------------------------- flow by flow
 
-def match_flows(extracted: DataFrame, labelled: DataFrame, bucket_us: int = 3_600_000_000,
-                values: list[str] = ()) -> DataFrame:
+def match_flows(extracted: DataFrame, labelled: DataFrame, values: list[str] = (),
+                partitions: int | None = None) -> DataFrame:
     """For every extracted flow, the labelled flow of the same key with the nearest start.
 
     Both sides are `(flow_key, start_us, id, *values)`. The result is `(flow_key, id,
     start_us, labelled_id, labelled_start_us)` with the values of either side as the
     structs `actual` and `expected`; of two equally near flows the earlier wins.
 
-    Flows of a key are never paired all with all: within a time bucket a window finds
-    the neighbours on either side, and one row per (key, bucket) carries the
-    neighbours across bucket borders. The values travel along, so nothing is joined back.
+    Flows of a key are never paired all with all, nor gathered in one task: both sides
+    are laid out together in the order of time, a window inside each stretch of a key
+    finds the neighbours on either side, and one row per stretch carries the neighbours
+    across its ends. The values travel along, so nothing is joined back.
     """
     def side(df, tag):
         cells = F.struct(F.lit(0).alias("_"), *[c(n).cast("double").alias(f"v{i}") for i, n in enumerate(values)])
         spot = F.struct(F.col("start_us").alias("us"), F.col("id").alias("id"), cells.alias("values"))
-        return df.select("flow_key", "start_us", "id",
-                         (F.col("start_us") - F.pmod("start_us", F.lit(bucket_us))).alias("bucket"),
-                         F.lit(tag).alias("tag"), F.when(F.lit(tag == 0), spot).alias("spot"), cells.alias("actual"))
-
-    both = side(labelled, 0).unionByName(side(extracted, 1))
-    inside = W.partitionBy("flow_key", "bucket")
-    so_far = (W.unboundedPreceding, W.currentRow)
+        return df.select("flow_key", "start_us", "id", F.lit(tag).alias("tag"),
+                         F.when(F.lit(tag == 0), spot).alias("spot"), F.when(F.lit(tag == 1), cells).alias("actual"))
+
+    order = ["start_us", "tag", "id"]
+    both = placed(side(labelled, 0).unionByName(side(extracted, 1)), ["flow_key"], order, partitions)
+    stretch = ["flow_key", "_part"]
+    so_far, earlier = (W.unboundedPreceding, W.currentRow), (W.unboundedPreceding, -1)
+    inside, over_stretches = W.partitionBy(*stretch), W.partitionBy("flow_key")
     near = both.withColumns({
-        "before": F.last("spot", ignorenulls=True).over(inside.orderBy("start_us", "tag", "id").rowsBetween(*so_far)),
-        "after": F.last("spot", ignorenulls=True).over(
-            inside.orderBy(F.desc("start_us"), "tag", F.desc("id")).rowsBetween(*so_far)),
+        "before": F.last("spot", ignorenulls=True).over(inside.orderBy("_place").rowsBetween(*so_far)),
+        "after": F.last("spot", ignorenulls=True).over(inside.orderBy(F.desc("_place")).rowsBetween(*so_far)),
     }).where("tag = 1")
+    ends = both.groupBy(*stretch).agg(F.min("spot").alias("first"), F.max("spot").alias("last")).select(
+        *stretch,
+        F.last("last", ignorenulls=True).over(over_stretches.orderBy("_part").rowsBetween(*earlier)).alias("prior"),
+        F.last("first", ignorenulls=True).over(
+            over_stretches.orderBy(F.desc("_part")).rowsBetween(*earlier)).alias("later"))
 
-    borders = both.groupBy("flow_key", "bucket").agg(F.min("spot").alias("first"), F.max("spot").alias("last"))
-    over_buckets = W.partitionBy("flow_key")
-    earlier = (W.unboundedPreceding, -1)
-    borders = borders.select(
-        "flow_key", "bucket",
-        F.last("last", ignorenulls=True).over(over_buckets.orderBy("bucket").rowsBetween(*earlier)).alias("prior"),
-        F.last("first", ignorenulls=True).over(over_buckets.orderBy(F.desc("bucket")).rowsBetween(*earlier)).alias("later"))
-
-    both_near = near.join(borders, ["flow_key", "bucket"]).withColumns({
+    both_near = near.join(ends, stretch).withColumns({
         "before": F.coalesce("before", "prior"), "after": F.coalesce("after", "later")})
     pick = F.when(
         F.col("after").isNull()
@@ -154,10 +153,9 @@ def match_flows(extracted: DataFrame, labelled: DataFrame, bucket_us: int = 3_60
         "actual", F.col("pick.values").alias("expected"))
 
 
-def compare_matched_flows(extracted: DataFrame, labelled: DataFrame, names: list[str],
-                          bucket_us: int = 3_600_000_000) -> DataFrame:
+def compare_matched_flows(extracted: DataFrame, labelled: DataFrame, names: list[str]) -> DataFrame:
     """Feature-by-feature verdicts of every matched pair of flows, as a long table."""
-    pairs = match_flows(extracted, labelled, bucket_us, names)
+    pairs = match_flows(extracted, labelled, names)
     long = pairs.select("flow_key", "id", "labelled_id", F.inline(F.array(*[
         F.struct(F.lit(n).alias("feature"), F.col(f"expected.v{i}").alias("expected"), F.col(f"actual.v{i}").alias("actual"))
         for i, n in enumerate(names)])))

@@ -7,7 +7,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..constants import F2_WEIGHT, LATENCY_WEIGHT, MAX_FPR, MAX_LATENCY_MS
-from ..functions.columns import fbeta
+from ..functions.bounded import pin_small
+from ..functions.columns import c, fbeta
+from ..functions.ranks import with_position
 
 
 def _f2(versions: DataFrame) -> Column:
@@ -44,13 +46,21 @@ def best_passing(scored: DataFrame) -> DataFrame:
     return scored.where("status = 'PASS'").orderBy(F.desc("score"), "model_type", "version_id").limit(1)
 
 
-def intra_rank(scored: DataFrame) -> DataFrame:
-    """Rank inside the model type by score, or by F1 for failing versions."""
+def intra_rank(scored: DataFrame, one_window_rows: int = 1_000_000) -> DataFrame:
+    """Rank inside the model type by score, or by F1 for failing versions.
+
+    Model types are few, so a long registry is ranked by range and not by window.
+    """
     merit = F.when(F.col("status") == "PASS", F.col("score")).otherwise(F.coalesce("f1", F.lit(0.0)))
-    w = W.partitionBy("model_type")
-    return scored.withColumn("merit", merit).withColumns({
-        "intra_rank": F.row_number().over(w.orderBy(F.desc("merit"), "version_id")),
-        "total_versions": F.count("*").over(w)})
+    judged = scored.withColumn("merit", merit)
+    if judged.count() <= one_window_rows:
+        w = W.partitionBy("model_type")
+        return judged.withColumns({
+            "intra_rank": F.row_number().over(w.orderBy(F.desc("merit"), "version_id")),
+            "total_versions": F.count("*").over(w)})
+    totals, _ = pin_small(judged.groupBy("model_type").agg(F.count("*").alias("total_versions")))
+    ranked = with_position(judged, ["model_type"], [F.desc("merit"), F.asc("version_id")], "intra_rank")
+    return ranked.withColumn("intra_rank", (F.col("intra_rank") + 1).cast("int")).join(totals, "model_type")
 
 
 def top_versions(scored: DataFrame, k: int = 15) -> DataFrame:
@@ -68,8 +78,9 @@ def plateau(scored: DataFrame) -> DataFrame:
 
 def best_version(versions: DataFrame) -> DataFrame:
     """The version of highest F1 for every model type."""
-    w = W.partitionBy("model_type").orderBy(F.desc(F.coalesce("f1", F.lit(0.0))), "version_id")
-    return versions.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    everything = F.struct(*[c(n) for n in versions.columns])
+    best = F.min_by(everything, F.struct(-F.coalesce("f1", F.lit(0.0)), "version_id"))
+    return versions.groupBy("model_type").agg(best.alias("best")).select("best.*")
 
 
 def list_versions(versions: DataFrame) -> DataFrame:

@@ -284,7 +284,6 @@ def feat_sanity(spark, sf_dir):
 # --------------------------------------------------------------------------- extracted against labelled flows
 
 MATCH = ["Total Length of Fwd Packets", "Total Fwd Packets", "Flow Duration"]
-MATCH_BUCKET = 24 * HOUR
 
 
 @query("flow_match_compare", FLOWS + """, ext as (
@@ -312,7 +311,7 @@ def flow_match_compare(spark, sf_dir):
         "flow_pos", "id")
     growth = 1 + F.pmod(c("Total Fwd Packets") + c("Total Backward Packets"), F.lit(5)) / 20
     labelled = extracted.withColumns({"start_us": F.col("start_us") + flows.SECOND, **{n: c(n) * growth for n in MATCH}})
-    out = quality.compare_matched_flows(extracted, labelled, MATCH, MATCH_BUCKET)
+    out = quality.compare_matched_flows(extracted, labelled, MATCH)
     return out.select(
         "flow_key", F.col("id").alias("flow_pos"), F.col("labelled_id").alias("labelled_pos"), "feature",
         F.round("relative_diff", 6).alias("relative_diff"), "passed")

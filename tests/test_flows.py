@@ -66,7 +66,7 @@ def test_long_key_crosses_fold_slices(spark):
 def test_chunked_hot_keys_equal_one_pass(spark, chunk, fan_in):
     one, two = _burst(3000, 2, port=1), _burst(700, 3, port=2)
     keyed = flows.with_flow_key(frame(spark, one + two))
-    hot = hot_keys.segment_hot(keyed, RULES, flows.MEASURES, chunk_packets=chunk, fan_in=fan_in, partition_rows=400)
+    hot = hot_keys.segment_hot(keyed, RULES, flows.MEASURES, chunk_packets=chunk, fan_in=fan_in, partitions=9)
     assert hot.count() == 3700
     assert positions(hot) == {**walk(one, RULES), **walk(two, RULES)}
 
@@ -74,7 +74,7 @@ def test_chunked_hot_keys_equal_one_pass(spark, chunk, fan_in):
 def test_hot_key_with_equal_times_only(spark):
     packets = [packet(i, 5.0) for i in range(500)]
     keyed = flows.with_flow_key(frame(spark, packets))
-    hot = hot_keys.segment_hot(keyed, RULES, [], chunk_packets=20, fan_in=2, partition_rows=50)
+    hot = hot_keys.segment_hot(keyed, RULES, [], chunk_packets=20, fan_in=2, partitions=10)
     assert positions(hot) == walk(packets, RULES)
 
 

@@ -194,6 +194,15 @@ def test_scorecard_rules(spark):
     assert scorecard.best_passing(scorecard.scorecard(df)).first().version_id == "good"
 
 
+def test_intra_rank_by_range_equals_window(spark):
+    rng = random.Random(2)
+    df = spark.createDataFrame(
+        [(rng.choice(["a", "a", "a", "b"]), f"v{i:03}", "PASS", float(rng.randint(0, 3)), 0.5) for i in range(300)],
+        "model_type string, version_id string, status string, score double, f1 double")
+    one, many = scorecard.intra_rank(df), scorecard.intra_rank(df, one_window_rows=10)
+    assert rows(one) == rows(many.select(*one.columns))
+
+
 def test_latest_config(spark):
     df = spark.createDataFrame([
         ("xgboost", "binary", "2026-01-01", "a_2026-01-01.json"), ("xgboost", "multiclass", "2026-01-03", "b_2026-01-03.json"),
@@ -204,14 +213,14 @@ def test_latest_config(spark):
     assert scorecard.latest_config(df, "xgboost", file_name="x/b_2026-01-03.json").first() is None
 
 
-@pytest.mark.parametrize("bucket", [7, 50, 10_000])
-def test_nearest_flow_match(spark, bucket):
+@pytest.mark.parametrize("partitions", [1, 5, 40])
+def test_nearest_flow_match(spark, partitions):
     rng = random.Random(11)
     ext = [(rng.choice("ab"), rng.randint(0, 400), i) for i in range(60)]
     lab = [(rng.choice("ab"), rng.randint(0, 400), i) for i in range(25)] + [("z", 1, 99)]
     ddl = "flow_key string, start_us bigint, id bigint"
     got = {r.id: r.labelled_start_us for r in quality.match_flows(
-        spark.createDataFrame(ext, ddl), spark.createDataFrame(lab, ddl), bucket).collect()}
+        spark.createDataFrame(ext, ddl), spark.createDataFrame(lab, ddl), [], partitions).collect()}
     for key, us, i in ext:
         best = min((abs(t - us), t) for k, t, _ in lab if k == key)
         assert got[i] == best[1]
