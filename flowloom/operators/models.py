@@ -9,7 +9,7 @@ import time
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +20,7 @@ from ..functions.columns import c
 from .labels import class_weights
 
 MAX_CLASSES = 1_000
+INPUT = "_input_"
 # The forest that ranks features.
 IMPORTANCE_FOREST = {"numTrees": 100, "maxDepth": 10, "minInstancesPerNode": 50, "seed": 42}
 # Search spaces, (kind, low, high) or a list of choices, in Spark ML terms.
@@ -44,8 +45,19 @@ GBT_PRESETS = {
 F2_ON_ATTACK = dict(metricName="fMeasureByLabel", metricLabel=1.0, beta=2.0)
 
 
-def assembler(features: list[str]) -> VectorAssembler:
-    return VectorAssembler(inputCols=features, outputCol="features", handleInvalid="error")
+def input_stages(features: list[str], scaler: dict[str, tuple[float, float]] | None = None) -> list:
+    """Scaling and selection as stages, so that a saved model carries its own feature list and scaler.
+
+    The stages give inputs plain names, because feature names hold dots and slashes.
+    """
+    inputs = [f"{INPUT}{i}" for i in range(len(features))]
+    cells = []
+    for name, column in zip(features, inputs):
+        centre, spread = (scaler or {}).get(name, (0.0, 1.0))
+        quoted = "`" + name.replace("`", "``") + "`"
+        cells.append(f"(cast({quoted} as double) - {float(centre)!r}D) / {float(spread)!r}D AS {column}")
+    select = SQLTransformer(statement=f"SELECT *, {', '.join(cells)} FROM __THIS__")
+    return [select, VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="error")]
 
 
 def training_table(df: DataFrame, features: list[str], label: str, extra: list[str] = (),
@@ -74,15 +86,16 @@ def boosted_trees(preset: str = "xgboost", validation: str | None = None, **para
     return GBTClassifier(weightCol="weight", **{"seed": 42, **GBT_PRESETS[preset], **early, **params})
 
 
-def train(df: DataFrame, features: list[str], label: str, learner, extra: list[str] = ()) -> PipelineModel:
-    return Pipeline(stages=[assembler(features), learner]).fit(training_table(df, features, label, extra))
+def train(df: DataFrame, features: list[str], label: str, learner, extra: list[str] = (),
+          scaler: dict[str, tuple[float, float]] | None = None) -> PipelineModel:
+    return Pipeline(stages=[*input_stages(features, scaler), learner]).fit(training_table(df, features, label, extra))
 
 
 def train_boosted_multiclass(df: DataFrame, features: list[str], label: str, **params) -> PipelineModel:
     """Boosted trees are binary in Spark ML, so several classes become one against the rest."""
     gbt = GBTClassifier(**{"seed": 42, **GBT_PRESETS["xgboost"], **params})
     rest = OneVsRest(classifier=gbt, weightCol="weight")
-    return Pipeline(stages=[assembler(features), rest]).fit(training_table(df, features, label))
+    return Pipeline(stages=[*input_stages(features), rest]).fit(training_table(df, features, label))
 
 
 def forest_importance(df: DataFrame, features: list[str], label: str, **params) -> DataFrame:
@@ -113,7 +126,7 @@ def search(df: DataFrame, features: list[str], label: str, learner, param_maps:
     """Cross-validated search for the best F2 on the attack class, on precomputed folds."""
     table = training_table(df, features, label, [fold])
     validator = CrossValidator(
-        estimator=Pipeline(stages=[assembler(features), learner]), estimatorParamMaps=param_maps,
+        estimator=Pipeline(stages=[*input_stages(features), learner]), estimatorParamMaps=param_maps,
         evaluator=MulticlassClassificationEvaluator(**F2_ON_ATTACK), numFolds=folds, foldCol=fold,
         parallelism=parallelism)
     return validator.fit(table)
@@ -131,7 +144,7 @@ def score(df: DataFrame, model: PipelineModel) -> DataFrame:
     """Adds `prediction` (int) and `confidence`, the largest class probability."""
     out = model.transform(df)
     confidence = F.array_max(vector_to_array("probability")) if "probability" in out.columns else F.lit(1.0)
-    drop = [n for n in ("features", "rawPrediction", "probability") if n not in df.columns]
+    drop = [n for n in out.columns if n not in df.columns and n != "prediction"]
     return out.withColumns({"prediction": F.col("prediction").cast("int"), "confidence": confidence}).drop(*drop)
 
 

@@ -209,6 +209,22 @@ def calibration_findings(df: DataFrame, expected: list[str] = FEATURES) -> DataF
     return listed.unionByName(flat.select(F.lit("zero_variance").alias("kind"), "feature"))
 
 
+# What to do about a kind of finding.
+ADVICE = {
+    "missing": "Add the feature to the files or adjust feature extraction",
+    "critical_missing": "A critical feature is missing",
+    "zero_variance": "The feature does not vary and may not be useful",
+}
+
+
+def calibration_messages(findings: DataFrame) -> DataFrame:
+    """`(kind, severity, message)` rows for the findings."""
+    advice = F.create_map(*[F.lit(x) for pair in ADVICE.items() for x in pair])
+    return findings.select(
+        "kind", F.when(F.col("kind") == "critical_missing", "critical").otherwise("advice").alias("severity"),
+        F.concat(advice[F.col("kind")], F.lit(": "), "feature").alias("message"))
+
+
 # --------------------------------------------------------------------------- drift
 
 def drift_compare(a: DataFrame, b: DataFrame, names: list[str]) -> DataFrame:

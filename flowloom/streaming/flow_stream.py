@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor
 
-from ..operators import alerts, flow_features, labels, models
+from .. import workflows
+from ..operators import alerts
 from ..operators.flows import ENDPOINTS, MEASURES, FlowRules, is_closing_packet, with_flow_key
 from ..operators.hot_keys import next_starts
 from ..sources import sinks
@@ -111,23 +112,12 @@ def closed_flow_packets(packets: DataFrame, rules: FlowRules = FlowRules()) -> D
         statefulProcessor=FlowProcessor(rules), outputStructType=OUTPUT, outputMode="Append", timeMode="EventTime")
 
 
-def score_flows(batch: DataFrame, rules: FlowRules, model: PipelineModel, mapping: DataFrame) -> DataFrame:
-    """Closed flow packets of one micro-batch to scored, labelled flows."""
-    features = flow_features.sanitised(flow_features.features_of(batch, rules))
-    scored = labels.decode_labels(models.score(features, model), mapping)
-    return scored.withColumnsRenamed({"lo_ip": "src_ip", "lo_port": "src_port", "hi_ip": "dst_ip", "hi_port": "dst_port"}
-                                     ).withColumns({
-        "ts_us": F.col("start_us"), "packets": F.col("Total Fwd Packets") + F.col("Total Backward Packets"),
-        "bytes": F.col("Total Length of Fwd Packets") + F.col("Total Length of Bwd Packets"),
-        "duration_us": F.col("Flow Duration")})
-
-
 def start_detection(packets: DataFrame, model: PipelineModel, mapping: DataFrame, log_root: str, checkpoint: str,
                     rules: FlowRules = FlowRules(), features: list[str] = (),
                     callback: Callable[[DataFrame], None] | None = None, trigger: dict | None = None):
     """Packets in, scored flows out: flow log, attack log, and an optional function of each alert table."""
     def handle(batch: DataFrame, batch_id: int) -> None:
-        scored = score_flows(batch, rules, model, mapping).persist()
+        scored = workflows.score_flows(batch, rules, model, mapping).persist()
         # The folder of a batch is overwritten when the batch is repeated after a failure.
         sinks.flow_log_rows(scored, list(features)).write.mode("overwrite").json(f"{log_root}/flows/batch={batch_id}")
         alerts.attack_log(scored).write.mode("overwrite").json(f"{log_root}/attacks/batch={batch_id}")
