@@ -60,3 +60,9 @@ def unpivot_features(df: DataFrame, keys: list[str], names: list[str],
         F.struct(F.lit(n).alias(name_col), c(n).cast("double").alias(value_col)) for n in names
     ])
     return df.select(*[c(k) for k in keys], F.inline(cells))
+
+
+def side_by_side(a: DataFrame, b: DataFrame) -> DataFrame:
+    """The columns of two one-row tables as one row, by union and not by a join without a key."""
+    both = a.unionByName(b, allowMissingColumns=True)
+    return both.agg(*[F.max(c(n)).alias(n) for n in both.columns])

@@ -14,10 +14,11 @@ def with_running_totals(df: DataFrame, by: str, totals: dict[str, str], descendi
                         one_window_rows: int = ONE_WINDOW_ROWS, buckets: int = 2048) -> DataFrame:
     """Add cumulative sums in the order of the distinct double column `by`.
 
-    `totals` maps a summed column to the name of its running total (inclusive).
-    A short table (checked) takes one ordinary window. A long one is cut into
-    value ranges at approximate quantiles: totals per range give each range its
-    offset, and the window then runs inside a range only.
+    `df` should be written or cheap, since it is read more than once. `totals` maps a
+    summed column to the name of its running total (inclusive). A short table
+    (checked) takes one ordinary window. A long one is cut into value ranges at
+    approximate quantiles: totals per range give each range its offset, and the
+    window then runs inside a range only.
     """
     def order(col):
         return F.desc(col) if descending else F.asc(col)

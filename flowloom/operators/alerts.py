@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import ratio
+from ..functions.columns import ratio, side_by_side
 
 BENIGN = "BENIGN"
 
@@ -27,11 +27,11 @@ def session_stats(packets: DataFrame, scored: DataFrame) -> DataFrame:
     traffic = packets.agg(
         F.count("*").alias("packets_processed"), F.countDistinct("src_ip").alias("unique_src_ips"),
         F.countDistinct("dst_ip").alias("unique_dst_ips"),
-        ((F.max("ts_us") - F.min("ts_us")) / 1e6).alias("duration_seconds"), F.lit(1).alias("_k"))
+        ((F.max("ts_us") - F.min("ts_us")) / 1e6).alias("duration_seconds"))
     verdicts = scored.agg(
         F.count("*").alias("flows_analyzed"), F.count_if(F.col("label") != BENIGN).alias("attacks_detected"),
-        F.count_if(F.col("label") == BENIGN).alias("benign_flows"), F.lit(1).alias("_k"))
-    return traffic.join(verdicts, "_k").drop("_k").withColumn(  # one row each
+        F.count_if(F.col("label") == BENIGN).alias("benign_flows"))
+    return side_by_side(traffic, verdicts).withColumn(
         "detection_rate", ratio(F.col("attacks_detected"), F.col("flows_analyzed")) * 100)
 
 

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.bounded import pin_small
-from ..functions.columns import c, fbeta, ratio
+from ..functions.bounded import pin_small, stabilise
+from ..functions.columns import c, fbeta, ratio, side_by_side
 from ..functions.quantiles import exact_quantiles
 from ..functions.running import with_running_totals
 
@@ -104,31 +104,34 @@ def classification_report(df: DataFrame, truth: str, pred: str) -> DataFrame:
 # --------------------------------------------------------------------------- score curves
 
 def score_counts(df: DataFrame, score: str = "y_prob", truth: str = "y_true") -> DataFrame:
-    """Positives and negatives per distinct score: all curves start from this small table."""
-    return df.groupBy(c(score).cast("double").alias("score")).agg(
-        F.count_if(c(truth) == 1).alias("pos"), F.count_if(c(truth) == 0).alias("neg"))
+    """Positives and negatives per distinct score.
+
+    All curves start from this table. It is written once, so the predictions are read once.
+    """
+    return stabilise(df.groupBy(c(score).cast("double").alias("score")).agg(
+        F.count_if(c(truth) == 1).alias("pos"), F.count_if(c(truth) == 0).alias("neg")))
 
 
-def _cumulated(df: DataFrame, descending: bool, score: str, truth: str) -> DataFrame:
-    return with_running_totals(score_counts(df, score, truth), "score", {"pos": "tp", "neg": "fp"}, descending)
+def _cumulated(counts: DataFrame, descending: bool) -> DataFrame:
+    return with_running_totals(counts, "score", {"pos": "tp", "neg": "fp"}, descending)
 
 
-def _with_totals(points: DataFrame, df: DataFrame, truth: str) -> DataFrame:
-    row = df.agg(F.count_if(c(truth) == 1).alias("p"), F.count_if(c(truth) == 0).alias("n")).first()
-    return points.withColumns({"positives": F.lit(row.p), "negatives": F.lit(row.n)})
+def _curve(df: DataFrame, score: str, truth: str) -> DataFrame:
+    """Per distinct score: positives and negatives at or above it, and the totals."""
+    counts = score_counts(df, score, truth)
+    row = counts.agg(F.coalesce(F.sum("pos"), F.lit(0)).alias("p"), F.coalesce(F.sum("neg"), F.lit(0)).alias("n")).first()
+    return _cumulated(counts, True).withColumns({"positives": F.lit(row.p), "negatives": F.lit(row.n)})
 
 
 def roc_curve(df: DataFrame, score: str = "y_prob", truth: str = "y_true") -> DataFrame:
     """`(threshold, fpr, tpr)` per distinct score, classifying score >= threshold as positive."""
-    points = _with_totals(_cumulated(df, True, score, truth), df, truth)
-    return points.select(
+    return _curve(df, score, truth).select(
         F.col("score").alias("threshold"), ratio(F.col("fp"), F.col("negatives")).alias("fpr"),
         ratio(F.col("tp"), F.col("positives")).alias("tpr"))
 
 
 def pr_curve(df: DataFrame, score: str = "y_prob", truth: str = "y_true") -> DataFrame:
-    points = _with_totals(_cumulated(df, True, score, truth), df, truth)
-    return points.select(
+    return _curve(df, score, truth).select(
         F.col("score").alias("threshold"), ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"),
         ratio(F.col("tp"), F.col("positives")).alias("recall"))
 
@@ -138,14 +141,15 @@ def roc_auc(df: DataFrame, score: str = "y_prob", truth: str = "y_true") -> Data
 
     Each positive beats the negatives below its score and ties half of those at it.
     """
-    points = _cumulated(df, False, score, truth)  # fp here counts negatives at or below the score
+    # Ascending, so fp counts the negatives at or below a score.
+    points = _cumulated(score_counts(df, score, truth), False)
     wins = F.sum(F.col("pos") * (F.col("fp") - F.col("neg") / 2))
     pairs = F.sum("pos").cast("double") * F.sum("neg").cast("double")
     return points.agg(F.when(pairs > 0, wins / F.nullif(pairs, F.lit(0.0))).alias("roc_auc"))
 
 
 def average_precision(df: DataFrame, score: str = "y_prob", truth: str = "y_true") -> DataFrame:
-    points = _cumulated(df, True, score, truth)
+    points = _cumulated(score_counts(df, score, truth), True)
     positives = F.sum("pos").cast("double")
     weighted = F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp")))
     return points.agg(F.when(positives > 0, weighted / F.nullif(positives, F.lit(0.0))).alias("average_precision"))
@@ -209,12 +213,10 @@ def acceptance_checks(scores: DataFrame, model: str, file: str, benign_file, ddo
     checks = scores.agg(
         F.coalesce(F.bool_and(F.when(F.col(file) == benign_file, F.col("false_positive_rate") <= max_fpr)),
                    F.lit(True)).alias("benign_fpr_ok"),
-        F.coalesce(F.bool_or(F.when(F.col(file) == ddos_file, F.col("f1") > min_f1)), F.lit(False)).alias("ddos_f1_ok"),
-        F.lit(1).alias("_k"))
+        F.coalesce(F.bool_or(F.when(F.col(file) == ddos_file, F.col("f1") > min_f1)), F.lit(False)).alias("ddos_f1_ok"))
     best = rank_by_mean_f1(scores, model).agg(
-        F.coalesce(F.max("mean_f1") > min_mean_f1, F.lit(False)).alias("mean_f1_ok"), F.lit(1).alias("_k"))
-    out = checks.join(best, "_k").drop("_k")  # one row each
-    return out.withColumn("accepted", F.col("benign_fpr_ok") & F.col("ddos_f1_ok") & F.col("mean_f1_ok"))
+        F.coalesce(F.max("mean_f1") > min_mean_f1, F.lit(False)).alias("mean_f1_ok"))
+    return side_by_side(checks, best).withColumn("accepted", F.col("benign_fpr_ok") & F.col("ddos_f1_ok") & F.col("mean_f1_ok"))
 
 
 def detection_matrix(df: DataFrame, model: str, capture: str, models: list, attack: Column) -> DataFrame:

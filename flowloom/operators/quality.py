@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..constants import CALIBRATION_CATEGORIES, CRITICAL_FEATURES, DEFAULT_TOLERANCE, FEATURES, TOLERANCES
 from ..constants import VALIDATION_CATEGORIES
+from ..functions.bounded import stabilise
 from ..functions.columns import c, finite, pearson, ratio, unpivot_features
 from ..functions.quantiles import exact_quantiles
 from ..functions.ranks import placed
@@ -261,10 +262,10 @@ def ks_two_sample(a: DataFrame, b: DataFrame, value: str) -> DataFrame:
         return df.select(finite(c(value).cast("double")).alias("x"), F.lit(in_a).alias("in_a"),
                          F.lit(1 - in_a).alias("in_b")).where("x is not null")
 
-    per_value = side(a, 1).unionByName(side(b, 0)).groupBy("x").agg(
-        F.sum("in_a").alias("a"), F.sum("in_b").alias("b"))
+    # One row per distinct value, written once and read three times.
+    per_value = stabilise(side(a, 1).unionByName(side(b, 0)).groupBy("x").agg(
+        F.sum("in_a").alias("a"), F.sum("in_b").alias("b")))
     curve = with_running_totals(per_value, "x", {"a": "cum_a", "b": "cum_b"})
-    # The totals are the largest running sums; the statistic needs them per point.
     sizes = per_value.agg(F.coalesce(F.sum("a"), F.lit(0)).alias("n"), F.coalesce(F.sum("b"), F.lit(0)).alias("m")).first()
     gap = F.abs(ratio(F.col("cum_a"), F.lit(sizes.n)) - ratio(F.col("cum_b"), F.lit(sizes.m)))
     out = curve.agg(F.coalesce(F.max(gap), F.lit(0.0)).alias("ks_statistic"))

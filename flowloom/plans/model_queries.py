@@ -65,7 +65,7 @@ def train_gbt_leafwise(spark, sf_dir):
 
 @query("param_search")
 def param_search(spark, sf_dir):
-    folds = sampling.assign_folds(_table(spark, sf_dir), "row_key", 2, "y")
+    folds = stabilise(sampling.assign_folds(_table(spark, sf_dir), "row_key", 2, "y"))
     learner = models.random_forest()
     space = {"numTrees": ("int", 5, 10), "maxDepth": [3, 5], "minInstancesPerNode": ("int", 1, 10)}
     draws = models.draw_params(learner, space, 2)
