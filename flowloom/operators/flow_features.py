@@ -2,81 +2,67 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import FEATURES
-from ..functions.columns import any_of, c, is_infinite, is_missing, ratio
-from .flows import ENDPOINTS, FLOW, FlowRules, flag_aggregates, per_flow, segment, window_aggregates, with_timing
-
-
-def _spread(prefix: str, value: Column) -> list[Column]:
-    return [F.max(value).alias(f"{prefix}_max"), F.min(value).alias(f"{prefix}_min"),
-            F.stddev_pop(value).alias(f"{prefix}_std")]
-
-
-def _moments() -> list[Column]:
-    fwd, bwd = F.col("is_forward"), ~F.col("is_forward")
-    length, iat = F.col("packet_len"), F.col("iat_us")
-    out = [
-        *_spread("fwd_len", F.when(fwd, length)), *_spread("bwd_len", F.when(bwd, length)),
-        F.var_pop(length).alias("len_var"), F.stddev_pop(iat).alias("iat_std"),
-        F.count_if(fwd & (F.col("payload_len") > 0)).alias("act_data_pkt_fwd"),
-    ]
-    for prefix, value in (("fwd_iat", F.when(fwd, iat)), ("bwd_iat", F.when(bwd, iat)),
-                          ("active", F.col("active_us")), ("idle", F.col("idle_us"))):
-        out += [*_spread(prefix, value), F.sum(value).alias(f"{prefix}_total"), F.count(value).alias(f"{prefix}_n")]
-    return out
+from ..functions.columns import any_of, c, is_infinite, is_missing
+from .flows import ENDPOINTS, FLOW, SIDES, FlowRules, flag_aggregates, per_flow, segment, window_aggregates, with_timing
 
 
-def _feature_expressions() -> dict[str, Column]:
-    """Features over the aggregates. Means, and extremes over both directions, follow from the parts."""
-    seconds = F.col("duration_us") / 1e6
-    window = {d: F.coalesce(F.nullif(F.col(f"init_win_{d}"), F.lit(0)), F.lit(65535)) for d in ("fwd", "bwd")}
+def _spread(prefix: str, value: str) -> list[str]:
+    return [f"max({value}) as {prefix}_max", f"min({value}) as {prefix}_min", f"stddev_pop({value}) as {prefix}_std"]
 
-    def mean(total: Column, n: Column) -> Column:
-        return total / F.nullif(n, F.lit(0))
 
-    def either(f, name: str) -> Column:
-        return f(F.col(f"fwd_{name}"), F.col(f"bwd_{name}"))
+def _moments() -> list[str]:
+    out = ["var_pop(packet_len) as len_var", "stddev_pop(iat_us) as iat_std",
+           "count_if(is_forward and payload_len > 0) as act_data_pkt_fwd"]
+    for name, side in SIDES.items():
+        out += _spread(f"{name}_len", f"if({side}, packet_len, null)")
+    for prefix, value in (("fwd_iat", f"if({SIDES['fwd']}, iat_us, null)"), ("bwd_iat", f"if({SIDES['bwd']}, iat_us, null)"),
+                          ("active", "active_us"), ("idle", "idle_us")):
+        out += [*_spread(prefix, value), f"sum({value}) as {prefix}_total", f"count({value}) as {prefix}_n"]
+    return out
 
-    fwd_mean = mean(F.col("fwd_bytes"), F.col("fwd_packets"))
-    bwd_mean = mean(F.col("bwd_bytes"), F.col("bwd_packets"))
-    iat_total = F.coalesce("fwd_iat_total", F.lit(0)) + F.coalesce("bwd_iat_total", F.lit(0))
+
+def _feature_sql() -> dict[str, str]:
+    """Features over the aggregates. Means, and extremes over both directions, follow from the parts."""
+    seconds = "(duration_us / 1e6D)"
+    fwd_mean, bwd_mean = "fwd_bytes / nullif(fwd_packets, 0)", "bwd_bytes / nullif(bwd_packets, 0)"
     out = {
-        "Flow Duration": F.col("duration_us"),
-        "Total Fwd Packets": F.col("fwd_packets"), "Total Backward Packets": F.col("bwd_packets"),
-        "Total Length of Fwd Packets": F.col("fwd_bytes"), "Total Length of Bwd Packets": F.col("bwd_bytes"),
+        "Flow Duration": "duration_us",
+        "Total Fwd Packets": "fwd_packets", "Total Backward Packets": "bwd_packets",
+        "Total Length of Fwd Packets": "fwd_bytes", "Total Length of Bwd Packets": "bwd_bytes",
         "Fwd Packet Length Mean": fwd_mean, "Bwd Packet Length Mean": bwd_mean,
-        "Flow Bytes/s": F.col("bytes") / seconds, "Flow Packets/s": F.col("packets") / seconds,
-        "Fwd Packets/s": F.col("fwd_packets") / seconds, "Bwd Packets/s": F.col("bwd_packets") / seconds,
-        "Flow IAT Mean": mean(iat_total, F.col("fwd_iat_n") + F.col("bwd_iat_n")), "Flow IAT Std": F.col("iat_std"),
-        "Flow IAT Max": either(F.greatest, "iat_max"), "Flow IAT Min": either(F.least, "iat_min"),
-        "Fwd IAT Total": F.col("fwd_iat_total"), "Bwd IAT Total": F.col("bwd_iat_total"),
-        "Fwd Header Length": F.col("fwd_header_bytes"), "Bwd Header Length": F.col("bwd_header_bytes"),
-        "Fwd Header Length.1": F.col("fwd_header_bytes"),
-        "Min Packet Length": either(F.least, "len_min"), "Max Packet Length": either(F.greatest, "len_max"),
-        "Packet Length Mean": mean(F.col("bytes"), F.col("packets")),
-        "Packet Length Std": F.sqrt("len_var"), "Packet Length Variance": F.col("len_var"),
-        "Down/Up Ratio": ratio(F.col("bwd_packets"), F.col("fwd_packets")),
-        "Average Packet Size": ratio(F.col("bytes"), F.col("packets")),
+        "Flow Bytes/s": f"bytes / {seconds}", "Flow Packets/s": f"packets / {seconds}",
+        "Fwd Packets/s": f"fwd_packets / {seconds}", "Bwd Packets/s": f"bwd_packets / {seconds}",
+        "Flow IAT Mean": "(coalesce(fwd_iat_total, 0) + coalesce(bwd_iat_total, 0)) / nullif(fwd_iat_n + bwd_iat_n, 0)",
+        "Flow IAT Std": "iat_std",
+        "Flow IAT Max": "greatest(fwd_iat_max, bwd_iat_max)", "Flow IAT Min": "least(fwd_iat_min, bwd_iat_min)",
+        "Fwd IAT Total": "fwd_iat_total", "Bwd IAT Total": "bwd_iat_total",
+        "Fwd Header Length": "fwd_header_bytes", "Bwd Header Length": "bwd_header_bytes",
+        "Fwd Header Length.1": "fwd_header_bytes",
+        "Min Packet Length": "least(fwd_len_min, bwd_len_min)", "Max Packet Length": "greatest(fwd_len_max, bwd_len_max)",
+        "Packet Length Mean": "bytes / packets", "Packet Length Std": "sqrt(len_var)", "Packet Length Variance": "len_var",
+        "Down/Up Ratio": "bwd_packets / nullif(fwd_packets, 0)", "Average Packet Size": "bytes / packets",
         "Avg Fwd Segment Size": fwd_mean, "Avg Bwd Segment Size": bwd_mean,
-        "Subflow Fwd Packets": F.col("fwd_packets"), "Subflow Fwd Bytes": F.col("fwd_bytes"),
-        "Subflow Bwd Packets": F.col("bwd_packets"), "Subflow Bwd Bytes": F.col("bwd_bytes"),
-        "Init_Win_bytes_forward": window["fwd"], "Init_Win_bytes_backward": window["bwd"],
-        "act_data_pkt_fwd": F.col("act_data_pkt_fwd"), "min_seg_size_forward": F.col("fwd_len_min"),
+        "Subflow Fwd Packets": "fwd_packets", "Subflow Fwd Bytes": "fwd_bytes",
+        "Subflow Bwd Packets": "bwd_packets", "Subflow Bwd Bytes": "bwd_bytes",
+        "Init_Win_bytes_forward": "coalesce(nullif(init_win_fwd, 0), 65535)",
+        "Init_Win_bytes_backward": "coalesce(nullif(init_win_bwd, 0), 65535)",
+        "act_data_pkt_fwd": "act_data_pkt_fwd", "min_seg_size_forward": "fwd_len_min",
     }
     for title, prefix in (("Fwd Packet Length", "fwd_len"), ("Bwd Packet Length", "bwd_len"),
                           ("Fwd IAT", "fwd_iat"), ("Bwd IAT", "bwd_iat"), ("Active", "active"), ("Idle", "idle")):
         for stat in ("Max", "Min", "Std"):
-            out[f"{title} {stat}"] = F.col(f"{prefix}_{stat.lower()}")
-    for title, prefix in (("Fwd IAT", "fwd_iat"), ("Bwd IAT", "bwd_iat"), ("Active", "active"), ("Idle", "idle")):
-        out[f"{title} Mean"] = mean(F.col(f"{prefix}_total"), F.col(f"{prefix}_n"))
+            out[f"{title} {stat}"] = f"{prefix}_{stat.lower()}"
+        if not prefix.endswith("len"):
+            out[f"{title} Mean"] = f"{prefix}_total / nullif({prefix}_n, 0)"
     for name in FEATURES:
         if "Bulk" in name:
-            out[name] = F.lit(0.0)
+            out[name] = "0.0D"
         elif "Flag" in name:
-            out[name] = c(name)
+            out[name] = f"`{name}`"
     return out
 
 
@@ -91,11 +77,11 @@ def flow_features(packets: DataFrame, rules: FlowRules = FlowRules(), wanted: li
 
 def features_of(segmented: DataFrame, rules: FlowRules = FlowRules(), wanted: list[str] | None = None) -> DataFrame:
     timed = with_timing(segmented, rules)
-    flows = per_flow(timed, [*flag_aggregates(), *window_aggregates(), *_moments()])
-    exprs = _feature_expressions()
-    return flows.select(
+    flows = per_flow(timed, [*flag_aggregates(), *window_aggregates(), *_moments()], in_order=True)
+    sql = _feature_sql()
+    return flows.selectExpr(
         *FLOW, *ENDPOINTS, "initiator_ip", "start_us",
-        *[F.coalesce(exprs[n].cast("double"), F.lit(0.0)).alias(n) for n in (wanted or FEATURES)])
+        *[f"coalesce(cast({sql[n]} as double), 0.0D) as `{n}`" for n in (wanted or FEATURES)])
 
 
 def sanitised(features: DataFrame, names: list[str] = FEATURES) -> DataFrame:

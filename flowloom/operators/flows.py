@@ -75,60 +75,39 @@ def is_closing_packet() -> Column:
 SLICE = 1024  # packets folded between two appends to the outer result
 
 
-def flow_starts(packets: Column, rules: FlowRules, first: int | Column = 0) -> Column:
-    """Positions in a sorted packet array at which a new flow begins.
-
-    A fold carrying the open flow: its start, its packet count, the last time
-    seen and whether a closing flag was seen. The packet that reaches a limit
-    still belongs to the flow; a gap above the idle timeout begins a new one.
-    The array is folded in slices so that the growing result is copied once per
-    slice and not once per flow.
-    """
-    zero = F.lit(0)
-    state0 = F.struct(
-        (F.lit(first) if isinstance(first, int) else first).cast("int").alias("at"),
-        zero.alias("n"), F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("last"),
-        F.lit(False).alias("closing"),
-    )
+def flow_starts(packets: str, rules: FlowRules, first: str = "0") -> Column:
+    """Positions in the sorted packet array column at which a new flow begins, from `first` on.
 
-    def step(acc: Column, p: Column) -> Column:
-        fresh = (acc["n"] == 0) | (p["ts_us"] - acc["last"] > rules.idle_timeout)
-        n = F.when(fresh, 1).otherwise(acc["n"] + 1)
-        start = F.when(fresh, p["ts_us"]).otherwise(acc["start"])
-        closing = (~fresh & acc["closing"]) | p["closes"]
-        done = (
-            (n >= rules.max_packets)
-            | (p["ts_us"] - start > rules.active_timeout)
-            | (closing & (n >= rules.min_closing_packets))
-        )
-        return F.struct(
-            (acc["at"] + 1).alias("at"),
-            F.when(done, 0).otherwise(n).alias("n"), start.alias("start"), p["ts_us"].alias("last"),
-            closing.alias("closing"),
-            F.when(fresh, F.concat(acc["starts"], F.array(acc["at"]))).otherwise(acc["starts"]).alias("starts"),
-        )
-
-    def one_slice(acc: Column, number: Column) -> Column:
-        inner0 = F.struct(
-            *[acc["state"][f].alias(f) for f in ("at", "n", "start", "last", "closing")],
-            F.array().cast("array<int>").alias("starts"),
-        )
-        part = F.slice(packets, state0["at"] + number * SLICE + 1, F.lit(SLICE))
-        return F.aggregate(
-            part, inner0, step,
-            lambda done: F.struct(
-                F.struct(*[done[f].alias(f) for f in ("at", "n", "start", "last", "closing")]).alias("state"),
-                F.concat(acc["starts"], F.array(done["starts"])).alias("starts"),
-            ),
-        )
-
-    slices = F.sequence(zero, F.floor((F.size(packets) - state0["at"] - 1) / SLICE).cast("int"))
-    folded = F.aggregate(
-        F.when(F.size(packets) > state0["at"], slices).otherwise(F.array().cast("array<int>")),
-        F.struct(state0.alias("state"), F.array().cast("array<array<int>>").alias("starts")),
-        one_slice,
-    )
-    return F.flatten(folded["starts"])
+    A fold carrying the open flow: its packet count, its start, the last time seen and
+    whether a closing flag was seen. The packet that reaches a limit still belongs to the
+    flow; a gap above the idle timeout begins a new one. The array is folded in slices so
+    that the growing result is copied once per slice and not once per flow.
+    """
+    fresh = f"(s.n = 0 or p.ts_us - s.last > {rules.idle_timeout}L)"
+    n = f"if({fresh}, 1, s.n + 1)"
+    start = f"if({fresh}, p.ts_us, s.start)"
+    closing = f"(p.closes or (s.closing and not {fresh}))"
+    done = (f"({n} >= {rules.max_packets} or p.ts_us - {start} > {rules.active_timeout}L "
+            f"or ({closing} and {n} >= {rules.min_closing_packets}))")
+
+    def state(of: str, starts: str) -> str:
+        fields = ", ".join(f"'{f}', {of}.{f}" for f in ("at", "n", "start", "last", "closing"))
+        return f"named_struct({fields}, 'starts', {starts})"
+
+    one_slice = f"""aggregate(
+        slice({packets}, cast({first} as int) + number * {SLICE} + 1, {SLICE}),
+        {state('acc', 'cast(array() as array<int>)')},
+        (s, p) -> named_struct(
+            'at', s.at + 1, 'n', if({done}, 0, {n}), 'start', {start}, 'last', p.ts_us, 'closing', {closing},
+            'starts', if({fresh}, concat(s.starts, array(s.at)), s.starts)),
+        s -> {state('s', 'concat(acc.starts, array(s.starts))')})"""
+    slices = f"sequence(0, cast(floor((size({packets}) - {first} - 1) / {SLICE}) as int))"
+    return F.expr(f"""flatten(aggregate(
+        if(size({packets}) > {first}, {slices}, cast(array() as array<int>)),
+        named_struct('at', cast({first} as int), 'n', 0, 'start', 0L, 'last', 0L, 'closing', false,
+                     'starts', cast(array() as array<array<int>>)),
+        (acc, number) -> {one_slice},
+        acc -> acc.starts))""")
 
 
 def split_into_flows(grouped: DataFrame, keys: list[str], starts: Column, flow_pos: Column) -> DataFrame:
@@ -180,7 +159,7 @@ def segment(packets: DataFrame, rules: FlowRules = FlowRules(), carry: list[str]
 
 def _segment_ordinary(keyed: DataFrame, rules: FlowRules, carry: list[str]) -> DataFrame:
     grouped = gather(keyed, ["flow_key"], carry)
-    return split_into_flows(grouped, ["flow_key"], flow_starts(F.col("packets"), rules), F.col("begin").cast("long"))
+    return split_into_flows(grouped, ["flow_key"], flow_starts("packets", rules), F.col("begin").cast("long"))
 
 
 # --------------------------------------------------------------------------- per-packet timing
@@ -229,35 +208,35 @@ def active_idle_periods(segmented: DataFrame, rules: FlowRules = FlowRules()) ->
 
 # --------------------------------------------------------------------------- per-flow aggregates
 
-def _when(forward: bool) -> Column:
-    return F.col("is_forward") if forward else ~F.col("is_forward")
+SIDES = {"fwd": "is_forward", "bwd": "not is_forward"}
 
 
-def base_aggregates() -> list[Column]:
+def base_aggregates() -> list[str]:
     out = [
-        F.min("ts_us").alias("start_us"), F.max("ts_us").alias("last_us"),
-        F.count("*").alias("packets"), F.sum(F.col("packet_len").cast("long")).alias("bytes"),
-        F.min_by("is_forward", "packet_no").alias("initiator_is_lo"),
+        "min(ts_us) as start_us", "max(ts_us) as last_us", "count(*) as packets",
+        "sum(cast(packet_len as bigint)) as bytes", "min_by(is_forward, packet_no) as initiator_is_lo",
     ]
-    for name, fwd in (("fwd", True), ("bwd", False)):
+    for name, side in SIDES.items():
         out += [
-            F.count_if(_when(fwd)).alias(f"{name}_packets"),
-            F.sum(F.when(_when(fwd), F.col("packet_len")).otherwise(0).cast("long")).alias(f"{name}_bytes"),
-            F.sum(F.when(_when(fwd), F.col("header_len")).otherwise(0).cast("long")).alias(f"{name}_header_bytes"),
+            f"count_if({side}) as {name}_packets",
+            f"sum(cast(if({side}, packet_len, 0) as bigint)) as {name}_bytes",
+            f"sum(cast(if({side}, header_len, 0) as bigint)) as {name}_header_bytes",
         ]
     return out
 
 
-def per_flow(segmented: DataFrame, aggregates: list[Column]) -> DataFrame:
+def per_flow(segmented: DataFrame, aggregates: list[str], in_order: bool = False) -> DataFrame:
     """Aggregates per flow, with its endpoints, initiator and duration (at least 1 microsecond).
 
-    The endpoints are grouping columns: constant inside a flow, they cost nothing
-    there, while text among the aggregates would rule out hash aggregation.
+    The endpoints are constant inside a flow. As grouping columns they let Spark hash.
+    Rows that already lie in flow order (`in_order`, after a window over flows) are better
+    aggregated as they come: text among the aggregates makes Spark do that, with no hash
+    table to fill and no further sort.
     """
-    return segmented.groupBy(*FLOW, *ENDPOINTS).agg(*base_aggregates(), *aggregates).withColumns({
-        "initiator_ip": F.when(F.col("initiator_is_lo"), F.col("lo_ip")).otherwise(F.col("hi_ip")),
-        "duration_us": F.greatest(F.col("last_us") - F.col("start_us"), F.lit(1)),
-    }).drop("initiator_is_lo")
+    keys, firsts = (FLOW, [f"first({n}) as {n}" for n in ENDPOINTS]) if in_order else ([*FLOW, *ENDPOINTS], [])
+    return segmented.groupBy(*keys).agg(*map(F.expr, [*firsts, *base_aggregates(), *aggregates])).selectExpr(
+        "*", "if(initiator_is_lo, lo_ip, hi_ip) as initiator_ip", "greatest(last_us - start_us, 1) as duration_us"
+    ).drop("initiator_is_lo")
 
 
 def flow_base(segmented: DataFrame) -> DataFrame:
@@ -265,32 +244,28 @@ def flow_base(segmented: DataFrame) -> DataFrame:
     return per_flow(segmented, []).drop(*ENDPOINTS)
 
 
-def flag_aggregates() -> list[Column]:
-    def has(flag: str) -> Column:
-        return F.col("tcp_flags").bitwiseAND(TCP_FLAG_BITS[flag]) != 0
+def flag_aggregates() -> list[str]:
+    def has(flag: str) -> str:
+        return f"(tcp_flags & {TCP_FLAG_BITS[flag]}) <> 0"
 
-    out = [F.count_if(has(flag)).alias(feature) for feature, flag in FLAG_FEATURES.items()]
+    out = [f"count_if({has(flag)}) as `{feature}`" for feature, flag in FLAG_FEATURES.items()]
     for flag in ("PSH", "URG"):
-        out += [F.count_if(has(flag) & _when(True)).alias(f"Fwd {flag} Flags"),
-                F.count_if(has(flag) & _when(False)).alias(f"Bwd {flag} Flags")]
+        out += [f"count_if({has(flag)} and {side}) as `{name.capitalize()} {flag} Flags`" for name, side in SIDES.items()]
     return out
 
 
 def flow_flags(segmented: DataFrame) -> DataFrame:
-    return segmented.groupBy(*FLOW).agg(*flag_aggregates())
+    return segmented.groupBy(*FLOW).agg(*map(F.expr, flag_aggregates()))
 
 
-def window_aggregates() -> list[Column]:
-    return [
-        F.min_by("window_size", F.when(_when(fwd) & F.col("window_size").isNotNull(), F.col("packet_no")))
-        .alias(f"init_win_{name}")
-        for name, fwd in (("fwd", True), ("bwd", False))
-    ]
+def window_aggregates() -> list[str]:
+    return [f"min_by(window_size, if({side} and window_size is not null, packet_no, null)) as init_win_{name}"
+            for name, side in SIDES.items()]
 
 
 def flow_init_window(segmented: DataFrame) -> DataFrame:
     """Window size of the first packet of each direction, NULL without packets."""
-    return segmented.groupBy(*FLOW).agg(*window_aggregates())
+    return segmented.groupBy(*FLOW).agg(*map(F.expr, window_aggregates()))
 
 
 def flow_counters(segmented: DataFrame, rules: FlowRules = FlowRules()) -> DataFrame:

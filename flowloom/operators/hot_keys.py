@@ -111,7 +111,7 @@ def segment_hot(keyed: DataFrame, rules: flows.FlowRules, carry: list[str], chun
 
     grouped = flows.gather(spread, KEYS, carry).join(entries, KEYS)
     # Packets past the last flow that begins in this chunk belong to the next chunk's flows.
-    cut = grouped.withColumn("all_starts", flows.flow_starts(F.col("packets"), rules, F.col("entry")))
+    cut = grouped.withColumn("all_starts", flows.flow_starts("packets", rules, "entry"))
     cut = cut.withColumn("starts", F.filter("all_starts", lambda s: s < chunk_packets)).withColumn(
         "stop", F.coalesce(F.get("all_starts", F.size("starts")), F.size("packets")))
     cut = cut.withColumn("packets", F.slice("packets", F.lit(1), F.col("stop")))
