@@ -112,14 +112,16 @@ def flow_starts(packets: str, rules: FlowRules, first: str = "0") -> Column:
 
 def split_into_flows(grouped: DataFrame, keys: list[str], starts: Column, flow_pos: Column) -> DataFrame:
     """Rows `(keys, endpoints, packets)` and the flow start positions to one row per packet."""
+    # Each flow takes its own slice before the explode, so no row carries the whole array.
     # The outer variants: no array is empty here, and the inner ones would make the
     # optimizer add a non-empty filter that evaluates the fold a second time.
+    cut = """transform(starts, (b, i) -> named_struct(
+        'begin', b, 'packets', slice(packets, b + 1, coalesce(get(starts, i + 1), size(packets)) - b)))"""
     flows = grouped.withColumn("starts", starts).select(
-        *keys, *ENDPOINTS, "packets", "starts", F.posexplode_outer("starts").alias("i", "begin"))
-    end = F.coalesce(F.get("starts", F.col("i") + 1), F.size("packets"))
-    packets = F.posexplode_outer(F.slice("packets", F.col("begin") + 1, end - F.col("begin")))
+        *keys, *ENDPOINTS, F.explode_outer(F.expr(cut)).alias("flow")
+    ).select(*keys, *ENDPOINTS, F.col("flow.begin").alias("begin"), F.col("flow.packets").alias("flow_packets"))
     return flows.select(
-        *keys, flow_pos.alias("flow_pos"), *ENDPOINTS, packets.alias("packet_no", "packet")
+        *keys, flow_pos.alias("flow_pos"), *ENDPOINTS, F.posexplode_outer("flow_packets").alias("packet_no", "packet")
     ).select(*keys, "flow_pos", *ENDPOINTS, "packet_no", "packet.*")
 
 

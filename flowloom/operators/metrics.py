@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.bounded import pin_small, stabilise
-from ..functions.columns import c, fbeta, ratio, side_by_side
+from ..functions.columns import c, fbeta, is_missing, ratio, side_by_side
 from ..functions.quantiles import exact_quantiles
 from ..functions.running import with_running_totals
 
@@ -104,11 +104,11 @@ def classification_report(df: DataFrame, truth: str, pred: str) -> DataFrame:
 # --------------------------------------------------------------------------- score curves
 
 def score_counts(df: DataFrame, score: str = "y_prob", truth: str = "y_true") -> DataFrame:
-    """Positives and negatives per distinct score.
+    """Positives and negatives per distinct score; rows without a score are left out.
 
     All curves start from this table. It is written once, so the predictions are read once.
     """
-    return stabilise(df.groupBy(c(score).cast("double").alias("score")).agg(
+    return stabilise(df.where(~is_missing(c(score).cast("double"))).groupBy(c(score).cast("double").alias("score")).agg(
         F.count_if(c(truth) == 1).alias("pos"), F.count_if(c(truth) == 0).alias("neg")))
 
 

@@ -140,3 +140,11 @@ def test_one_shuffle_from_packets_to_features(spark, sf):
     physical = plan.split("== Physical Plan ==")[1]
     assert physical.count("Exchange hashpartitioning") == 1
     assert "PythonUDF" not in physical and "MapInPandas" not in physical
+
+
+def test_segmentation_reads_only_what_it_needs(spark, sf):
+    import __spark_entry__ as entry
+
+    physical = entry.queries()["flow_segments"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    schema = physical.split("ReadSchema: ")[1].split("\n")[0]
+    assert "value" not in schema and "user_id" in schema

@@ -178,6 +178,18 @@ def test_curves_against_brute_force(spark):
     assert max(r.tpr for r in metrics.roc_curve(df).collect()) == 1.0
 
 
+def test_curves_in_value_ranges(spark, monkeypatch):
+    from flowloom.functions import running
+
+    rng = random.Random(9)
+    df = spark.createDataFrame([(int(rng.random() < 0.3), rng.random()) for _ in range(2000)] + [(1, None), (0, float("nan"))],
+                               "y_true int, y_prob double")
+    whole = metrics.roc_auc(df).first()[0], metrics.average_precision(df).first()[0]
+    monkeypatch.setattr(running.with_running_totals, "__defaults__", (False, 50, 32))
+    ranged = metrics.roc_auc(df).first()[0], metrics.average_precision(df).first()[0]
+    assert whole == pytest.approx(ranged)
+
+
 # --------------------------------------------------------------------------- scorecard, quality, timing
 
 def test_scorecard_rules(spark):
