@@ -30,7 +30,7 @@ def _local_dir() -> str:
     return tempfile.mkdtemp(prefix="spark-")
 
 
-def _shared_dir(spark: SparkSession) -> str:
+def shared_dir(spark: SparkSession) -> str:
     """The folder the session names; a temporary one only where all executors are this process."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -47,6 +47,6 @@ def stabilise(df: DataFrame) -> DataFrame:
     positions taken from a range shuffle). The written table survives the loss
     of executors and cuts the lineage.
     """
-    path = f"{_shared_dir(df.sparkSession)}/stage-{uuid.uuid4().hex}"
+    path = f"{shared_dir(df.sparkSession)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
