@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash_dedup
+from . import chat_format, license_scan, minhash_dedup, mixing, packing
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,27 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op1_chat_format", chat_format.SQL)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.render(table(spark, sf_dir, "conversations"))
+
+
+@query("op3_license_scan", license_scan.sql())
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.licenses(table(spark, sf_dir, "documents"))
+
+
+@query("op5_packing")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = packing.packed(table(spark, sf_dir, "documents"))
+    return placed.withColumns({"length": placed["length"].cast("long"), "offset": placed["offset"].cast("long")})
+
+
 @query("op8_minhash_dedup")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op9_mixing")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(table(spark, sf_dir, "documents")).drop("shards")
