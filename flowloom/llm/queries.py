@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import chat_format, license_scan, minhash_dedup, mixing, packing
+from . import chat_format, license_scan, media_archive, minhash_dedup, mixing, packing, quality_lm, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,12 +34,22 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.licenses(table(spark, sf_dir, "documents"))
 
 
+@query("op4_media_archive")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_archive.digests(media_archive.stored(table(spark, sf_dir, "documents")))
+
+
 @query("op5_packing")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = packing.packed(table(spark, sf_dir, "documents"))
     return placed.withColumns({"length": placed["length"].cast("long"), "offset": placed["offset"].cast("long")})
 
 
+@query("op6_quality_lm")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_lm.classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query("op8_minhash_dedup")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
@@ -47,3 +58,9 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_mixing")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(table(spark, sf_dir, "documents")).drop("shards")
+
+
+@query("op10_toxicity")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.withColumn("n_offending", F.size("spans")).withColumn("first_offending", F.try_element_at("spans", F.lit(1))["start"]).drop("spans")
