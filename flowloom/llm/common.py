@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Bits of an id filter. It travels to every task, so its size is fixed; with more ids than fit it only lets more rows pass.
 FILTER_BITS = 1 << 23
@@ -36,7 +37,7 @@ def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
+def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType) -> DataFrame:
     """Apply a function of one Arrow batch to every batch; batches it returns None for are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

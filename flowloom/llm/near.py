@@ -118,8 +118,8 @@ def _verified(pairs: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent
         F.col("a").alias("u"), F.col("b").alias("v"))
 
 
-def _members(batches, names: list[str]):
-    """Batches of sorted rows, cut only where the group (the first three columns) changes."""
+def grouped(batches, names: list[str]):
+    """Batches of sorted rows, cut only where the group changes."""
     held = None
     for batch in batches:
         part = pa.Table.from_batches([batch])
@@ -164,7 +164,7 @@ def _unresolved_pairs(members: DataFrame, scheme: Scheme) -> DataFrame:
     laid = spread.repartition(*group).sortWithinPartitions(*group)
 
     def compare(batches):
-        for t in _members(batches, group):
+        for t in grouped(batches, group):
             key, low, high = (t[n].to_numpy() for n in group)
             block, ids, comp = (t[n].to_numpy() for n in ("block", "id", "comp"))
             sigs = matrix(t["sig"].combine_chunks(), np.uint16, scheme.symbols)

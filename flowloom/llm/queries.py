@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, license_scan, media_archive, minhash_dedup, mixing, packing, quality_lm, toxicity
+from . import chat_format, lattice_dedup, license_scan, media_archive, minhash_dedup, mixing, packing, quality_lm, substring_dedup, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +29,12 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.render(table(spark, sf_dir, "conversations"))
 
 
+@query("op2_substring_dedup")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substring_dedup.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.withColumn("n_removed", F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["length"]))
+
+
 @query("op3_license_scan", license_scan.sql())
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.licenses(table(spark, sf_dir, "documents"))
@@ -50,6 +56,11 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_lm.classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query("op7_lattice_dedup")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_dedup.linked(table(spark, sf_dir, "embeddings"))
+
+
 @query("op8_minhash_dedup")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
