@@ -27,8 +27,8 @@ from .components import components
 from .near import Scheme, clusters, signature
 
 #: 60 symbols in 10 chunks, one error a chunk. At similarity 0.8 a pair shares no key with probability 2e-5 and
-#: differs in more than 30 symbols with probability below 1e-8.
-SCHEME = Scheme(chunks=10, width=6, errors=1, most=30)
+#: differs in more than 26 symbols with probability 4e-6.
+SCHEME = Scheme(chunks=10, width=6, errors=1, most=26)
 #: Above every document id: rows without one are named by their text.
 NAMELESS = 1 << 62
 

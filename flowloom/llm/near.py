@@ -6,9 +6,9 @@ only for ids that occur in a candidate pair. A `Scheme` says how keys are made o
 Candidates come in two passes, so that a bucket with very many members never becomes all its
 pairs. First every member is compared with the smallest id of its bucket. Where all members of
 a bucket then lie in one component, nothing is left to find in it. The members of the other
-buckets are laid out in blocks; a task meets at most two blocks, compares the signatures of
-members of different components, and hands on a pair only in the first bucket that both share.
-Every candidate pair is thus either verified or already connected.
+buckets are laid out in blocks; a task meets at most two blocks and compares the signatures of
+members of different components. This second pass confirms all pairs that are left inside the task, each in the first
+bucket that both share, and hands on links only. Every candidate pair is thus either verified or already connected.
 """
 
 from __future__ import annotations
@@ -152,42 +152,85 @@ def _pairs_within(starts: np.ndarray, sizes: np.ndarray):
         at = upto
 
 
-def _unresolved_pairs(members: DataFrame, scheme: Scheme) -> DataFrame:
-    """Candidate pairs of buckets that hold several components. `members`: (key, n, id, comp, sig)."""
+GROUP = ["key", "low", "high"]
+
+
+def _laid(members: DataFrame) -> DataFrame:
+    """Members (key, n, id, ...) of buckets as sorted groups of one or two blocks."""
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    spread = members.withColumn("blocks", blocks).withColumn("block", mine).withColumn(
-        "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "id",
-        "comp", "sig")
-    group = ["key", "low", "high"]
-    laid = spread.repartition(*group).sortWithinPartitions(*group)
-
-    def compare(batches):
-        for t in grouped(batches, group):
-            key, low, high = (t[n].to_numpy() for n in group)
-            block, ids, comp = (t[n].to_numpy() for n in ("block", "id", "comp"))
-            sigs = matrix(t["sig"].combine_chunks(), np.uint16, scheme.symbols)
-            fresh = np.ones(len(key), bool)
-            fresh[1:] = (key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])
-            starts = np.flatnonzero(fresh)
-            sizes = np.diff(np.append(starts, len(key)))
-            for i, j in _pairs_within(starts, sizes):
-                ok = (comp[i] != comp[j]) & ((low[i] == high[i]) | (block[i] != block[j]))
-                i, j = i[ok], j[ok]
-                near = np.zeros(len(i), np.int32)
-                for s in range(scheme.symbols):
-                    near += sigs[i, s] != sigs[j, s]
-                i, j = i[near <= scheme.most], j[near <= scheme.most]
-                if not len(i):
-                    continue
-                a, b = keys_of(sigs[i], scheme), keys_of(sigs[j], scheme)
-                shared = (a == b).argmax(axis=1)
-                first = a[np.arange(len(i)), shared] == key[i]
-                x, y = ids[i[first]], ids[j[first]]
-                yield pa.record_batch([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
-
-    return laid.mapInArrow(compare, "a long, b long")
+    spread = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return spread.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")).drop(
+        "blocks", "other", "n").repartition(*GROUP).sortWithinPartitions(*GROUP)
+
+
+def _candidates(t: pa.Table, scheme: Scheme):
+    """Index pairs of rows of different components with like signatures, each in the first bucket that both share."""
+    key, low, high = (t[n].to_numpy() for n in GROUP)
+    block, comp = t["block"].to_numpy(), t["comp"].to_numpy()
+    sigs = matrix(t["sig"].combine_chunks(), np.uint16, scheme.symbols)
+    fresh = np.ones(len(key), bool)
+    fresh[1:] = (key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])
+    starts = np.flatnonzero(fresh)
+    for i, j in _pairs_within(starts, np.diff(np.append(starts, len(key)))):
+        ok = (comp[i] != comp[j]) & ((low[i] == high[i]) | (block[i] != block[j]))
+        i, j = i[ok], j[ok]
+        near = np.zeros(len(i), np.int32)
+        for s in range(scheme.symbols):
+            near += sigs[i, s] != sigs[j, s]
+        ok = near <= scheme.most
+        i, j = i[ok], j[ok]
+        if len(i):
+            a, b = keys_of(sigs[i], scheme), keys_of(sigs[j], scheme)
+            first = a[np.arange(len(i)), (a == b).argmax(axis=1)] == key[i]
+            yield i[first], j[first]
+
+
+def _all_links(members: DataFrame, fetch: Callable[[DataFrame], DataFrame], scheme: Scheme, percent: int) -> DataFrame:
+    """Links `(u, v)` among all candidates that are left, confirmed on the full sets inside the task.
+
+    A first pass finds the members that have a candidate at all; only these receive their sets.
+    """
+    def active(batches):
+        for t in grouped(batches, GROUP):
+            hit = np.zeros(t.num_rows, bool)
+            for i, j in _candidates(t, scheme):
+                hit[i] = hit[j] = True
+            if hit.any():
+                yield from t.select(["key", "low", "high", "block", "id", "comp", "sig"]).filter(pa.array(hit)).combine_chunks().to_batches()
+
+    kept = stabilise(_laid(members).mapInArrow(
+        active, "key long, low int, high int, block int, id long, comp long, sig binary"))
+    if kept.isEmpty():
+        return kept.selectExpr("id as u", "id as v")
+    sets = fetch(kept.select("id").distinct())
+    armed = kept.join(sets, "id").repartition(*GROUP).sortWithinPartitions(*GROUP)
+
+    def link(batches):
+        for t in grouped(batches, GROUP):
+            ids, sets = t["id"].to_numpy(), [np.sort(m.values.to_numpy()) for m in t["members"]]
+            name: dict[int, int] = {}
+
+            def top(x: int) -> int:
+                while (y := name.get(x, x)) != x:
+                    x = y
+                return x
+
+            us, vs = [], []
+            for i, j in _candidates(t, scheme):
+                for x, y in zip(i.tolist(), j.tolist(), strict=True):
+                    a, b = top(ids[x].item()), top(ids[y].item())
+                    if a == b:
+                        continue
+                    both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                    if 100 * both >= percent * (len(sets[x]) + len(sets[y]) - both):
+                        name[max(a, b)] = min(a, b)
+                        us.append(ids[x])
+                        vs.append(ids[y])
+            if us:
+                yield pa.record_batch([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
+
+    return armed.mapInArrow(link, "u long, v long")
 
 
 def clusters(items: DataFrame, fetch: Callable[[DataFrame], DataFrame], scheme: Scheme, percent: int = 80) -> DataFrame:
@@ -207,6 +250,6 @@ def clusters(items: DataFrame, fetch: Callable[[DataFrame], DataFrame], scheme:
     wide = shared.where("n > 2").join(of, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
     open_keys = wide.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where(
         "least <> most").select("key")
-    members = wide.join(open_keys, "key", "left_semi").join(items.select("id", "sig"), "id")
-    more = stabilise(_verified(_unresolved_pairs(members, scheme).distinct(), fetch, percent))
+    members = wide.join(open_keys, "key", "left_semi").join(items.select("id", "sig"), "id").select("key", "n", "id", "comp", "sig")
+    more = stabilise(_all_links(members, fetch, scheme, percent))
     return found if more.isEmpty() else components(edges.union(more))
