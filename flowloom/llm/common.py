@@ -67,25 +67,20 @@ def slots(ids: np.ndarray) -> np.ndarray:
 
 def id_filter(ids: DataFrame, column: str):
     """A broadcast bitmap that is set at least for every id of `ids`; bounded by FILTER_BITS whatever their number."""
-    part_bits = FILTER_BITS // 256
 
     def fold(batches):
         bits = np.zeros(FILTER_BITS, bool)
         for batch in batches:
             bits[slots(batch.column(0).to_numpy(zero_copy_only=False))] = True
-        parts = np.flatnonzero(bits.reshape(256, part_bits).any(axis=1))
-        packed = np.packbits(bits.reshape(256, part_bits)[parts], axis=1)
-        yield pa.record_batch([pa.array(parts.astype(np.int32)), pa.array(packed.view(np.int64).tolist(), pa.list_(pa.int64()))],
-                              ["part", "words"])
-
-    words = part_bits // 64
-    partial = ids.where(F.col(column).isNotNull()).select(F.col(column).cast("long")).mapInArrow(fold, "part int, words array<long>")
-    merged = partial.select("part", F.posexplode("words").alias("at", "word")).where("word <> 0").groupBy("part", "at").agg(
-        F.bit_or("word").alias("word"))
-    bits = np.zeros(256 * words, np.int64)
-    rows = merged.toArrow()
-    bits[rows["part"].to_numpy() * words + rows["at"].to_numpy()] = rows["word"].to_numpy()
-    return ids.sparkSession.sparkContext.broadcast(np.unpackbits(bits.view(np.uint8)).astype(bool))
+        words = np.packbits(bits).view(np.int64)
+        at = np.flatnonzero(words)
+        yield pa.record_batch([pa.array(at), pa.array(words[at])], ["at", "word"])
+
+    partial = ids.where(F.col(column).isNotNull()).select(F.col(column).cast("long")).mapInArrow(fold, "at long, word long")
+    rows = partial.groupBy("at").agg(F.bit_or("word").alias("word")).toArrow()  # FILTER_BITS / 64 rows at most
+    words = np.zeros(FILTER_BITS // 64, np.int64)
+    words[rows["at"].to_numpy()] = rows["word"].to_numpy()
+    return ids.sparkSession.sparkContext.broadcast(np.unpackbits(words.view(np.uint8)).astype(bool))
 
 
 def may_contain(bits: np.ndarray, ids: pa.Array) -> np.ndarray:

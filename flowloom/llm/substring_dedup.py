@@ -43,45 +43,46 @@ def banding(threshold: float, recall: float, rows: int) -> int:
 
 #: Few rows a band, since unrelated paragraphs share no five words: 10 bands of 2 miss a pair at 0.8 once in 25,000.
 SCHEME = Scheme(chunks=banding(0.8, 0.9999, 2), width=2, errors=0, most=14)
-SENTENCE = re.compile(r"[^.!?\n]+[.!?]*")
-LINE = re.compile(r"[^\n]+")
-TOKEN = re.compile(r"\S+")
+SENTENCE = re.compile(rb"[^.!?\n]+[.!?]*")
+LINE = re.compile(rb"[^\n]+")
 _seeds = np.random.default_rng(20240608).integers(0, 1 << 63, SCHEME.symbols, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def words_of(text: str) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").lower().split()
+def lowered(text: str) -> bytes:
+    return text.encode("utf-8", "surrogatepass").lower()
 
 
-def sentences(text: str):
-    """`(start, end, words, hash)` of the sentences of a text, long ones in pieces."""
-    for m in SENTENCE.finditer(text):
-        words = words_of(m.group())
-        if len(words) <= LONG_SENTENCE:
-            if words:
-                yield m.start(), m.end(), len(words), xxhash.xxh64_intdigest(b" ".join(words))
-            continue
-        first, held = None, []
-        for w in TOKEN.finditer(text, m.start(), m.end()):
-            first = w.start() if first is None else first
-            held.append(w.group().encode("utf-8", "surrogatepass").lower())
-            if xxhash.xxh32_intdigest(held[-1]) % 16 == 0:
-                yield first, w.end(), len(held), xxhash.xxh64_intdigest(b" ".join(held))
-                first, held = None, []
-        if held:
-            yield first, m.end(), len(held), xxhash.xxh64_intdigest(b" ".join(held))
-
-
-def paragraphs(text: str):
-    """`(start, end, words)` of the lines that are long enough to be compared."""
-    for m in LINE.finditer(text):
-        words = words_of(m.group())
-        if len(words) >= MIN_WORDS:
-            yield m.start(), m.end(), words
+def sentences(low: bytes):
+    """`(start, end, words, hash)` of the sentences of a text in UTF-8 and lower case; long ones in pieces.
 
-
-def paragraph_name(words: list[bytes]) -> int:
-    return xxhash.xxh64_intdigest(b" ".join(words), seed=1)
+    Words are counted by the blanks between them.
+    """
+    for m in SENTENCE.finditer(low):
+        said = m.group()
+        n = said.count(b" ") + 1
+        if n <= LONG_SENTENCE:
+            said = said.strip()
+            if said:
+                yield m.start(), m.end(), n, xxhash.xxh64_intdigest(said)
+            continue
+        at, first, held = m.start(), m.start(), 0
+        for w in said.split(b" "):
+            at += len(w) + 1
+            held += 1
+            if w and (7 * w[0] + len(w)) % 16 == 0:  # a rule of the word alone cuts a passage alike everywhere
+                yield first, at - 1, held, xxhash.xxh64_intdigest(low[first:at - 1].strip())
+                first, held = at, 0
+        if first < m.end() and (rest := low[first:m.end()].strip()):
+            yield first, m.end(), held, xxhash.xxh64_intdigest(rest)
+
+
+def paragraphs(low: bytes):
+    """`(start, end, words, hash)` of the lines that are long enough to be compared."""
+    for m in LINE.finditer(low):
+        line = m.group()
+        n = line.count(b" ") + 1
+        if n >= MIN_WORDS and len(line.split(None, MIN_WORDS)) >= MIN_WORDS:
+            yield m.start(), m.end(), n, xxhash.xxh64_intdigest(line.strip(), seed=1)
 
 
 def _signed(h: list[int]) -> pa.Array:
@@ -117,10 +118,11 @@ def _paragraph_items(rows: DataFrame) -> DataFrame:
     def run(batch):
         names, ids, lines = [], [], []
         for i, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            for _, _, words in paragraphs(text):
-                names.append(paragraph_name(words))
+            low = lowered(text)
+            for start, end, _, h in paragraphs(low):
+                names.append(h)
                 ids.append(i)
-                lines.append(words)
+                lines.append(low[start:end].split())
         if not lines:
             return None
         sigs = _signatures(lines)
@@ -137,12 +139,14 @@ def _fetcher(rows: DataFrame):
         def run(batch):
             names, sets = [], []
             for text in batch.column("text").to_pylist():
-                own = [words for _, _, words in paragraphs(text)]
+                low = lowered(text)
+                own = list(paragraphs(low))
                 if not own:
                     continue
-                h = _signed([paragraph_name(words) for words in own])
+                h = _signed([p[3] for p in own])
                 for at in np.flatnonzero(may_contain(wanted.value, h)):
-                    hashed = np.fromiter((xxhash.xxh64_intdigest(w) for w in own[at]), np.uint64, len(own[at]))
+                    words = low[own[at][0]:own[at][1]].split()
+                    hashed = np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words))
                     names.append(h[at].as_py())
                     sets.append(np.unique(shingle_hashes(hashed, WIDTH)).view(np.int64))
             return pa.record_batch([pa.array(names, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["id", "members"])
@@ -158,7 +162,7 @@ def _sentence_counts(rows: DataFrame) -> DataFrame:
     def run(batch):
         names, ids = [], []
         for i, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            own = {s[3] for s in sentences(text)}
+            own = {s[3] for s in sentences(lowered(text))}
             names.extend(own)
             ids.append(np.full(len(own), i, np.int64))
         return pa.record_batch([_signed(names), pa.array(np.concatenate(ids))], ["h", "id"])
@@ -168,7 +172,7 @@ def _sentence_counts(rows: DataFrame) -> DataFrame:
 
 
 def spans(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """`(row, removed)`: for `row` = xxhash64(doc_id, text) the spans `(start, end)` in characters that repeat elsewhere."""
+    """`(row, removed)`: for `row` = xxhash64(doc_id, text) the spans `(start, end)` in bytes of UTF-8 that repeat elsewhere."""
     rows = _named(docs)
     # Paragraphs: equal ones first, then classes of similar ones.
     items = stabilise(_paragraph_items(rows).groupBy("h").agg(
@@ -183,8 +187,8 @@ def spans(docs: DataFrame, percent: int = 80) -> DataFrame:
     def occurrences(batch):
         out = {k: [] for k in ("kind", "h", "row", "id", "at", "start", "end", "words")}
         for i, row, text in zip(*(batch.column(c).to_pylist() for c in ("id", "row", "text")), strict=True):
-            lines = [(a, b, len(w), paragraph_name(w)) for a, b, w in paragraphs(text)]
-            for kind, seen, some in ((0, list(sentences(text)), some_sentences.value), (1, lines, some_paragraphs.value)):
+            low = lowered(text)
+            for kind, seen, some in ((0, list(sentences(low)), some_sentences.value), (1, list(paragraphs(low)), some_paragraphs.value)):
                 if not seen:
                     continue
                 h = _signed([s[3] for s in seen])
@@ -228,15 +232,19 @@ def merged(found: list[dict], least: int = MIN_WORDS) -> list[tuple[int, int]]:
     return flat
 
 
-def cut(text: str, gone: list[tuple[int, int]]) -> str:
-    """The text without the spans; a line break goes with the line that it ended."""
-    kept, at = "", 0
-    for a, b in [*gone, (len(text), len(text))]:
-        part = text[at:a]
+def cut(text: str, gone: list[tuple[int, int]]) -> tuple[str, list[dict]]:
+    """The text without the spans, and the spans in characters; a line break goes with the line that it ended."""
+    whole, kept, at, spans_, chars = text.encode("utf-8", "surrogatepass"), "", 0, [], 0
+    for a, b in [*gone, (len(whole), len(whole))]:
+        part, lost = (whole[x:y].decode("utf-8", "surrogatepass") for x, y in ((at, a), (a, b)))
+        chars += len(part)
+        if lost:
+            spans_.append({"start": chars, "length": len(lost)})
+        chars += len(lost)
         if part.startswith("\n") and (not kept or kept.endswith("\n")):
             part = part[1:]
         kept, at = kept + part, b
-    return kept
+    return kept, spans_
 
 
 def deduplicated(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -258,8 +266,9 @@ def deduplicated(docs: DataFrame, percent: int = 80) -> DataFrame:
         texts, removed = [], []
         for text, own in zip(batch.column("text").to_pylist(), batch.column("found").to_pylist(), strict=True):
             gone = merged(own) if own else []
-            texts.append(cut(text, gone) if gone else text)
-            removed.append([{"start": a, "length": b - a} for a, b in gone])
+            left, lost = cut(text, gone) if gone else (text, [])
+            texts.append(left)
+            removed.append(lost)
         spans_ = pa.array(removed, pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())])))
         columns = [pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in names]
         return pa.RecordBatch.from_arrays([*columns, spans_], names=[*names, "removed"])
