@@ -193,7 +193,8 @@ def linked(rows: DataFrame, column: str = "embedding", cosine: float = COSINE, t
 
     def promising(batches):
         for t in grouped(batches, group):
-            k, s0, s1 = (t[c].to_numpy() for c in ("k", "s0", "s1"))
+            k = t["k"].to_numpy()
+            s0, s1 = (t[c].to_numpy().view(np.uint64) for c in ("s0", "s1"))  # bits of signed numbers are counted without sign
             hit = np.zeros(t.num_rows, bool)
             for i, j in _bipartite(*_sides(t, group)):
                 near = np.bitwise_count(s0[i] ^ s0[j]).astype(np.int32) + np.bitwise_count(s1[i] ^ s1[j])
