@@ -43,8 +43,12 @@ def attack_log(scored: DataFrame) -> DataFrame:
     return alerts(scored).select(*ATTACK_LOG)
 
 
-def block_list(scored: DataFrame, threshold: float = 0.7, source: str = "src_ip", key: str = "flow_key") -> DataFrame:
-    """Source addresses with a confident alert: first time, and the label of that first alert."""
+def block_list(scored: DataFrame, threshold: float = 0.7, source: str | None = None, key: str = "flow_key") -> DataFrame:
+    """Source addresses with a confident alert: first time, and the label of that first alert.
+
+    The source is the sender of a flow's first packet where the table knows it, else `src_ip`.
+    """
+    source = source or ("initiator_ip" if "initiator_ip" in scored.columns else "src_ip")
     four_parts = F.size(F.split(F.col(source), r"\.")) == 4
     return alerts(scored, threshold).where(four_parts).groupBy(F.col(source).alias("ip")).agg(
         F.min("ts_us").alias("blocked_us"), F.min_by("label", F.struct("ts_us", key)).alias("reason"))

@@ -95,10 +95,10 @@ def find_column(columns: list[str], *names: str) -> str | None:
 
 
 def align(df: DataFrame, expected: list[str] = FEATURES, keep: list[str] = ()) -> DataFrame:
-    """The expected columns in order; absent ones are 0.0. `keep` columns come first."""
+    """The expected columns in order; absent ones are 0.0, text that is no number is NULL. `keep` columns come first."""
     def pick(name: str) -> Column:
         actual = find_column(df.columns, name)
-        return (c(actual).cast("double") if actual is not None else F.lit(0.0)).alias(name)
+        return (c(actual).try_cast("double") if actual is not None else F.lit(0.0)).alias(name)
 
     return df.select(*[c(k) for k in keep], *[pick(n) for n in expected])
 

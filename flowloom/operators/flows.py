@@ -130,11 +130,11 @@ def gather(keyed: DataFrame, keys: list[str], carry: list[str]) -> DataFrame:
     packet = F.struct("ts_us", "packet_id", is_closing_packet().alias("closes"), "is_forward", *carry)
     return keyed.groupBy(*keys).agg(
         *[F.first(n).alias(n) for n in ENDPOINTS],  # constant inside a key
-        F.array_sort(F.collect_list(packet)).alias("packets"))
+        F.sort_array(F.collect_list(packet)).alias("packets"))
 
 
 def segment(packets: DataFrame, rules: FlowRules = FlowRules(), carry: list[str] | None = None) -> DataFrame:
-    """Assign every packet to its flow.
+    """Assign every TCP or UDP packet to its flow; others belong to none.
 
     The result has `flow_key, flow_pos`, the endpoints, `packet_no` (position in the
     flow), `ts_us, packet_id, closes, is_forward` and the `carry` columns (by default
@@ -148,7 +148,7 @@ def segment(packets: DataFrame, rules: FlowRules = FlowRules(), carry: list[str]
     from . import hot_keys
 
     carry = MEASURES if carry is None else carry
-    keyed = with_flow_key(packets)
+    keyed = with_flow_key(keep_tcp_udp(packets))
     heavy, rows = pin_small(
         keyed.groupBy("flow_key").agg(F.count("*").alias("n")).where(F.col("n") > rules.hot_key_packets))
     if rows == []:

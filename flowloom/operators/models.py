@@ -143,7 +143,11 @@ def search_results(df: DataFrame, fitted, param_maps: list[dict]) -> DataFrame:
 def score(df: DataFrame, model: PipelineModel) -> DataFrame:
     """Adds `prediction` (int) and `confidence`, the largest class probability."""
     out = model.transform(df)
-    confidence = F.array_max(vector_to_array("probability")) if "probability" in out.columns else F.lit(1.0)
+    if "probability" in out.columns:
+        confidence = F.array_max(vector_to_array("probability"))
+    else:  # one model against the rest for each class: their logistic margins, scaled to one
+        shares = F.transform(vector_to_array("rawPrediction"), lambda m: 1 / (1 + F.exp(-2 * m)))
+        confidence = F.array_max(shares) / F.aggregate(shares, F.lit(0.0), lambda a, b: a + b)
     drop = [n for n in out.columns if n not in df.columns and n != "prediction"]
     return out.withColumns({"prediction": F.col("prediction").cast("int"), "confidence": confidence}).drop(*drop)
 

@@ -56,7 +56,7 @@ def cut_by_rank(df: DataFrame, by: str | None, key: str, seed: int,
         ranks = F.broadcast(spark.createDataFrame(inner, f"_class {kind}, rank long"))  # one row per class and cut
         upto = W.partitionBy("_class").orderBy("_bucket").rowsBetween(W.unboundedPreceding, W.currentRow)
         cumulated = per_bucket.withColumn("after", F.sum("n").over(upto))
-        hits = cumulated.join(ranks, "_class").where(
+        hits = cumulated.join(ranks.withColumnRenamed("_class", "_of"), F.col("_class").eqNullSafe(F.col("_of"))).where(
             (F.col("rank") < F.col("after")) & (F.col("rank") >= F.col("after") - F.col("n")))
         for r in hits.collect():  # one row per class and cut
             marks[r["_class"]].append((r["_bucket"], r["rank"], r.after - r.n))
@@ -72,7 +72,7 @@ def cut_by_rank(df: DataFrame, by: str | None, key: str, seed: int,
     def count_true(conditions: list[Column]) -> Column:
         return sum((F.coalesce(x.cast("int"), F.lit(0)) for x in conditions), F.col("_first"))
 
-    rows = hashed.join(per_class, "_class")
+    rows = hashed.join(per_class.withColumnRenamed("_class", "_of"), F.col("_class").eqNullSafe(F.col("_of"))).drop("_of")
     helpers = ["_class", "_hash", "_bucket", "_first", "_rank", *[x for f in fields for x in f]]
     at_cut = F.coalesce(any_of([F.col("_bucket") == F.col(b) for b, _, _ in fields]), F.lit(False))
     easy = rows.where(~at_cut).withColumn(
@@ -93,7 +93,7 @@ def _padded(marks: list[tuple], width: int) -> list[tuple]:
 def balance(df: DataFrame, key: str, ratio: float = 2.0, label: str = "Label_Binary", seed: int = 42) -> DataFrame:
     """Undersample the largest class to `int(smallest * ratio)` rows; other classes are dropped."""
     def cuts(totals: dict) -> dict:
-        order = sorted(totals, key=lambda k: (totals[k], k))
+        order = sorted(totals, key=lambda k: (totals[k], k is not None, k if k is not None else 0))
         smallest, largest = order[0], order[-1]
         keep = {largest: min(totals[largest], int(totals[smallest] * ratio))}
         keep[smallest] = totals[smallest]
@@ -118,10 +118,22 @@ def stratified_split(df: DataFrame, key: str, label: str = "Label_Binary", test:
 
 
 def stratified_sample(df: DataFrame, key: str, n: int, label: str, seed: int = 42) -> DataFrame:
-    """About n rows: each class gives `int(n * its share)`, at least one."""
+    """n rows, or all if there are fewer: each class gives its share, the largest remainders round up, none is left out.
+
+    With more classes than n, every class still gives one row.
+    """
     def cuts(totals: dict) -> dict:
         total = sum(totals.values())
-        return {k: [min(m, max(1, n * m // total))] for k, m in totals.items()}
+        give = {k: min(m, max(1, n * m // total)) for k, m in totals.items()}
+        left = min(n, total) - sum(give.values())
+        order = sorted(totals, key=lambda k: (-(n * totals[k] % total), k is not None, k if k is not None else 0))
+        while left > 0:
+            for k in [k for k in order if give[k] < totals[k]][:left]:
+                give[k], left = give[k] + 1, left - 1
+        while left < 0 and max(give.values()) > 1:
+            for k in sorted(give, key=lambda k: -give[k])[:1]:
+                give[k], left = give[k] - 1, left + 1
+        return {k: [m] for k, m in give.items()}
 
     return cut_by_rank(df, label, key, seed, cuts).where("part = 0").drop("part")
 

@@ -221,8 +221,12 @@ def stratified_split(df):
     return sampling.stratified_split(_binary(df), "row_key", "y")
 
 
-@over_view("stratified_sample", VIEW, RANKED + """, total as (select count(*) as m from binary_rows)
-select row_key, y from ranked, total where rn <= least(n, greatest(1, 1000 * n // m))""")
+@over_view("stratified_sample", VIEW, RANKED + """, total as (select count(*) as m from binary_rows),
+shares as (select y as share_of, count(*) as n_of, greatest(1, 1000 * count(*) // m) as base, (1000 * count(*)) % m as rest
+  from binary_rows, total group by y, m),
+given as (select share_of, base + cast(row_number() over (order by rest desc, share_of) <= 1000 - sum(base) over () as integer) as give
+  from shares)
+select row_key, y from ranked join given on y = share_of where rn <= give""")
 def stratified_sample(df):
     return sampling.stratified_sample(_binary(df), "row_key", 1000, "y")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,7 +44,7 @@ def _first_lines(batches):
 
 def read_headers(spark: SparkSession, path: str) -> DataFrame:
     """`(file, header)` for every CSV file of a folder; opens each file only for its first line."""
-    files = sorted(spark.read.text(path).inputFiles())
+    files = sorted(spark.read.option("pathGlobFilter", "*.csv").text(path).inputFiles())
     if not files:
         raise FileNotFoundError(f"no CSV files under {path}")
     listed = spark.createDataFrame([(f,) for f in files], "file string").repartition(min(len(files), 256))
@@ -77,7 +79,7 @@ def read_flow_csvs(spark: SparkSession, path: str, expected: list[str] | None =
         frame = (
             spark.read.schema(flow_schema(expected or clean_header(header)))
             .options(header=True, enforceSchema=True, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
-            .csv(files)
+            .csv([unquote(f) for f in files])  # listed names are percent-encoded
         )
         tables.append(frame.select("*", F.col("_metadata.file_name").alias("source_file")))
     return union_files(tables)

@@ -23,7 +23,7 @@ from pyspark.sql.streaming import StatefulProcessor
 
 from .. import workflows
 from ..operators import alerts
-from ..operators.flows import ENDPOINTS, MEASURES, FlowRules, is_closing_packet, with_flow_key
+from ..operators.flows import ENDPOINTS, MEASURES, FlowRules, is_closing_packet, keep_tcp_udp, with_flow_key
 from ..operators.hot_keys import next_starts
 from ..sources import sinks
 
@@ -106,7 +106,7 @@ class FlowProcessor(StatefulProcessor):
 
 def closed_flow_packets(packets: DataFrame, rules: FlowRules = FlowRules()) -> DataFrame:
     """The packets of every flow as it closes, as the batch segmentation would give them."""
-    keyed = with_flow_key(packets).withColumn("closes", is_closing_packet()).select(
+    keyed = with_flow_key(keep_tcp_udp(packets)).withColumn("closes", is_closing_packet()).select(
         "flow_key", "ts", *ENDPOINTS, "ts_us", "packet_id", "closes", "is_forward", *MEASURES)
     return keyed.groupBy("flow_key").transformWithStateInPandas(
         statefulProcessor=FlowProcessor(rules), outputStructType=OUTPUT, outputMode="Append", timeMode="EventTime")

@@ -128,7 +128,7 @@ def test_multiclass_boosting(spark):
     data = spark.createDataFrame([(float(i), float(i % 5), i // 40) for i in range(120)], "a double, b double, y int")
     model = models.train_boosted_multiclass(data, ["a", "b"], "y", maxIter=2, maxDepth=2)
     scored = models.score(data, model)
-    assert scored.where("y = prediction").count() > 100 and scored.first().confidence == 1.0
+    assert scored.where("y = prediction").count() > 100 and scored.where("confidence <= 0 or confidence >= 1").count() == 0
 
 
 # --------------------------------------------------------------------------- captures
@@ -193,3 +193,12 @@ def test_captures(spark, tmp_path, content):
 
 def test_feature_list_is_complete():
     assert len(set(FEATURES)) == 77
+
+
+def test_csv_folder_with_a_stray_file_and_a_blank_in_a_name(spark, tmp_path):
+    folder = tmp_path / "flow days"
+    folder.mkdir()
+    (folder / "day one.csv").write_text("Flow Duration,Label\n5,BENIGN\n")
+    (folder / "README.txt").write_text("not a table")
+    rows = csv_flows.read_flow_csvs(spark, str(folder)).collect()
+    assert [r["Flow Duration"] for r in rows] == [5.0]

@@ -275,3 +275,26 @@ def test_timing_skips_internal_operations(spark):
                                  "operations map<string,double>, parameters map<string,string>")
     assert rows(timing.operation_share(runs).select("operation", "percent")) == [("load", 40.0)]
     assert rows(timing.parameter_values(runs)) == [("m", "k", "v")]
+
+
+def test_classes_without_a_value_stay_and_samples_are_exact(spark):
+    from flowloom.operators import sampling
+    rows = [(i, None if i % 10 == 0 else i % 3) for i in range(100)]
+    df = spark.createDataFrame(rows, "k long, y int")
+    assert sampling.stratified_split(df, "k", "y").count() == 100
+    assert sampling.assign_folds(df, "k", 5, "y").count() == 100
+    assert sampling.stratified_sample(df, "k", 37, "y").count() == 37
+    even = spark.createDataFrame([(i, i % 40) for i in range(400)], "k long, y int")
+    assert sampling.stratified_sample(even, "k", 50, "y").count() == 50
+
+
+def test_align_reads_text_that_is_no_number_as_null(spark):
+    from flowloom.operators import clean
+    got = clean.align(spark.createDataFrame([("1.5",), ("n/a",)], "a string"), ["a", "b"]).collect()
+    assert [tuple(r) for r in got] == [(1.5, 0.0), (None, 0.0)]
+
+
+def test_block_list_names_the_initiator(spark):
+    from flowloom.operators import alerts
+    import inspect
+    assert inspect.signature(alerts.block_list).parameters["source"].default is None
