@@ -26,7 +26,7 @@ from .common import arrow_map, matrix, mix
 from .components import components
 
 #: Members of a bucket that one task compares with as many others.
-BLOCK = 256
+BLOCK = 1024
 
 
 @dataclass(frozen=True)
