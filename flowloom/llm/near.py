@@ -27,6 +27,8 @@ from .components import components
 
 #: Members of a bucket that one task compares with as many others.
 BLOCK = 1024
+#: Pairs that a task compares at once; bounds its memory whatever a block holds.
+PIECE = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -137,18 +139,16 @@ def grouped(batches, names: list[str]):
 
 
 def _pairs_within(starts: np.ndarray, sizes: np.ndarray):
-    """All index pairs i < j inside groups, group by group, in pieces of bounded size."""
-    budget, at = 1 << 20, 0
-    while at < len(sizes):
-        upto = at + max(1, int(np.searchsorted(np.cumsum(sizes[at:].astype(np.int64) ** 2), budget)))
-        s, n = starts[at:upto], sizes[at:upto].astype(np.int64)
-        total = n * n
-        base = np.repeat(np.cumsum(total) - total, total)
-        local = np.arange(total.sum()) - base
-        width, first = np.repeat(n, total), np.repeat(s, total)
-        i, j = local // width, local % width
-        ok = i < j
-        yield first[ok] + i[ok], first[ok] + j[ok]
+    """All index pairs i < j inside adjoining groups, in pieces of `PIECE` pairs and at most one row's more."""
+    row = np.arange(int(sizes.sum()))
+    later = np.repeat(starts + sizes, sizes) - row - 1
+    reach, at = np.cumsum(later), 0
+    while at < len(row):
+        done = reach[at - 1] if at else 0
+        upto = max(at + 1, int(np.searchsorted(reach, done + PIECE, "right")))
+        n = later[at:upto]
+        i = np.repeat(row[at:upto], n)
+        yield i, i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
         at = upto
 
 
