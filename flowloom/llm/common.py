@@ -37,13 +37,20 @@ def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType) -> DataFrame:
-    """Apply a function of one Arrow batch to every batch; batches it returns None for are left out."""
+def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType,
+              slice_bytes: int | None = None) -> DataFrame:
+    """Apply a function of one Arrow batch to every batch; batches it returns None for are left out.
+
+    With `slice_bytes` a batch is handed on in slices of about this size, for functions that hold many times their input.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows and (out := fn(batch)) is not None and out.num_rows:
-                yield out
+            rows = batch.num_rows
+            step = max(1, rows * slice_bytes // max(1, batch.nbytes)) if slice_bytes else max(1, rows)
+            for at in range(0, rows, step):
+                if (out := fn(batch.slice(at, step))) is not None and out.num_rows:
+                    yield out
 
     return df.mapInArrow(run, schema)
 

@@ -34,6 +34,8 @@ from .near import Scheme, clusters
 WIDTH = 5
 MIN_WORDS = 25
 LONG_SENTENCE = 20
+#: Bytes of texts that a task takes apart at once: words and spans as Python objects take some twenty times as much.
+SLICE = 4 << 20
 
 
 def banding(threshold: float, recall: float, rows: int) -> int:
@@ -129,7 +131,7 @@ def _paragraph_items(rows: DataFrame) -> DataFrame:
         cells = pa.array([s.tobytes() for s in sigs], pa.binary())
         return pa.record_batch([_signed(names), pa.array(ids, pa.int64()), cells], ["h", "id", "sig"])
 
-    return arrow_map(rows.select("id", "text"), run, "h long, id long, sig binary")
+    return arrow_map(rows.select("id", "text"), run, "h long, id long, sig binary", SLICE)
 
 
 def _fetcher(rows: DataFrame):
@@ -151,7 +153,7 @@ def _fetcher(rows: DataFrame):
                     sets.append(np.unique(shingle_hashes(hashed, WIDTH)).view(np.int64))
             return pa.record_batch([pa.array(names, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["id", "members"])
 
-        found = arrow_map(rows.select("text"), run, "id long, members array<long>")
+        found = arrow_map(rows.select("text"), run, "id long, members array<long>", SLICE)
         return found.join(ids, "id", "left_semi").groupBy("id").agg(F.first("members").alias("members"))
 
     return fetch
@@ -167,7 +169,7 @@ def _sentence_counts(rows: DataFrame) -> DataFrame:
             ids.append(np.full(len(own), i, np.int64))
         return pa.record_batch([_signed(names), pa.array(np.concatenate(ids))], ["h", "id"])
 
-    return arrow_map(rows.select("id", "text"), run, "h long, id long").groupBy("h").agg(
+    return arrow_map(rows.select("id", "text"), run, "h long, id long", SLICE).groupBy("h").agg(
         F.min("id").alias("keeper"), F.max("id").alias("last")).where("keeper <> last").select("h", "keeper")
 
 
@@ -199,7 +201,7 @@ def spans(docs: DataFrame, percent: int = 80) -> DataFrame:
         kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32()]
         return pa.record_batch([pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True)], list(out))
 
-    met = arrow_map(rows, occurrences, "kind int, h long, row long, id long, at int, start int, end int, words int")
+    met = arrow_map(rows, occurrences, "kind int, h long, row long, id long, at int, start int, end int, words int", SLICE)
     keepers = repeated.withColumn("kind", F.lit(0)).union(similar.withColumn("kind", F.lit(1)))
     gone = met.join(keepers, ["kind", "h"]).where("id <> keeper").select("row", "kind", "at", "start", "end", "words")
     # Neighbouring sentences form runs; a paragraph is long enough by itself. A document's spans are bounded by its text.
@@ -275,5 +277,5 @@ def deduplicated(docs: DataFrame, percent: int = 80) -> DataFrame:
 
     plain = side(False).drop("_row").withColumn("removed", F.array().cast(kind))
     schema = plain.schema
-    changed = arrow_map(side(True).join(found.withColumnRenamed("row", "_row"), "_row", "left").drop("_row"), rewrite, schema)
+    changed = arrow_map(side(True).join(found.withColumnRenamed("row", "_row"), "_row", "left").drop("_row"), rewrite, schema, SLICE)
     return plain.unionByName(changed)
