@@ -9,32 +9,18 @@ from pyspark.sql import functions as F
 
 from .columns import c, finite
 
-ONE_AGGREGATE_ROWS = 100_000
 HISTOGRAM_BINS = 4096
 COUNTS_PER_PASS = 200_000  # histogram rows that may reach the driver at once
 
 
 def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
-                    one_aggregate_rows: int = ONE_AGGREGATE_ROWS,
                     bins: int = HISTOGRAM_BINS) -> dict[str, list[float | None]]:
     """Quantiles per column, ignoring missing and infinite values.
 
-    `percentile` keeps every distinct value of a column in one aggregation buffer,
-    so it is used only for tables whose size has been checked. Longer tables are
-    narrowed by histogram passes: each pass is one map-side-combined count over
-    `bins` intervals around the wanted ranks, and only those counts reach the driver.
+    `percentile` keeps every distinct value of a column in one aggregation buffer, so the
+    ranks are narrowed by histogram passes instead: each pass is one map-side-combined count
+    over `bins` intervals around the wanted ranks, and only those counts reach the driver.
     """
-    if df.count() <= one_aggregate_rows:
-        row = df.agg(*[
-            F.percentile(finite(c(n).cast("double")), F.array(*map(F.lit, probs))).alias(f"q{i}")
-            for i, n in enumerate(columns)
-        ]).first()
-        return {n: row[f"q{i}"] if row[f"q{i}"] is not None else [None] * len(probs)
-                for i, n in enumerate(columns)}
-    return _by_histograms(df, columns, probs, bins)
-
-
-def _by_histograms(df, columns, probs, bins):
     long = df.select(F.inline(F.array(*[
         F.struct(F.lit(i).alias("f"), finite(c(n).cast("double")).alias("v")) for i, n in enumerate(columns)
     ]))).where("v is not null")

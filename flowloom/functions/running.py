@@ -2,23 +2,22 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-ONE_WINDOW_ROWS = 1_000_000
-
 
 def with_running_totals(df: DataFrame, by: str, totals: dict[str, str], descending: bool = False,
-                        one_window_rows: int = ONE_WINDOW_ROWS, buckets: int = 2048) -> DataFrame:
+                        buckets: int = 2048) -> DataFrame:
     """Add cumulative sums in the order of the distinct double column `by`.
 
     `df` should be written or cheap, since it is read more than once. `totals` maps a
-    summed column to the name of its running total (inclusive). A short table
-    (checked) takes one ordinary window. A long one is cut into value ranges at
-    approximate quantiles: totals per range give each range its offset, and the
-    window then runs inside a range only.
+    summed column to the name of its running total (inclusive). The rows are cut into
+    value ranges at approximate quantiles: totals per range give each range its offset,
+    and the window then runs inside a range only.
     """
     def order(col):
         return F.desc(col) if descending else F.asc(col)
@@ -26,13 +25,10 @@ def with_running_totals(df: DataFrame, by: str, totals: dict[str, str], descendi
     def upto(window):
         return window.orderBy(order(by)).rowsBetween(W.unboundedPreceding, W.currentRow)
 
-    if df.count() <= one_window_rows:
-        w = upto(W.partitionBy())
-        return df.select("*", *[F.sum(src).over(w).alias(out) for src, out in totals.items()])
-
-    cuts = sorted(set(df.approxQuantile(by, [i / buckets for i in range(1, buckets)], 0.25 / buckets)))
+    found = df.approxQuantile(by, [i / buckets for i in range(1, buckets)], 0.25 / buckets)
+    cuts = sorted({x for x in found if math.isfinite(x)}) or [0.0]
     splits = [float("-inf")] + cuts + [float("inf")]
-    ranged = Bucketizer(splits=splits, inputCol=by, outputCol="_range").transform(df)
+    ranged = Bucketizer(splits=splits, inputCol=by, outputCol="_range", handleInvalid="keep").transform(df)
     before = W.partitionBy().orderBy(order("_range")).rowsBetween(W.unboundedPreceding, -1)
     offsets = (
         ranged.groupBy("_range").agg(*[F.sum(src).alias(f"_sum_{out}") for src, out in totals.items()])

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
+from pyspark.mllib.linalg.distributed import RowMatrix
+from pyspark.mllib.util import MLUtils
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +15,8 @@ from ..functions.columns import c, is_infinite, is_missing, pearson, unpivot_fea
 from ..functions.quantiles import exact_quantiles
 from .labels import binary_label
 
-DIRECT_PAIRS = 32
+#: Below this share of its square sum, a column's spread inside a pair is rounding noise.
+CONSTANT = 1e-12
 
 
 def variances(df: DataFrame, names: list[str]) -> DataFrame:
@@ -29,32 +32,34 @@ def variance_filter(df: DataFrame, names: list[str], threshold: float = 0.0) ->
 
 
 def correlation_matrix(df: DataFrame, names: list[str]) -> dict[tuple[str, str], float | None]:
-    """Pearson r for every pair i < j; None where it is undefined.
+    """Pearson r for every pair i < j over the rows where both have a value; None where it is undefined.
 
-    A first pass finds columns that do not vary and columns with gaps. Few pairs
-    are then one aggregation. Many pairs take the vector form, which computes the
-    whole matrix of the gapless columns in one distributed pass.
+    A first pass standardises the columns. One distributed product of the values, their
+    squares and flags of presence then holds every sum that a pair needs, gaps included.
     """
-    pairs = [(a, b) for j, b in enumerate(names) for a in names[:j]]
-    first = df.agg(F.count("*").alias("n"), *[f(c(n).cast("double")).alias(f"{tag}{i}") for i, n in enumerate(names)
-                                              for tag, f in (("v", F.var_pop), ("c", F.count))]).first()
-    varies = {n for i, n in enumerate(names) if first[f"v{i}"]}
-    full = [n for i, n in enumerate(names) if n in varies and first[f"c{i}"] == first.n]
-    values: dict[tuple[str, str], float | None] = dict.fromkeys(pairs)
-    left = [p for p in pairs if varies.issuperset(p)]
-    if len(left) > DIRECT_PAIRS:
-        plain = df.select(*[c(n).cast("double").alias(f"f{i}") for i, n in enumerate(full)])
-        vectors = VectorAssembler(inputCols=plain.columns, outputCol="v").transform(plain).select("v")
-        matrix = Correlation.corr(vectors, "v").first()[0].toArray()
-        values |= {(a, b): float(matrix[i, j]) for j, b in enumerate(full) for i, a in enumerate(full[:j])}
-        left = [p for p in left if not set(full).issuperset(p)]
-    for at in range(0, len(left), DIRECT_PAIRS):
-        part = left[at:at + DIRECT_PAIRS]
-        row = df.agg(*[
-            (F.corr if set(full).issuperset((a, b)) else pearson)(c(a).cast("double"), c(b).cast("double")).alias(f"r{n}")
-            for n, (a, b) in enumerate(part)]).first()
-        values |= {p: row[f"r{n}"] for n, p in enumerate(part)}
-    return {k: None if v is None or math.isnan(v) else v for k, v in values.items()}
+    plain = df.select(*[F.when(~is_missing(c(n).cast("double")), c(n).cast("double")).alias(f"f{i}") for i, n in enumerate(names)])
+    first = plain.agg(*[f(f"f{i}").alias(f"{tag}{i}") for i in range(len(names))
+                        for tag, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
+    varies = [i for i in range(len(names)) if first[f"s{i}"] and math.isfinite(first[f"s{i}"])]
+    values = dict.fromkeys((a, b) for j, b in enumerate(names) for a in names[:j])
+    if len(varies) < 2:
+        return values
+    standard = plain.select(*[((F.col(f"f{i}") - first[f"m{i}"]) / first[f"s{i}"]).alias(f"f{i}") for i in varies])
+    cells = [F.coalesce(x, F.lit(0.0)) for i in varies for x in (
+        F.col(f"f{i}"), F.col(f"f{i}") * F.col(f"f{i}"), F.col(f"f{i}").isNotNull().cast("double"))]
+    wide = standard.select(*[x.alias(f"c{k}") for k, x in enumerate(cells)])
+    vectors = VectorAssembler(inputCols=wide.columns, outputCol="v").transform(wide).select("v")
+    gram = RowMatrix(MLUtils.convertVectorColumnsFromML(vectors, "v")).computeGramianMatrix().toArray()
+    value, square, there = (slice(k, None, 3) for k in range(3))
+    n, total, squares = gram[there, there], gram[value, there], gram[square, there]
+    spread = n * squares - total * total  # of the row's column, over the rows where the other one has a value
+    spread[~(spread > CONSTANT * n * squares)] = np.nan
+    r = (n * gram[value, value] - total * total.T) / np.sqrt(spread * spread.T)
+    for q, j in enumerate(varies):
+        for p, i in enumerate(varies[:q]):
+            if math.isfinite(r[p, q]):
+                values[names[i], names[j]] = float(np.clip(r[p, q], -1.0, 1.0))
+    return values
 
 
 def correlation_table(df: DataFrame, names: list[str]) -> DataFrame:

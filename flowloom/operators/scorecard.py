@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..constants import F2_WEIGHT, LATENCY_WEIGHT, MAX_FPR, MAX_LATENCY_MS
@@ -46,18 +45,13 @@ def best_passing(scored: DataFrame) -> DataFrame:
     return scored.where("status = 'PASS'").orderBy(F.desc("score"), "model_type", "version_id").limit(1)
 
 
-def intra_rank(scored: DataFrame, one_window_rows: int = 1_000_000) -> DataFrame:
+def intra_rank(scored: DataFrame) -> DataFrame:
     """Rank inside the model type by score, or by F1 for failing versions.
 
-    Model types are few, so a long registry is ranked by range and not by window.
+    Model types are few, so a registry is ranked by range and not by window.
     """
     merit = F.when(F.col("status") == "PASS", F.col("score")).otherwise(F.coalesce("f1", F.lit(0.0)))
     judged = scored.withColumn("merit", merit)
-    if judged.count() <= one_window_rows:
-        w = W.partitionBy("model_type")
-        return judged.withColumns({
-            "intra_rank": F.row_number().over(w.orderBy(F.desc("merit"), "version_id")),
-            "total_versions": F.count("*").over(w)})
     totals, _ = pin_small(judged.groupBy("model_type").agg(F.count("*").alias("total_versions")))
     ranked = with_position(judged, ["model_type"], [F.desc("merit"), F.asc("version_id")], "intra_rank")
     return ranked.withColumn("intra_rank", (F.col("intra_rank") + 1).cast("int")).join(totals, "model_type")

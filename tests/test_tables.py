@@ -1,8 +1,10 @@
+import itertools
 import math
 import random
 
 import numpy as np
 import pytest
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from flowloom.functions.columns import c
@@ -23,11 +25,11 @@ def _numbers():
             for i in range(2000)] + [(float("inf"), float("nan"))]
 
 
-@pytest.mark.parametrize("limit", [10_000, 100])
-def test_exact_quantiles(spark, limit):
+@pytest.mark.parametrize("bins", [16, 4096])
+def test_exact_quantiles(spark, bins):
     df = spark.createDataFrame(_numbers(), "a double, b double")
     probs = [0.0, 0.25, 0.5, 0.753, 1.0]
-    got = exact_quantiles(df, ["a", "b"], probs, one_aggregate_rows=limit, bins=16)
+    got = exact_quantiles(df, ["a", "b"], probs, bins=bins)
     for name, i in (("a", 0), ("b", 1)):
         values = [r[i] for r in _numbers() if r[i] is not None and math.isfinite(r[i])]
         assert got[name] == pytest.approx(np.quantile(values, probs).tolist(), rel=1e-12, abs=1e-12)
@@ -38,10 +40,11 @@ def test_running_totals_in_ranges(spark, descending):
     rng = random.Random(3)
     values = {rng.expovariate(1) * (1000 if rng.random() < 0.1 else 1): rng.randint(1, 5) for _ in range(3000)}
     df = spark.createDataFrame(list(values.items()), "x double, n bigint")
-    one = with_running_totals(df, "x", {"n": "cum"}, descending)
-    many = with_running_totals(df, "x", {"n": "cum"}, descending, one_window_rows=100, buckets=16)
-    assert rows(one) == rows(many.select(*one.columns))
-    assert max(r.cum for r in many.collect()) == sum(values.values())
+    order = sorted(values, reverse=descending)
+    want = dict(zip(order, itertools.accumulate(values[x] for x in order)))
+    for buckets in (16, 2048):
+        assert {r.x: r.cum for r in with_running_totals(df, "x", {"n": "cum"}, descending, buckets).collect()} == want
+    assert with_running_totals(df.limit(0), "x", {"n": "cum"}, descending).count() == 0
 
 
 # --------------------------------------------------------------------------- cleaning
@@ -128,6 +131,15 @@ def test_correlation_rule(spark):
     assert feature_stats.correlation_filter(chain, ["a", "b", "c"], limit) == ["a"]
 
 
+def test_correlation_with_gaps_uses_common_rows(spark):
+    data = [(1.0, 2.0, 5.0), (2.0, None, 5.0), (3.0, 7.0, None), (4.0, 1.0, 5.0), (float("nan"), 9.0, 6.0)]
+    got = feature_stats.correlation_matrix(spark.createDataFrame(data, "a double, b double, c double"), ["a", "b", "c"])
+    assert got["a", "b"] == pytest.approx(np.corrcoef([1, 3, 4], [2, 7, 1])[0, 1], abs=1e-12)
+    assert got["b", "c"] == pytest.approx(np.corrcoef([2, 1, 9], [5, 5, 6])[0, 1], abs=1e-12)
+    assert got["a", "c"] is None  # c does not vary where a has a value
+    assert set(feature_stats.correlation_matrix(spark.createDataFrame([], "a double, b double"), ["a", "b"]).values()) == {None}
+
+
 def test_wide_correlation_equals_pairs(spark):
     rng = np.random.default_rng(1)
     names = [f"x{i}" for i in range(13)]
@@ -135,7 +147,6 @@ def test_wide_correlation_equals_pairs(spark):
     data[:, 5] = 1.0
     df = spark.createDataFrame(data.tolist(), names)
     got = feature_stats.correlation_matrix(df, names)
-    assert len(got) > feature_stats.DIRECT_PAIRS
     with np.errstate(invalid="ignore"):
         want = np.corrcoef(data.T)
     for (a, b), v in got.items():
@@ -206,13 +217,16 @@ def test_scorecard_rules(spark):
     assert scorecard.best_passing(scorecard.scorecard(df)).first().version_id == "good"
 
 
-def test_intra_rank_by_range_equals_window(spark):
+def test_intra_rank(spark):
     rng = random.Random(2)
     df = spark.createDataFrame(
         [(rng.choice(["a", "a", "a", "b"]), f"v{i:03}", "PASS", float(rng.randint(0, 3)), 0.5) for i in range(300)],
         "model_type string, version_id string, status string, score double, f1 double")
-    one, many = scorecard.intra_rank(df), scorecard.intra_rank(df, one_window_rows=10)
-    assert rows(one) == rows(many.select(*one.columns))
+    w = W.partitionBy("model_type")
+    want = df.withColumns({
+        "merit": F.col("score"), "intra_rank": F.row_number().over(w.orderBy(F.desc("score"), "version_id")),
+        "total_versions": F.count("*").over(w)})
+    assert rows(want) == rows(scorecard.intra_rank(df).select(*want.columns))
 
 
 def test_latest_config(spark):
