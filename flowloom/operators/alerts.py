@@ -35,6 +35,26 @@ def session_stats(packets: DataFrame, scored: DataFrame) -> DataFrame:
         "detection_rate", ratio(F.col("attacks_detected"), F.col("flows_analyzed")) * 100)
 
 
+COUNTS = "packets long, bytes long, flows_analyzed long, attacks_detected long, first_us long, last_us long"
+BLOCKS = "ip string, blocked_us long, reason string"
+
+
+def verdict_counts(scored: DataFrame) -> DataFrame:
+    """One row that can be added to others: what a batch of scored flows contributes to the session."""
+    return scored.agg(
+        F.sum("packets").cast("long").alias("packets"), F.sum("bytes").cast("long").alias("bytes"),
+        F.count("*").alias("flows_analyzed"), F.count_if(F.col("label") != BENIGN).alias("attacks_detected"),
+        F.min("ts_us").alias("first_us"), F.max(F.col("ts_us") + F.col("duration_us").cast("long")).alias("last_us"))
+
+
+def total_verdicts(counts: DataFrame) -> DataFrame:
+    """The session's totals from the rows of `verdict_counts`."""
+    total = counts.agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in ("packets", "bytes", "flows_analyzed", "attacks_detected")],
+                       ((F.max("last_us") - F.min("first_us")) / 1e6).alias("duration_seconds"))
+    return total.withColumn("benign_flows", F.col("flows_analyzed") - F.col("attacks_detected")).withColumn(
+        "detection_rate", ratio(F.col("attacks_detected"), F.col("flows_analyzed")) * 100)
+
+
 ATTACK_LOG = ["ts_us", "flow_key", "label", "confidence", "src_ip", "dst_ip", "src_port", "dst_port", "protocol",
               "packets", "bytes", "duration_us"]
 

@@ -36,6 +36,7 @@ class FlowRules:
     idle_threshold: int = 1 * SECOND
     # Keys with more packets than this are cut into chunks (see hot_keys).
     hot_key_packets: int = 1_000_000
+    chunk_packets: int = 100_000
 
 
 def keep_tcp_udp(packets: DataFrame) -> DataFrame:

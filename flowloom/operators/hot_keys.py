@@ -22,7 +22,6 @@ from ..functions.bounded import stabilise
 from ..functions.ranks import with_position
 from . import flows
 
-CHUNK_PACKETS = 100_000
 FAN_IN = 512
 KEYS = ["flow_key", "chunk"]
 
@@ -44,12 +43,14 @@ def _exit_table(rules: flows.FlowRules, chunk_packets: int):
     def exits(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pos", ignore_index=True)
         size = min(chunk_packets, len(pdf))
-        jump = next_starts(pdf.ts_us.to_numpy(), pdf.closes.to_numpy(), rules).tolist()
-        leave = [0] * size
-        for i in range(size - 1, -1, -1):
-            leave[i] = jump[i] - size if jump[i] >= size else leave[jump[i]]
+        jump = next_starts(pdf.ts_us.to_numpy(), pdf.closes.to_numpy(), rules)
+        # Pointer doubling; where a flow begins in the next chunk, the walk stands still.
+        jump = np.append(np.where(np.arange(len(jump)) < size, jump, np.arange(len(jump))), len(jump))
+        entries = min(size, rules.max_packets)
+        while (jump[:entries] < size).any():
+            jump = jump[jump]
         return pd.DataFrame({
-            "flow_key": [pdf.flow_key[0]], "chunk": [pdf.chunk[0]], "exits": [leave[:rules.max_packets]],
+            "flow_key": [pdf.flow_key[0]], "chunk": [pdf.chunk[0]], "exits": [(jump[:entries] - size).tolist()],
         })
 
     return exits
@@ -89,10 +90,10 @@ def chunk_entries(tables: DataFrame, chunks: int, fan_in: int = FAN_IN) -> DataF
     return entered.select("flow_key", F.inline(scanned))
 
 
-def segment_hot(keyed: DataFrame, rules: flows.FlowRules, carry: list[str], chunk_packets: int = CHUNK_PACKETS,
+def segment_hot(keyed: DataFrame, rules: flows.FlowRules, carry: list[str], chunk_packets: int | None = None,
                 fan_in: int = FAN_IN, partitions: int | None = None) -> DataFrame:
     """Same rows and columns as the ordinary segmentation, with every task bounded."""
-    chunk_packets = max(chunk_packets, rules.max_packets)
+    chunk_packets = max(chunk_packets or rules.chunk_packets, rules.max_packets)
     needed = dict.fromkeys(["flow_key", *flows.ENDPOINTS, "ts_us", "packet_id", "tcp_flags", "is_forward", *carry])
     ranked = with_position(keyed.select(*needed), ["flow_key"], ["ts_us", "packet_id"], "rank", partitions)
     own = F.expr(f"rank div {chunk_packets}")

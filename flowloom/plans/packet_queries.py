@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import dataclasses
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +17,8 @@ from .catalog import over_view, query
 HOUR = 3600 * flows.SECOND
 # The test traffic spreads each key over a month, so the limits are scaled to days.
 RULES = flows.FlowRules(idle_timeout=72 * HOUR, active_timeout=5 * 24 * HOUR, max_packets=6, idle_threshold=24 * HOUR)
+# The same limits, with most keys large enough for the chunked way of hot keys.
+HOT_RULES = dataclasses.replace(RULES, hot_key_packets=10, chunk_packets=8)
 
 FORWARD = "(src_ip < dst_ip or (src_ip = dst_ip and src_port < dst_port))"
 KEYED = f"""keyed as (select *, {FORWARD} as is_forward,
@@ -88,6 +92,11 @@ def flow_segments(spark, sf_dir):
     return segmented(spark, sf_dir, []).select("packet_id", "flow_key", "flow_pos")
 
 
+@query("flow_segments_hot", FLOWS + " select packet_id, flow_key, flow_pos from pk")
+def flow_segments_hot(spark, sf_dir):
+    return flows.segment(packets(spark, sf_dir), HOT_RULES, []).select("packet_id", "flow_key", "flow_pos")
+
+
 @query("idle_sessions", f"""with {sql_view('packets')}, {KEYED},
 marked as (select *, case when ts_us - lag(ts_us) over (partition by flow_key order by ts_us, packet_id)
   > {RULES.idle_timeout} then 1 else 0 end as splits from keyed),
