@@ -8,6 +8,9 @@ shape of the batch segmentation, and the same feature code serves both.
 
 The state machine of a key is sequential by nature, so one key runs in one task;
 capture-scale history with very hot keys belongs to the batch path.
+
+When the input has ended, the packets of flows that are still open lie in the state of the finished query.
+`remaining_flow_packets` reads them from its checkpoint and closes them in one batch job.
 """
 
 from __future__ import annotations
@@ -17,13 +20,14 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor
 
 from .. import workflows
 from ..operators import alerts
-from ..operators.flows import ENDPOINTS, MEASURES, FlowRules, is_closing_packet, keep_tcp_udp, with_flow_key
+from ..operators.flows import ENDPOINTS, FLOW, MEASURES, FlowRules, is_closing_packet, keep_tcp_udp, segment, with_flow_key
 from ..operators.hot_keys import next_starts
 from ..sources import sinks
 
@@ -112,20 +116,66 @@ def closed_flow_packets(packets: DataFrame, rules: FlowRules = FlowRules()) -> D
         statefulProcessor=FlowProcessor(rules), outputStructType=OUTPUT, outputMode="Append", timeMode="EventTime")
 
 
+def remaining_flow_packets(spark: SparkSession, checkpoint: str, rules: FlowRules = FlowRules()) -> DataFrame:
+    """The packets of all flows that a finished query left open, in the shape of `closed_flow_packets`.
+
+    What the state holds of a key begins where a flow begins, so the batch segmentation continues it exactly, hot keys
+    included. For use at the end of the input: a query that is started again from the checkpoint would close the same flows.
+    A query that stopped before its first batch has no state and leaves nothing.
+    """
+    held = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "held").load()
+    packets = held.select("list_element.*").withColumns({
+        "src_ip": _sender("lo_ip", "hi_ip"), "src_port": _sender("lo_port", "hi_port"),
+        "dst_ip": _sender("hi_ip", "lo_ip"), "dst_port": _sender("hi_port", "lo_port")})
+    names = [n.split()[0] for n in PACKET_SCHEMA.split(", ")]
+    first = W.partitionBy(*FLOW).orderBy("packet_no").rowsBetween(W.unboundedPreceding, W.currentRow)
+    return segment(packets.select(*names), rules).withColumn("_first", F.first("packet_id").over(first)).withColumn(
+        "flow_pos", F.col("_first")).select(*OUTPUT.fieldNames())
+
+
+def _sender(lo: str, hi: str):
+    return F.when(F.col("is_forward"), F.col(lo)).otherwise(F.col(hi))
+
+
+def _log(batch: DataFrame, batch_id: int | str, rules: FlowRules, model: PipelineModel, mapping: DataFrame, log_root: str,
+         features: list[str], callback: Callable[[DataFrame], None] | None) -> None:
+    scored = workflows.score_flows(batch, rules, model, mapping).persist()
+    # The folder of a batch is overwritten when the batch is repeated after a failure.
+    sinks.flow_log_rows(scored, list(features)).write.mode("overwrite").json(f"{log_root}/flows/batch={batch_id}")
+    alerts.attack_log(scored).write.mode("overwrite").json(f"{log_root}/attacks/batch={batch_id}")
+    alerts.block_list(scored, key="flow_key").write.mode("overwrite").json(f"{log_root}/blocks/batch={batch_id}")
+    alerts.verdict_counts(scored).write.mode("overwrite").json(f"{log_root}/counts/batch={batch_id}")
+    if callback is not None:
+        alerts.on_attack(callback)(scored, batch_id)
+    scored.unpersist()
+
+
 def start_detection(packets: DataFrame, model: PipelineModel, mapping: DataFrame, log_root: str, checkpoint: str,
                     rules: FlowRules = FlowRules(), features: list[str] = (),
                     callback: Callable[[DataFrame], None] | None = None, trigger: dict | None = None):
-    """Packets in, scored flows out: flow log, attack log, and an optional function of each alert table."""
+    """Packets in, scored flows out: flow log, attack log, block list, counts, and an optional function of each alert table."""
     def handle(batch: DataFrame, batch_id: int) -> None:
-        scored = workflows.score_flows(batch, rules, model, mapping).persist()
-        # The folder of a batch is overwritten when the batch is repeated after a failure.
-        sinks.flow_log_rows(scored, list(features)).write.mode("overwrite").json(f"{log_root}/flows/batch={batch_id}")
-        alerts.attack_log(scored).write.mode("overwrite").json(f"{log_root}/attacks/batch={batch_id}")
-        if callback is not None:
-            alerts.on_attack(callback)(scored, batch_id)
-        scored.unpersist()
+        _log(batch, batch_id, rules, model, mapping, log_root, features, callback)
 
     return (
         closed_flow_packets(packets, rules).writeStream.foreachBatch(handle)
         .option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
     )
+
+
+def finish_detection(spark: SparkSession, model: PipelineModel, mapping: DataFrame, log_root: str, checkpoint: str,
+                     rules: FlowRules = FlowRules(), features: list[str] = (),
+                     callback: Callable[[DataFrame], None] | None = None) -> None:
+    """Score and log the flows that were open when the input ended; call it once the query has stopped. Repeats overwrite."""
+    _log(remaining_flow_packets(spark, checkpoint, rules), "last", rules, model, mapping, log_root, features, callback)
+
+
+def session_so_far(spark: SparkSession, log_root: str) -> DataFrame:
+    """One row of running totals from the logs: packets, bytes, flows, attacks, benign flows, covered time."""
+    return alerts.total_verdicts(spark.read.schema(alerts.COUNTS).json(f"{log_root}/counts"))
+
+
+def blocked_so_far(spark: SparkSession, log_root: str) -> DataFrame:
+    """`(ip, blocked_us, reason)`: every blocked address once, with its first alert."""
+    rows = spark.read.schema(alerts.BLOCKS).json(f"{log_root}/blocks")
+    return rows.groupBy("ip").agg(F.min("blocked_us").alias("blocked_us"), F.min_by("reason", F.struct("blocked_us", "reason")).alias("reason"))
