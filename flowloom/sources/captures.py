@@ -3,6 +3,9 @@
 One task per file, so a folder of rotated captures is read in parallel. A task
 walks the record headers and takes the packet fields of a whole batch at once
 from the raw bytes. Kept are IPv4 packets with TCP or UDP.
+
+What a file holds besides is told by `capture_audit`: frames of unknown link types, frames without IPv4 and
+without time, a tail that was cut off. Files that are no captures give no packets and an audit row.
 """
 
 from __future__ import annotations
@@ -19,8 +22,15 @@ SCHEMA = ("packet_id bigint, ts_us bigint, src_ip string, dst_ip string, src_por
 BATCH = 50_000
 READ_BYTES = 8 << 20
 # Link types with the bytes before the network header, and where the protocol number sits.
-ETHERNET, RAW_IP, LINUX_COOKED = 1, 101, 113
+LOOPBACK, ETHERNET, RAW_IP, LINUX_COOKED, IPV4_ONLY, LINUX_COOKED_2 = 0, 1, 101, 113, 228, 276
 IPV4, VLAN_TAGS = 0x0800, (0x8100, 0x88A8)
+# Magic numbers of classic captures, little and big endian, in micro- and nanoseconds; of pcapng.
+CLASSIC = {b"\xd4\xc3\xb2\xa1": ("<", False), b"\xa1\xb2\xc3\xd4": (">", False),
+           b"\x4d\x3c\xb2\xa1": ("<", True), b"\xa1\xb2\x3c\x4d": (">", True)}
+SECTION = b"\x0a\x0d\x0d\x0a"
+# What an audit row counts, in the order of its columns.
+AUDIT = ("capture string, format string, frames bigint, ipv4_frames bigint, unknown_link_frames bigint, other_frames bigint, "
+         "untimed_frames bigint, truncated boolean")
 
 
 class _Bytes:
@@ -35,6 +45,10 @@ class _Bytes:
             self.at = 0
         return len(self.data) - self.at >= n
 
+    def left(self) -> bool:
+        """Whether bytes follow."""
+        return self.need(1)
+
     def take(self, n: int) -> bytes | None:
         if not self.need(n):
             return None
@@ -43,36 +57,49 @@ class _Bytes:
         return out
 
 
-def _classic(src: _Bytes, magic: bytes):
-    order = "<" if magic in (b"\xd4\xc3\xb2\xa1", b"\x4d\x3c\xb2\xa1") else ">"
-    nano = magic in (b"\x4d\x3c\xb2\xa1", b"\xa1\xb2\x3c\x4d")
-    link = struct.unpack(order + "I", src.take(20)[16:])[0]
+def _classic(src: _Bytes, order: str, nano: bool):
+    """`(time, link, frame)` of every record; a last item None if the file breaks off inside one."""
+    head = src.take(20)
+    if head is None:
+        yield None
+        return
+    # The upper bits of the link field tell of check sums at the end of frames.
+    link = struct.unpack(order + "I", head[16:])[0] & 0xFFFF
     record = struct.Struct(order + "IIII")
     while (head := src.take(16)) is not None:
         seconds, fraction, size, _ = record.unpack(head)
         body = src.take(size)
         if body is None:
+            yield None
             return
         yield seconds * 1_000_000 + (fraction // 1000 if nano else fraction), link, body
+    if src.left():
+        yield None
 
 
 def _blocks(src: _Bytes):
+    """As `_classic`; frames of simple packet blocks have no time."""
     order, links = "<", []
     while (head := src.take(8)) is not None:
-        if head[:4] == b"\x0a\x0d\x0d\x0a":
+        if head[:4] == SECTION:
             src.need(4)
             order = "<" if src.data[src.at:src.at + 4] == b"\x4d\x3c\x2b\x1a" else ">"
             links = []
         kind, size = struct.unpack(order + "II", head)
-        body = src.take(size - 8)
+        body = src.take(size - 8) if size >= 12 else None
         if body is None:
+            yield None
             return
         if kind == 1:
             links.append((struct.unpack_from(order + "H", body)[0], _ticks(body, order)))
-        elif kind == 6:
-            port, high, low, kept = struct.unpack_from(order + "IIII", body)
-            link, ticks = links[port]
+        elif kind in (2, 6):  # 2 is the older form, with a drop count beside a short interface number
+            port, high, low, kept = struct.unpack_from(order + ("HxxIII" if kind == 2 else "IIII"), body)
+            link, ticks = links[port] if port < len(links) else (-1, 1)
             yield ((high << 32) | low) * 1_000_000 // ticks, link, body[20:20 + kept]
+        elif kind == 3:
+            yield None, links[0][0] if links else -1, body[4:-4]
+    if src.left():
+        yield None
 
 
 def _ticks(body: bytes, order: str) -> int:
@@ -89,10 +116,17 @@ def _ticks(body: bytes, order: str) -> int:
     return 1_000_000
 
 
+LINKS = {LOOPBACK, ETHERNET, RAW_IP, LINUX_COOKED, IPV4_ONLY, LINUX_COOKED_2}
+
+
 def _network_offset(link: int, frame: bytes) -> int:
     """Where the IPv4 header begins, or -1."""
-    if link == RAW_IP:
+    if link in (RAW_IP, IPV4_ONLY):
         return 0 if frame and frame[0] >> 4 == 4 else -1
+    if link == LOOPBACK:  # the address family in the byte order of the machine that wrote it; 2 is IPv4
+        return 4 if frame[:4] in (b"\2\0\0\0", b"\0\0\0\2") and len(frame) > 4 and frame[4] >> 4 == 4 else -1
+    if link == LINUX_COOKED_2:
+        return 20 if frame[:2] == b"\x08\x00" and len(frame) > 20 else -1
     at = {ETHERNET: 12, LINUX_COOKED: 14}.get(link)
     while at is not None and at + 2 <= len(frame):
         kind = (frame[at] << 8) | frame[at + 1]
@@ -144,8 +178,8 @@ def packet_columns(times: list[int], ids: list[int], frames: list[bytes], offset
 
 
 class CaptureReader(DataSourceReader):
-    def __init__(self, files: list[str], max_packets: int | None):
-        self.files, self.max_packets = files, max_packets
+    def __init__(self, files: list[str], max_packets: int | None, audit: bool = False):
+        self.files, self.max_packets, self.audit = files, max_packets, audit
 
     def partitions(self):
         return [InputPartition((i, f)) for i, f in enumerate(self.files)]
@@ -165,19 +199,17 @@ class CaptureReader(DataSourceReader):
             return pa.RecordBatch.from_arrays(arrays + [pa.array([name] * n, pa.string())], [*cols, "capture"])
 
         with fs.open_input_stream(path) as stream:
-            src = _Bytes(stream)
-            magic = src.take(4) or b""
-            if magic == b"\x0a\x0d\x0d\x0a":
-                src.at -= 4
-                records = _blocks(src)
-            else:
-                records = _classic(src, magic)
+            kind, records = _records(_Bytes(stream))
+            if self.audit:
+                yield pa.RecordBatch.from_pylist([{"capture": name, "format": kind, **_tally(records)}], _audit_schema())
+                return
             held: tuple[list, list, list, list] = ([], [], [], [])
-            for i, (ts, link, frame) in enumerate(records):
-                if self.max_packets is not None and i >= self.max_packets:
+            for i, item in enumerate(records):
+                if item is None or self.max_packets is not None and i >= self.max_packets:
                     break
+                ts, link, frame = item
                 at = _network_offset(link, frame)
-                if at < 0:
+                if at < 0 or ts is None:
                     continue
                 # Ids order packets inside a file and differ between files.
                 for store, value in zip(held, (ts, (number << 40) + i, frame, at)):
@@ -189,24 +221,69 @@ class CaptureReader(DataSourceReader):
                 yield batch(*held)
 
 
+def _records(src: _Bytes):
+    """`(format, records)` by the file's magic number; `format` is NULL for what is no capture."""
+    magic = src.take(4)
+    if magic == SECTION:
+        src.at -= 4
+        return "pcapng", _blocks(src)
+    if magic in CLASSIC:
+        return "pcap", _classic(src, *CLASSIC[magic])
+    return None, iter(())
+
+
+def _tally(records) -> dict[str, int | bool]:
+    n = {"frames": 0, "ipv4_frames": 0, "unknown_link_frames": 0, "other_frames": 0, "untimed_frames": 0, "truncated": False}
+    for item in records:
+        if item is None:
+            n["truncated"] = True
+            break
+        ts, link, frame = item
+        n["frames"] += 1
+        if link not in LINKS:
+            n["unknown_link_frames"] += 1
+        elif _network_offset(link, frame) < 0:
+            n["other_frames"] += 1
+        else:
+            n["untimed_frames" if ts is None else "ipv4_frames"] += 1
+    return n
+
+
+def _audit_schema() -> pa.Schema:
+    kinds = {"string": pa.string(), "bigint": pa.int64(), "boolean": pa.bool_()}
+    return pa.schema([(n, kinds[k]) for n, k in (f.split() for f in AUDIT.split(", "))])
+
+
 class CaptureSource(DataSource):
-    """Options: `files` (one address per line) and `maxPackets`, counted per file before filtering."""
+    """Options: `files` (one address per line), `maxPackets`, counted per file before filtering, and `audit`."""
 
     @classmethod
     def name(cls):
         return "captures"
 
     def schema(self):
-        return SCHEMA
+        return AUDIT if self._audits() else SCHEMA
+
+    def _audits(self) -> bool:
+        return str(self.options.get("audit", "")).lower() == "true"
 
     def reader(self, schema):
         limit = self.options.get("maxpackets") or self.options.get("maxPackets")
-        return CaptureReader(self.options["files"].split("\n"), int(limit) if limit else None)
+        return CaptureReader(self.options["files"].split("\n"), int(limit) if limit else None, self._audits())
 
 
-def read_captures(spark: SparkSession, path: str, max_packets: int | None = None):
-    """Packets of all capture files under `path`."""
+def _reader(spark: SparkSession, path: str):
     files = sorted(spark.read.format("binaryFile").load(path).inputFiles())
     spark.dataSource.register(CaptureSource)
-    reader = spark.read.format("captures").option("files", "\n".join(files))
+    return spark.read.format("captures").option("files", "\n".join(files))
+
+
+def read_captures(spark: SparkSession, path: str, max_packets: int | None = None):
+    """Packets of all capture files under `path`."""
+    reader = _reader(spark, path)
     return (reader.option("maxPackets", max_packets) if max_packets is not None else reader).load()
+
+
+def capture_audit(spark: SparkSession, path: str):
+    """One row per file under `path`: its format, and how many frames were taken or passed over, and why."""
+    return _reader(spark, path).option("audit", "true").load()

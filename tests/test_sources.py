@@ -191,6 +191,44 @@ def test_captures(spark, tmp_path, content):
     assert captures.read_captures(spark, str(tmp_path), max_packets=4).count() == 4
 
 
+def _ip_frame(src: int) -> bytes:
+    return struct.pack(">BBHHHBBHII", 0x45, 0, 48, 0, 0, 64, 6, 0, 0x0A000000 + src, 0x0A000002) + struct.pack(
+        ">HHIIBBHHH", 1234, 443, 0, 0, 0x50, 0x10, 512, 0, 0) + bytes(8)
+
+
+def _pcap(link: int, frames: list[bytes]) -> bytes:
+    return struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 65535, link) + b"".join(
+        struct.pack("<IIII", i, 0, len(f), len(f)) + f for i, f in enumerate(frames, 1))
+
+
+def _block(kind: int, body: bytes) -> bytes:
+    body += bytes(-len(body) % 4)
+    return struct.pack("<II", kind, len(body) + 12) + body + struct.pack("<I", len(body) + 12)
+
+
+def test_capture_kinds_and_audit(spark, tmp_path):
+    ip = _ip_frame(1)
+    section = _block(0x0A0D0D0A, struct.pack("<IHHq", 0x1A2B3C4D, 1, 0, -1)) + _block(1, struct.pack("<HHI", 101, 0, 65535))
+    files = {
+        "loopback": _pcap(0, [b"\2\0\0\0" + ip, b"\0\0\0\2" + ip, b"\x1e\0\0\0" + bytes(40)]),
+        "ipv4": _pcap(228, [ip]), "cooked2": _pcap(276, [b"\x08\x00" + bytes(18) + ip]),
+        "unknown": _pcap(105, [ip, ip]), "cut": _pcap(101, [ip, ip])[:-5], "cut_header": _pcap(101, [ip])[:10],
+        "empty": b"", "text": b"no capture at all", "bare": _pcap(101, []),
+        "blocks": section + _block(2, struct.pack("<HHIIII", 0, 0, 0, 5_000_000, len(ip), len(ip)) + ip)
+        + _block(3, struct.pack("<I", len(ip)) + ip)}
+    for name, content in files.items():
+        (tmp_path / name).write_bytes(content)
+    packets = {r.capture: r["count"] for r in captures.read_captures(spark, str(tmp_path)).groupBy("capture").count().collect()}
+    assert packets == {"loopback": 2, "ipv4": 1, "cooked2": 1, "cut": 1, "blocks": 1}
+    audit = {r.capture: tuple(r)[1:] for r in captures.capture_audit(spark, str(tmp_path)).collect()}
+    assert audit == {
+        "loopback": ("pcap", 3, 2, 0, 1, 0, False), "ipv4": ("pcap", 1, 1, 0, 0, 0, False),
+        "cooked2": ("pcap", 1, 1, 0, 0, 0, False), "unknown": ("pcap", 2, 0, 2, 0, 0, False),
+        "cut": ("pcap", 1, 1, 0, 0, 0, True), "cut_header": ("pcap", 0, 0, 0, 0, 0, True),
+        "empty": (None, 0, 0, 0, 0, 0, False), "text": (None, 0, 0, 0, 0, 0, False), "bare": ("pcap", 0, 0, 0, 0, 0, False),
+        "blocks": ("pcapng", 2, 1, 0, 0, 1, False)}
+
+
 def test_feature_list_is_complete():
     assert len(set(FEATURES)) == 77
 
