@@ -275,19 +275,13 @@ _register_group("flow_features", FEATURES,
                 f"{TIMED} select flow_key, flow_pos, {', '.join(ALL_SELECTS + _PERIOD_SELECTS)} {_WITH_ACTIVE}")
 
 
-SANITY = ["Flow Duration", "Flow Bytes/s", "Down/Up Ratio", "Packet Length Mean"]
-
-
-@query("feat_sanity", FLOWS + f""", feats as (select flow_key, flow_pos,
-    cast(greatest(max(ts_us) - min(ts_us), 1) as double) as a, cast(sum(packet_len) as double) / {SECONDS} as b,
-    coalesce(case when {_count(_F)} > 0 then {_count(_B)} * 1.0::double / {_count(_F)} end, 0) as c,
-    avg(packet_len) as d from pk group by flow_key, flow_pos),
-  long as (select unnest(['Flow Duration', 'Flow Bytes/s', 'Down/Up Ratio', 'Packet Length Mean']) as feature,
-    unnest([a, b, c, d]) as value from feats)
+@query("feat_sanity", f"""{TIMED}, feats as (
+    select {', '.join(ALL_SELECTS + _PERIOD_SELECTS)} {_WITH_ACTIVE}),
+  long as (unpivot feats on columns(*) into name feature value value)
 select feature, count(*) filter (where isnan(value) or isinf(value)) as invalid,
   count(*) filter (where value < 0 and not contains(feature, 'Ratio')) as negative from long group by feature""")
 def feat_sanity(spark, sf_dir):
-    return ff.sanity_warnings(ff.flow_features(packets(spark, sf_dir), RULES, SANITY), SANITY)
+    return ff.sanity_warnings(ff.flow_features(packets(spark, sf_dir), RULES), FEATURES)
 
 
 # --------------------------------------------------------------------------- extracted against labelled flows
