@@ -107,23 +107,23 @@ MAX_FPR, MAX_LATENCY_MS = 0.01, 1.0
 F2_WEIGHT, LATENCY_WEIGHT = 0.70, 0.30
 MODEL_TYPES = ["random_forest", "xgboost", "lightgbm"]
 
-# The public five-day capture set, one row per labelled file.
+# The public five-day capture set, one row per labelled file; the last field is a note of our own.
 DAYS = [
     ("monday", "Monday-WorkingHours.pcap_ISCX.csv", "Monday-WorkingHours.pcap", [],
-     "Normal traffic baseline"),
+     "benign only"),
     ("tuesday", "Tuesday-WorkingHours.pcap_ISCX.csv", "Tuesday-WorkingHours.pcap",
-     ["FTP-Patator", "SSH-Patator"], "Brute Force attacks"),
+     ["FTP-Patator", "SSH-Patator"], "password guessing over FTP and SSH"),
     ("wednesday", "Wednesday-workingHours.pcap_ISCX.csv", "Wednesday-workingHours.pcap",
      ["DoS slowloris", "DoS Slowhttptest", "DoS Hulk", "DoS GoldenEye", "Heartbleed"],
-     "DoS and Heartbleed attacks"),
+     "denial of service at the application layer, Heartbleed"),
     ("thursday_morning", "Thursday-WorkingHours-Morning-WebAttacks.pcap_ISCX.csv", "Thursday-WorkingHours.pcap",
-     ["Web Attack - Brute Force", "Web Attack - XSS", "Web Attack - Sql Injection"], "Web attacks"),
+     ["Web Attack - Brute Force", "Web Attack - XSS", "Web Attack - Sql Injection"], "attacks on a web application"),
     ("thursday_afternoon", "Thursday-WorkingHours-Afternoon-Infilteration.pcap_ISCX.csv",
-     "Thursday-WorkingHours.pcap", ["Infiltration"], "Infiltration attack"),
+     "Thursday-WorkingHours.pcap", ["Infiltration"], "intrusion from inside"),
     ("friday_morning", "Friday-WorkingHours-Morning.pcap_ISCX.csv", "Friday-WorkingHours.pcap",
-     ["Bot"], "Botnet traffic"),
+     ["Bot"], "bot traffic"),
     ("friday_afternoon_portscan", "Friday-WorkingHours-Afternoon-PortScan.pcap_ISCX.csv",
-     "Friday-WorkingHours.pcap", ["PortScan"], "Port scanning"),
+     "Friday-WorkingHours.pcap", ["PortScan"], "port scans"),
     ("friday_afternoon_ddos", "Friday-WorkingHours-Afternoon-DDos.pcap_ISCX.csv", "Friday-WorkingHours.pcap",
-     ["DDoS"], "DDoS attack"),
+     ["DDoS"], "distributed denial of service"),
 ]

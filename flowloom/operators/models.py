@@ -23,7 +23,8 @@ MAX_CLASSES = 1_000
 INPUT = "_input_"
 # The forest that ranks features.
 IMPORTANCE_FOREST = {"numTrees": 100, "maxDepth": 10, "minInstancesPerNode": 50, "seed": 42}
-# Search spaces, (kind, low, high) or a list of choices, in Spark ML terms.
+# Search spaces of our own, (kind, low, high) or a list of choices, in Spark ML terms. Spark's trees end at depth 30; its boosting has no
+# column sampling, leaf limit or L1 and L2 terms, and rounds cost far more than in a single-node library, so there are fewer.
 SEARCH_SPACES = {
     "random_forest": {
         "numTrees": ("int", 50, 500), "maxDepth": [10, 20, 30], "minInstancesPerNode": ("int", 1, 10),

@@ -210,11 +210,11 @@ def calibration_findings(df: DataFrame, expected: list[str] = FEATURES) -> DataF
     return listed.unionByName(flat.select(F.lit("zero_variance").alias("kind"), "feature"))
 
 
-# What to do about a kind of finding.
+# What a kind of finding means for the reader.
 ADVICE = {
-    "missing": "Add the feature to the files or adjust feature extraction",
-    "critical_missing": "A critical feature is missing",
-    "zero_variance": "The feature does not vary and may not be useful",
+    "missing": "no file has this feature, so the model would see only zeros",
+    "critical_missing": "the model depends on this feature and no file has it",
+    "zero_variance": "every row has the same value, which tells a model nothing",
 }
 
 

@@ -280,7 +280,7 @@ def corr_filter(df):
     return feature_stats.reduction_summary(_cleaned(df), RAW_FEATURES)
 
 
-SCALED = ["Flow Duration", "Flow Bytes/s", "Fwd Avg Bytes/Bulk"]
+SCALED = RAW_FEATURES
 
 
 @over_view("robust_scale", VIEW, CLEANED + ", fit as (select " + ", ".join(
@@ -409,7 +409,7 @@ def calibration_score(df):
     return rounded(quality.calibration_score(df), ["overall_score"])
 
 
-DRIFT = ["Flow Duration", "Flow Bytes/s", "Fwd Avg Bytes/Bulk"]
+DRIFT = RAW_FEATURES
 
 
 @over_view("drift_compare", VIEW, ", d as (" + " union all ".join(
