@@ -9,6 +9,11 @@ too, by equality of their words; a sentence without an end for long is cut after
 chooses, wherever it stands. A run of repeated sentences goes once it has `MIN_WORDS` words; shorter
 coincidences stay.
 
+Passages that begin or end inside a sentence are found whole: a window of `PASSAGE` words (split at white space) that
+several documents hold goes from all but the keeper, so runs of at least `PASSAGE` words go from end to end. A
+window's anchor is the least hash of its runs of `GRAM` words, so equal windows have equal anchors; windows
+are made only where an anchor is in several documents, and are then compared themselves by 64 bits.
+
 The keeper of a class is its smallest doc_id; repeats inside one document stay.
 
 Defined results: NULL and empty texts stay as they are. Rows without doc_id are never keepers of a text that a
@@ -34,6 +39,8 @@ from .near import Scheme, clusters
 WIDTH = 5
 MIN_WORDS = 25
 LONG_SENTENCE = 20
+#: Words of a window that goes when it repeats anywhere, and of the runs that its anchor is chosen from.
+PASSAGE, GRAM = 50, 16
 #: Bytes of texts that a task takes apart at once: words and spans as Python objects take some twenty times as much.
 SLICE = 4 << 20
 
@@ -87,6 +94,34 @@ def paragraphs(low: bytes):
             yield m.start(), m.end(), n, xxhash.xxh64_intdigest(line.strip(), seed=1)
 
 
+BASE = 0x9E3779B97F4A7C15
+UNBASE = pow(BASE, -1, 1 << 64)
+
+
+def _run_hashes(prefix: np.ndarray, unscale: np.ndarray, width: int) -> np.ndarray:
+    return mix((prefix[width:] - prefix[:-width]) * unscale[:len(prefix) - width])
+
+
+def windows(low: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """`(start, end, hash, anchor)` of all runs of `PASSAGE` words of a text."""
+    said = low.split()
+    if len(said) < PASSAGE:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    ink = np.concatenate([[False], ~np.isin(np.frombuffer(low, np.uint8), np.frombuffer(b" \t\n\r\v\f", np.uint8)), [False]])
+    edges = np.flatnonzero(ink[1:] != ink[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    known = {w: xxhash.xxh64_intdigest(w) for w in set(said)}
+    hashed = np.fromiter((known[w] for w in said), np.uint64, len(said))
+    scale, unscale = (np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(said) - 1, b, np.uint64)]), dtype=np.uint64) for b in (BASE, UNBASE))
+    prefix = np.concatenate([[np.uint64(0)], np.cumsum(hashed * scale, dtype=np.uint64)])
+    anchor, held = _run_hashes(prefix, unscale, GRAM), 1
+    while held < PASSAGE - GRAM + 1:  # sliding minimum
+        step = min(held, PASSAGE - GRAM + 1 - held)
+        anchor = np.minimum(anchor[:-step], anchor[step:])
+        held += step
+    return starts[:len(anchor)], ends[PASSAGE - 1:], _run_hashes(prefix, unscale, PASSAGE), anchor
+
+
 def _signed(h: list[int]) -> pa.Array:
     return pa.array(np.array(h, np.uint64).view(np.int64))
 
@@ -173,6 +208,37 @@ def _sentence_counts(rows: DataFrame) -> DataFrame:
         F.min("id").alias("keeper"), F.max("id").alias("last")).where("keeper <> last").select("h", "keeper")
 
 
+def _in_several(found: DataFrame) -> DataFrame:
+    """`(h, keeper)` of the hashes that several documents hold."""
+    return found.groupBy("h").agg(F.min("id").alias("keeper"), F.max("id").alias("last")).where("keeper <> last").select("h", "keeper")
+
+
+def _window_items(rows: DataFrame) -> DataFrame:
+    """`(h, row, id, start, end)` of the windows whose anchor is in several documents."""
+    def anchors(batch):
+        own = [np.unique(windows(lowered(text))[3]) for text in batch.column("text").to_pylist()]
+        ids = np.repeat(batch.column("id").to_numpy(), [len(a) for a in own])
+        return pa.record_batch([_signed(np.concatenate(own)), pa.array(ids)], ["h", "id"])
+
+    met = id_filter(_in_several(arrow_map(rows.select("id", "text"), anchors, "h long, id long", SLICE)), "h")
+
+    def chosen(batch):
+        hashes, at, starts, ends = [], [], [], []
+        for k, text in enumerate(batch.column("text").to_pylist()):
+            start, end, h, anchor = windows(lowered(text))
+            some = may_contain(met.value, _signed(anchor))
+            hashes.append(h[some])
+            at.append(np.full(len(hashes[-1]), k))
+            starts.append(start[some])
+            ends.append(end[some])
+        at = pa.array(np.concatenate(at))
+        return pa.record_batch([_signed(np.concatenate(hashes)), batch.column("row").take(at), batch.column("id").take(at),
+                                pa.array(np.concatenate(starts).astype(np.int32)), pa.array(np.concatenate(ends).astype(np.int32))],
+                               ["h", "row", "id", "start", "end"])
+
+    return arrow_map(rows, chosen, "h long, row long, id long, start int, end int", SLICE)
+
+
 def spans(docs: DataFrame, percent: int = 80) -> DataFrame:
     """`(row, removed)`: for `row` = xxhash64(doc_id, text) the spans `(start, end)` in bytes of UTF-8 that repeat elsewhere."""
     rows = _named(docs)
@@ -184,6 +250,8 @@ def spans(docs: DataFrame, percent: int = 80) -> DataFrame:
     kept = member.groupBy("component").agg(F.min("least").alias("keeper"), F.max("last").alias("last")).where("keeper <> last")
     similar = stabilise(member.join(kept.select("component", "keeper"), "component").select(F.col("node").alias("h"), "keeper"))
     repeated = stabilise(_sentence_counts(rows))
+    windowed = stabilise(_window_items(rows))
+    passages = stabilise(_in_several(windowed))
     some_paragraphs, some_sentences = id_filter(similar, "h"), id_filter(repeated, "h")
 
     def occurrences(batch):
@@ -202,9 +270,10 @@ def spans(docs: DataFrame, percent: int = 80) -> DataFrame:
         return pa.record_batch([pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True)], list(out))
 
     met = arrow_map(rows, occurrences, "kind int, h long, row long, id long, at int, start int, end int, words int", SLICE)
-    keepers = repeated.withColumn("kind", F.lit(0)).union(similar.withColumn("kind", F.lit(1)))
+    met = met.unionByName(windowed.select(F.lit(2).alias("kind"), "h", "row", "id", F.lit(0).alias("at"), "start", "end", F.lit(PASSAGE).alias("words")))
+    keepers = repeated.withColumn("kind", F.lit(0)).union(similar.withColumn("kind", F.lit(1))).union(passages.withColumn("kind", F.lit(2)))
     gone = met.join(keepers, ["kind", "h"]).where("id <> keeper").select("row", "kind", "at", "start", "end", "words")
-    # Neighbouring sentences form runs; a paragraph is long enough by itself. A document's spans are bounded by its text.
+    # Neighbouring sentences form runs; a paragraph or window is long enough by itself. A document's spans are bounded by its text.
     return gone.groupBy("row").agg(F.sort_array(F.collect_set(F.struct("kind", "at", "start", "end", "words"))).alias("found"))
 
 

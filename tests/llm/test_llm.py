@@ -105,6 +105,33 @@ def test_substrings_of_odd_rows(spark, odd, none):
     assert substring_dedup.deduplicated(none).count() == 0
 
 
+@pytest.mark.parametrize("join", [" ", "\t", " \n"])
+def test_passages_spliced_inside_sentences_go_whole(spark, join):
+    rng = np.random.default_rng(8)
+    docs, shared = [], []
+    for i in range(40):
+        own = [w + "." if dotted else w for w, dotted in zip(passage(rng, 51, 10**6).split(), rng.random(51) < (i % 2) / 9, strict=True)]
+        shared.append(" ".join(own))
+        for copy, gap in enumerate((" ", join)):
+            a, b = (passage(rng, int(n), 10**6) for n in rng.integers(3, 40, 2))
+            docs.append((2 * i + copy, f"{a} {gap.join(own)} {b}", "", "", 0, ""))
+    got = {r.doc_id: " ".join(r.text.split()) for r in substring_dedup.deduplicated(spark.createDataFrame(docs, DOCS)).collect()}
+    for i, text in enumerate(shared):
+        assert text in got[2 * i]
+        kept = " ".join(docs[2 * i + 1][1].split()).split(text)
+        assert got[2 * i + 1].split() == [w for part in kept for w in part.split()]
+
+
+def test_windows_have_the_hash_and_anchor_of_their_words_alone():
+    rng = np.random.default_rng(9)
+    said = passage(rng, 50)
+    (want,) = zip(*substring_dedup.windows(said.encode())[2:], strict=True)
+    low = f"\n a b {said.replace(' ', chr(9) + ' ')} c d ".encode()
+    start, end, h, anchor = substring_dedup.windows(low)
+    assert len(h) == 5 and (h[2], anchor[2]) == want and low[start[2]:end[2]].split() == said.encode().split()
+    assert not len(substring_dedup.windows(b" ".join([b"x"] * 49))[0])
+
+
 # 3
 def test_licences(spark, sf, odd, none):
     docs = spark.createDataFrame([(1, "Foo bar. Released under the MIT licence, the MIT License."), (2, license_scan.TEMPLATES["MIT"]),
