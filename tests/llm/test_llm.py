@@ -189,6 +189,16 @@ def test_packing_is_whole_and_tight(spark, odd, none):
     assert packing.packed(none).count() == 0
 
 
+def test_markers_have_the_ids_of_the_json_tokenizer(spark):
+    tokenizers, vocabularies = pytest.importorskip("tokenizers"), pytest.importorskip("public_tokenizers")
+    end = "<|endoftext|>"
+    texts = [f"a{end}b", end, f"x  {end}  y\n\n{end}{end} z", f"it's {end}'s", f"1 <|endoftext {end[:-1]} |>", f"é\n {end}漢字 \t"]
+    own = tokenizers.Tokenizer.from_file(vocabularies.path("byte_bpe_50k.json"))
+    want = {i: [*own.encode(t, add_special_tokens=False).ids, 2] for i, t in enumerate(texts)}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.ids for r in packing.pieces(docs, with_ids=True).collect()} == want
+
+
 def test_sweep_is_best_fit_decreasing():
     rng = np.random.default_rng(6)
     for _ in range(30):
