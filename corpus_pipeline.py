@@ -35,8 +35,8 @@ def substring(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents of the mix, a row for each copy."""
-    return mixing.mixed(docs).select(*docs.columns)
+    """The documents of the mix, a row for each copy, in the order of `_shard` and `_order`."""
+    return mixing.mixed(docs).select(*docs.columns, "_shard", "_order")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

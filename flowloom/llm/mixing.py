@@ -8,8 +8,8 @@ its blocks while its target allows one, then blocks in a seeded order as long as
 that no document is drawn more than `cap` times. The drawn blocks of all sources are dealt to the output
 shards by a splitting tree: a node that covers some shards gives its left half an exact
 multivariate-hypergeometric share of every source's blocks. A source's draws in permuted order then
-fill its quotas shard by shard, so draws are disjoint and complete, and rows are ordered
-by hash inside their shard.
+fill its quotas shard by shard, so draws are disjoint and complete, and the rows of the mix are
+sorted by a seeded hash inside their shard.
 
 Only sums per (source, block) leave the documents, so a source with a third of all rows costs
 no task more than another. The tree is planned over counts per source and shard.
@@ -137,11 +137,17 @@ def taken(docs: DataFrame, **options) -> DataFrame:
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The documents that the mix holds, one row for each copy, with their columns and `_shard`, ordered inside it."""
+    """The documents that the mix holds, one row for each copy, with their columns, `_shard`, `_copy` and `_order`.
+
+    Rows come shard after shard, shuffled inside by `_order`, a seeded hash. A range of (shard, hash) is a task's share, so
+    a large shard is spread; files that are read again have no order of their own, but the two columns restore it.
+    """
     seed = options.get("seed", 7)
     _, draws = drawn(docs, **options)
     block = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(BLOCKS)).cast("int")
     marked = docs.withColumn("_block", block)
     copies = draws.select(F.col("source").alias("_source"), F.col("block").alias("_b"), "copy", "shard")
     out = marked.join(copies, marked["source"].eqNullSafe(F.col("_source")) & (F.col("_block") == F.col("_b")))
-    return out.select(*[marked[c] for c in docs.columns], F.col("shard").alias("_shard"), F.col("copy").alias("_copy"))
+    shuffled = F.xxhash64(F.lit(seed + 3), "shard", marked["doc_id"], "copy", marked["text"])
+    return out.select(*[marked[c] for c in docs.columns], F.col("shard").alias("_shard"), F.col("copy").alias("_copy"),
+                      shuffled.alias("_order")).orderBy("_shard", "_order")

@@ -68,7 +68,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op9_mixing")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.taken(table(spark, sf_dir, "documents")).drop("shards")
+    return mixing.taken(table(spark, sf_dir, "documents"))
 
 
 @query("op10_toxicity")

@@ -10,6 +10,7 @@ import corpus_pipeline
 from flowloom.llm import (
     chat_format, lattice_dedup, license_scan, media_archive, minhash_dedup, mixing, packing, quality_lm, substring_dedup, toxicity,
 )
+from flowloom.llm import queries
 from flowloom.llm.components import components
 from flowloom.llm.near import Scheme, _pairs_within
 from tools.check_queries import connect
@@ -317,6 +318,30 @@ def test_mix_meets_targets(spark, odd, none):
     assert mixing.taken(odd).count() == len(ODD) and mixing.taken(none).count() == 0
 
 
+def test_mix_is_shuffled_inside_its_shards(spark, sf, none):
+    docs = spark.createDataFrame([(i, f"text {i}", "", f"s{i % 3}", 0, "") for i in range(400)], DOCS)
+    rows = mixing.mixed(docs, shards=4).collect()
+    places = [(r["_shard"], r["_order"]) for r in rows]
+    assert places == sorted(places) and {s for s, _ in places} == {0, 1, 2, 3}
+    own = [r.doc_id for r in rows if r["_shard"] == 0]
+    assert own != sorted(own) and len({r.source for r in rows if r["_shard"] == 0}) == 3
+    assert rows == mixing.mixed(docs, shards=4).collect()
+    assert rows != mixing.mixed(docs, shards=4, seed=8).collect()
+    _, draws = mixing.drawn(docs, shards=4)
+    quota = {}
+    for r in draws.groupBy("shard", "source").count().collect():
+        quota.setdefault(r.shard, {})[r.source] = r["count"]
+    sums = [sum(q.values()) for q in quota.values()]
+    assert len(sums) == 4 and max(sums) - min(sums) <= 2
+    by_shard = sorted((s, r.doc_id) for r in mixing.taken(docs, shards=4).collect() for s in r.shards)
+    assert by_shard == sorted((r["_shard"], r.doc_id) for r in rows)
+    assert mixing.mixed(none).count() == 0
+    stage = corpus_pipeline.mix(spark, docs, sf)
+    assert stage.columns == [*docs.columns, "_shard", "_order"]
+    assert [r["_order"] for r in stage.collect()] == sorted(r["_order"] for r in stage.collect())
+    assert "shards" in queries.QUERIES["op9_mixing"](spark, sf).columns
+
+
 def test_splitting_tree_is_exact():
     quota = np.array([1000, 30, 7, 0])
     parts = mixing.split(quota, 13, np.random.default_rng(1))
