@@ -9,13 +9,12 @@ from pyspark.sql import functions as F
 from ..functions.bounded import stabilise
 from ..functions.columns import c
 from ..operators import clean, labels, metrics, models, sampling
-from ..sources.bindings import spark_view
+from ..sources.bindings import RAW_FEATURES, spark_view
 from .catalog import query, rounded
 
-FEATURES = ["Flow Duration", "Flow Bytes/s", "Flow IAT Mean", "Fwd IAT Mean", "Subflow Fwd Bytes"]
-# Model quality grows with these; the queries keep them small because every row is trained on.
-SMALL_FOREST = {"numTrees": 20, "maxDepth": 6, "minInstancesPerNode": 10}
-FEW_ROUNDS = {"maxIter": 5, "maxDepth": 4}
+#: All the features that the labelled table has.
+FEATURES = RAW_FEATURES
+FOREST = {k: models.IMPORTANCE_FOREST[k] for k in ("numTrees", "maxDepth", "minInstancesPerNode")}
 
 
 def _table(spark, sf_dir):
@@ -36,19 +35,19 @@ def _evaluated(model, table):
 
 @query("rf_importance")
 def rf_importance(spark, sf_dir):
-    return models.forest_importance(_table(spark, sf_dir), FEATURES, "y", numTrees=20, maxDepth=5)
+    return models.forest_importance(_table(spark, sf_dir), FEATURES, "y")
 
 
 @query("train_rf")
 def train_rf(spark, sf_dir):
     table = _split(spark, sf_dir)
-    model = models.train(table.where("split = 'train'"), FEATURES, "y", models.random_forest(**SMALL_FOREST))
+    model = models.train(table.where("split = 'train'"), FEATURES, "y", models.random_forest(**FOREST))
     return _evaluated(model, table.where("split = 'val'"))
 
 
 def _train_boosted(spark, sf_dir, preset):
     table = _split(spark, sf_dir).withColumn("held_out", F.col("split") == "val")
-    learner = models.boosted_trees(preset, validation="held_out", **FEW_ROUNDS)
+    learner = models.boosted_trees(preset, validation="held_out")
     model = models.train(table.where("split <> 'test'"), FEATURES, "y", learner, ["held_out"])
     return _evaluated(model, table.where("split = 'test'"))
 
@@ -76,7 +75,7 @@ def param_search(spark, sf_dir):
 @query("score_batch")
 def score_batch(spark, sf_dir):
     table = _table(spark, sf_dir)
-    model = models.train(table, FEATURES, "y", models.random_forest(numTrees=10, maxDepth=5))
+    model = models.train(table, FEATURES, "y", models.random_forest(**FOREST))
     mapping = spark.createDataFrame([("BENIGN", 0), ("ATTACK", 1)], "label string, code int")
     scored = models.score(table, model).select("row_key", "prediction", F.round("confidence", 6).alias("confidence"))
     return labels.decode_labels(scored, mapping)

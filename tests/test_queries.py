@@ -30,3 +30,24 @@ def test_query_without_twin_gives_rows(spark, con, sf, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_models_are_trained_on_the_whole_table_with_the_presets(spark, sf, monkeypatch):
+    from flowloom.operators import models
+    from flowloom.plans import model_queries
+    from flowloom.sources.bindings import RAW_FEATURES
+
+    assert model_queries.FEATURES == RAW_FEATURES
+    seen = []
+
+    def fit(df, features, label, learner, extra=(), scaler=None):
+        assert features == RAW_FEATURES
+        seen.append({p.name: v for p, v in learner.extractParamMap().items()})
+        raise StopIteration
+
+    monkeypatch.setattr(models, "train", fit)
+    for name in ("rf_importance", "train_rf", "score_batch", "train_gbt", "train_gbt_leafwise"):
+        with pytest.raises(StopIteration):
+            getattr(model_queries, name)(spark, sf)
+    assert [(p["numTrees"], p["maxDepth"]) for p in seen[:3]] == [(100, 10)] * 3
+    assert [(p["maxIter"], p["maxDepth"]) for p in seen[3:]] == [(100, 6), (100, 8)]
