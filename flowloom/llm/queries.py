@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, lattice_dedup, license_scan, media_archive, minhash_dedup, mixing, packing, quality_lm, substring_dedup, toxicity
+from . import (
+    chat_format, grace_dedup, lattice_dedup, license_scan, media_archive, minhash_dedup, mixing, packing, quality_lm, substring_dedup, toxicity,
+)
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,3 +77,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return scored.withColumn("n_offending", F.size("spans")).withColumn("first_offending", F.try_element_at("spans", F.lit(1))["start"]).drop("spans")
+
+
+@query("op11_grace_dedup", grace_dedup.SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grace_dedup.deduplicated(table(spark, sf_dir, "documents"))
