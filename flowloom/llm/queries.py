@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
-    chat_format, grace_dedup, lattice_dedup, license_scan, media_archive, minhash_dedup, mixing, packing, quality_lm, substring_dedup, toxicity,
+    chat_format, grace_dedup, lattice_dedup, lexical_search, license_scan, media_archive, minhash_dedup, mixing, packing,
+    periodic_runs, quality_lm, substring_dedup, toxicity,
 )
 from .common import table
 
@@ -82,3 +83,13 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_grace_dedup", grace_dedup.SQL)
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grace_dedup.deduplicated(table(spark, sf_dir, "documents"))
+
+
+@query("op12_periodic_runs")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.report(periodic_runs.periodic_runs(table(spark, sf_dir, "documents"), periodic_runs.planted))
+
+
+@query("op13_lexical_search", lexical_search.SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(lexical_search.indexed(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
