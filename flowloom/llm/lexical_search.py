@@ -148,20 +148,21 @@ def impact(weight: Column, tf: Column, m: Column) -> Column:
 def _visited(index: Index, weighted: DataFrame, alive: DataFrame, k: int) -> DataFrame:
     """`(item, doc_id, score)`: the k best of every block for each item that visits its stratum.
 
-    `weighted` is (term, w, g, items, counts) and `alive` (m, g, visitors): items are numbers inside their group g.
+    `weighted` is (term, w, g, items, counts) and `alive` (m, g, visitors, least): items are numbers inside
+    their group g, and scores below an item's `least` are of no use.
     """
     postings = index.rows.where("term is not null").join(weighted, "term").join(alive.select("m", "g"), ["m", "g"]).select(
         *BLOCK_KEY, impact(F.col("w"), F.col("tf"), F.col("m")).alias("impact"), "places", "items", "counts",
-        F.lit(None).cast("array<long>").alias("ids"), F.lit(None).cast("array<int>").alias("visitors"))
+        F.lit(None).cast("array<long>").alias("ids"), F.lit(None).cast("array<int>").alias("visitors"), F.lit(None).cast("array<long>").alias("least"))
     members = index.rows.where("term is null").join(alive, "m").select(
         *BLOCK_KEY, F.lit(None).cast("long").alias("impact"), *[F.lit(None).cast("array<int>").alias(n) for n in ("places", "items", "counts")],
-        "ids", "visitors")
+        "ids", "visitors", "least")
     laid = postings.unionByName(members).repartition(*BLOCK_KEY).sortWithinPartitions(*BLOCK_KEY)
 
     def one_block(t: pa.Table):
         """The best documents of one block for the items of one group."""
         (i,) = np.flatnonzero(t["ids"].is_valid().to_numpy()).tolist()
-        ids, visitors = t["ids"][i].values, t["visitors"][i].values.to_numpy()
+        ids, visitors, floors = t["ids"][i].values, t["visitors"][i].values.to_numpy(), t["least"][i].values.to_pylist()
         row_of = np.full(GROUP_ITEMS, -1)
         row_of[visitors] = np.arange(len(visitors))
         scores = np.zeros((len(visitors), len(ids)), np.int64)
@@ -174,8 +175,8 @@ def _visited(index: Index, weighted: DataFrame, alive: DataFrame, k: int) -> Dat
             scores[np.ix_(rows[here], places.values.to_numpy())] += add[:, None]
         known, names = ids.is_valid().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy(zero_copy_only=False)
         base = t["g"][0].as_py() * GROUP_ITEMS
-        for item, row in zip(visitors.tolist(), scores, strict=True):
-            least = max(1, int(np.partition(row, -k)[-k])) if len(row) > k else 1
+        for item, floor, row in zip(visitors.tolist(), floors, scores, strict=True):
+            least = max(floor, int(np.partition(row, -k)[-k])) if len(row) > k else floor
             at = np.flatnonzero(row >= least)
             at = at[np.lexsort((names[at], ~known[at], -row[at]))][:k]
             yield np.full(len(at), base + item), ids.take(pa.array(at)), row[at]
@@ -185,9 +186,10 @@ def _visited(index: Index, weighted: DataFrame, alive: DataFrame, k: int) -> Dat
             keys = np.stack([t[n].to_numpy() for n in BLOCK_KEY])
             starts = np.flatnonzero(np.append(True, (keys[:, 1:] != keys[:, :-1]).any(axis=0)))
             for start, end in zip(starts.tolist(), [*starts[1:].tolist(), t.num_rows], strict=True):
-                for numbers, ids, found in one_block(t.slice(start, end - start)):
-                    if len(found):
-                        yield pa.record_batch([pa.array(numbers), ids, pa.array(found)], ["number", "doc_id", "score"])
+                if parts := list(one_block(t.slice(start, end - start))):
+                    numbers, ids, found = zip(*parts, strict=True)
+                    yield pa.record_batch([pa.array(np.concatenate(numbers)), pa.concat_arrays(ids), pa.array(np.concatenate(found))],
+                                          ["number", "doc_id", "score"])
 
     return laid.mapInArrow(score, "number long, doc_id long, score long")
 
@@ -223,9 +225,12 @@ def search(index: Index, items: DataFrame, k: int = 20) -> DataFrame:
         if best is not None:
             # Below the k-th score nothing more is found; at it a smaller doc_id may be.
             reached = best.groupBy("number").agg(F.when(F.count("*") >= k, F.min("score")).otherwise(0).alias("least"))
-            wave = wave.join(reached, "number", "left").where("bound >= coalesce(least, 0)")
+            wave = wave.join(reached, "number", "left").withColumn("least", F.greatest("least", F.lit(1))).where("bound >= least")
+        else:
+            wave = wave.withColumn("least", F.lit(1))
+        visitor = F.struct((F.col("number") % GROUP_ITEMS).cast("int").alias("i"), F.col("least").cast("long").alias("least"))
         alive = stabilise(wave.groupBy("m", F.floor(F.col("number") / GROUP_ITEMS).alias("g")).agg(
-            F.sort_array(F.collect_list((F.col("number") % GROUP_ITEMS).cast("int"))).alias("visitors")))
+            F.sort_array(F.collect_list(visitor)).alias("x")).select("m", "g", F.col("x.i").alias("visitors"), F.col("x.least").alias("least")))
         alive, rows = pin_small(alive)
         if rows != []:
             found = _visited(index, grouped_terms, alive, k)
