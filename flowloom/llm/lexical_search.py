@@ -26,6 +26,7 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -41,6 +42,8 @@ FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <
 BLOCK_TERMS, BLOCK_DOCS = 1 << 21, 1 << 14
 #: Items whose scores a task holds at once.
 GROUP_ITEMS = 128
+#: Scores that a task holds, and single additions that it makes, at once.
+CELLS = 1 << 22
 #: Share of the documents that the first wave visits; each later wave visits so many times more.
 FIRST_SHARE, WAVE_GROWTH = 1 / 32, 8
 
@@ -145,6 +148,15 @@ def impact(weight: Column, tf: Column, m: Column) -> Column:
     return weight * F.call_function("div", one * one * one * tf, one * tf + 12 * m)
 
 
+def _flat(column: pa.ChunkedArray, numbers: bool = True):
+    """The lengths of a column of lists, a missing list having none, and all their values in one array."""
+    lists = column.combine_chunks()
+    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+    values = lists.flatten()
+    return pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), (
+        values.to_numpy(zero_copy_only=False) if numbers else values)
+
+
 def _visited(index: Index, weighted: DataFrame, alive: DataFrame, k: int) -> DataFrame:
     """`(item, doc_id, score)`: the k best of every block for each item that visits its stratum.
 
@@ -159,37 +171,67 @@ def _visited(index: Index, weighted: DataFrame, alive: DataFrame, k: int) -> Dat
         "ids", "visitors", "least")
     laid = postings.unionByName(members).repartition(*BLOCK_KEY).sortWithinPartitions(*BLOCK_KEY)
 
-    def one_block(t: pa.Table):
-        """The best documents of one block for the items of one group."""
-        (i,) = np.flatnonzero(t["ids"].is_valid().to_numpy()).tolist()
-        ids, visitors, floors = t["ids"][i].values, t["visitors"][i].values.to_numpy(), t["least"][i].values.to_pylist()
-        row_of = np.full(GROUP_ITEMS, -1)
-        row_of[visitors] = np.arange(len(visitors))
-        scores = np.zeros((len(visitors), len(ids)), np.int64)
-        for x, places, items, counts in zip(t["impact"], t["places"], t["items"], t["counts"], strict=True):
-            if not x.is_valid:
-                continue
-            rows = row_of[items.values.to_numpy()]
-            here = rows >= 0
-            add = counts.values.to_numpy()[here].astype(np.int64) * x.as_py()
-            scores[np.ix_(rows[here], places.values.to_numpy())] += add[:, None]
+    def best_of(t: pa.Table, group: np.ndarray, ids: pa.Array, docs: np.ndarray, visitors: np.ndarray, visits: np.ndarray, least: np.ndarray):
+        """The best documents of some whole blocks. Block g has `docs[g]` of `ids`, and `visits[g]` of `visitors`, which are items."""
+        width = np.repeat(docs, visits)  # a row of scores for each visitor
+        ends = np.cumsum(width)
+        first_doc, first_row = np.cumsum(docs) - docs, np.cumsum(visits) - visits
+        row_of = np.full((len(docs), GROUP_ITEMS), -1)
+        row_of[np.repeat(np.arange(len(docs)), visits), visitors] = np.arange(len(visitors))
+        scores = np.zeros(ends[-1] if len(ends) else 0, np.int64)
+        impacts = t["impact"].fill_null(0).to_numpy()
+        n_places, places = _flat(t["places"])
+        n_items, items = _flat(t["items"])
+        # One entry for each posting row and item that asks for its term, if the item visits the block.
+        of = np.repeat(np.arange(t.num_rows), n_items)
+        rows = row_of[group[of], items]
+        of, rows, add = of[rows >= 0], rows[rows >= 0], (_flat(t["counts"])[1] * impacts[of])[rows >= 0]
+        first_place, begin = np.cumsum(n_places) - n_places, (ends - width)[rows]
+        size = n_places[of]
+        reach, at = np.cumsum(size), 0
+        while at < len(of):  # so many single additions at once
+            upto = max(at + 1, int(np.searchsorted(reach, (reach[at - 1] if at else 0) + CELLS, "right")))
+            n = size[at:upto]
+            inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            np.add.at(scores, np.repeat(begin[at:upto], n) + places[np.repeat(first_place[of[at:upto]], n) + inside], np.repeat(add[at:upto], n))
+            at = upto
         known, names = ids.is_valid().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy(zero_copy_only=False)
-        base = t["g"][0].as_py() * GROUP_ITEMS
-        for item, floor, row in zip(visitors.tolist(), floors, scores, strict=True):
-            least = max(floor, int(np.partition(row, -k)[-k])) if len(row) > k else floor
-            at = np.flatnonzero(row >= least)
-            at = at[np.lexsort((names[at], ~known[at], -row[at]))][:k]
-            yield np.full(len(at), base + item), ids.take(pa.array(at)), row[at]
+        block = np.repeat(np.arange(len(docs)), visits)
+        reached = np.maximum.reduceat(scores, ends - width) >= least if len(scores) else np.zeros(0, bool)
+        out = ([], [], [])
+        for r in np.flatnonzero(reached).tolist():
+            row, base = scores[ends[r] - width[r]:ends[r]], first_doc[block[r]]
+            floor = max(least[r], int(np.partition(row, -k)[-k])) if len(row) > k else least[r]
+            hit = np.flatnonzero(row >= floor)
+            hit = hit[np.lexsort((names[base + hit], ~known[base + hit], -row[hit]))][:k]
+            out[0].append(np.full(len(hit), visitors[r]))
+            out[1].append(base + hit)
+            out[2].append(row[hit])
+        return [np.concatenate(x) if x else np.zeros(0, np.int64) for x in out]
 
     def score(batches):
         for t in grouped(batches, BLOCK_KEY):
             keys = np.stack([t[n].to_numpy() for n in BLOCK_KEY])
-            starts = np.flatnonzero(np.append(True, (keys[:, 1:] != keys[:, :-1]).any(axis=0)))
-            for start, end in zip(starts.tolist(), [*starts[1:].tolist(), t.num_rows], strict=True):
-                if parts := list(one_block(t.slice(start, end - start))):
-                    numbers, ids, found = zip(*parts, strict=True)
-                    yield pa.record_batch([pa.array(np.concatenate(numbers)), pa.concat_arrays(ids), pa.array(np.concatenate(found))],
-                                          ["number", "doc_id", "score"])
+            fresh = np.append(True, (keys[:, 1:] != keys[:, :-1]).any(axis=0))
+            starts, group = np.flatnonzero(fresh), np.cumsum(fresh) - 1
+            docs, ids = _flat(t["ids"], False)
+            visits, visitors = _flat(t["visitors"])
+            least = _flat(t["least"])[1]
+            member = np.flatnonzero(docs)  # one row a block has its documents
+            docs, visits = docs[member], visits[member]
+            cells = np.cumsum(docs * visits)
+            at = 0
+            while at < len(starts):  # some blocks at a time
+                upto = max(at + 1, int(np.searchsorted(cells, (cells[at - 1] if at else 0) + CELLS, "right")))
+                lo, hi = int(starts[at]), int(starts[upto]) if upto < len(starts) else t.num_rows
+                d, v = (slice(int(x[:at].sum()), int(x[:upto].sum())) for x in (docs, visits))
+                own = ids[d.start:d.stop]
+                numbers, hits, found = best_of(t.slice(lo, hi - lo).combine_chunks(), group[lo:hi] - at, own, docs[at:upto], visitors[v], visits[at:upto], least[v])
+                if len(hits):
+                    which = np.searchsorted(np.cumsum(docs[at:upto]), hits, "right")
+                    g = keys[2][starts[at:upto]][which]
+                    yield pa.record_batch([pa.array(g * GROUP_ITEMS + numbers), own.take(pa.array(hits)), pa.array(found)], ["number", "doc_id", "score"])
+                at = upto
 
     return laid.mapInArrow(score, "number long, doc_id long, score long")
 
