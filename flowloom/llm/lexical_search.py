@@ -1,14 +1,15 @@
 """Ranked lexical search over a length-stratified index.
 
-Documents with the same normaliser m (a function of the number of terms) form a stratum. In a stratum a term's
-postings are grouped by tf, so that the impact of a posting depends on its group alone: it is computed once per
-(term, m, tf), as one expression of a row, and never per posting. A stratum is laid in blocks of the documents that one task
-indexed together; a posting is a place in its block.
+Documents with the same normaliser m (a function of the number of terms) form a stratum. A stratum is laid in blocks, one
+for each task that indexed some of its documents; a row of the index is a block. In it, a term's postings are grouped by
+tf, so the impact of a posting depends on its group alone: it is computed once per (term, m, tf), never per
+posting. A posting is a document's place in the block.
 
 A search bounds each (item, stratum): the sum, over the item's terms, of the impact of the greatest tf there. Strata are
 visited in the order of their bounds, in a few waves that grow; after each wave the k-th best score so far ends the visit to
 all strata whose bound is below it, which loses no result. A visited block adds the impacts of its postings to a matrix of
-items and documents; items come in groups of bounded size, so a task holds a bounded matrix whatever the number of items.
+items and documents. A block holds all postings of its documents, so no posting is ever shuffled. Items come in batches
+whose terms are bounded; each batch is broadcast and searched by itself.
 
 Terms are the maximal matches of `[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+`, with A-Z in lower case.
 
@@ -20,7 +21,7 @@ Extra columns are ignored, a column called like a result too. No documents or no
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 from dataclasses import dataclass
 from itertools import count
 
@@ -28,27 +29,27 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.bounded import pin_small, stabilise
 from .common import arrow_map
-from .near import grouped
 
 #: What is no part of a term becomes a blank, A-Z become a-z, all other bytes stay.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 #: Terms and documents that a task indexes together: they bound a block.
-BLOCK_TERMS, BLOCK_DOCS = 1 << 21, 1 << 14
-#: Items whose scores a task holds at once.
-GROUP_ITEMS = 128
+BLOCK_TERMS, BLOCK_DOCS = 1 << 22, 1 << 15
+#: Terms and items that are searched at once: they bound what is broadcast, and a task's rows of scores.
+BATCH_TERMS, BATCH_ITEMS = 1 << 18, 256
 #: Scores that a task holds, and single additions that it makes, at once.
 CELLS = 1 << 22
 #: Share of the documents that the first wave visits; each later wave visits so many times more.
 FIRST_SHARE, WAVE_GROWTH = 1 / 32, 8
 
-INDEX = "m long, block long, term string, tf long, n long, places array<int>, ids array<long>"
-BLOCK_KEY = ["m", "block", "g"]
+#: A block: its documents, and its posting groups: the term and tf of each, how many places it has, and the places of all.
+INDEX = "m long, block long, ids array<long>, terms array<string>, tf array<long>, n array<long>, places array<int>"
+INDEX_NAMES = [part.split()[0] for part in INDEX.split(", ")]
 
 
 def terms(text: str | None) -> list[bytes]:
@@ -57,24 +58,24 @@ def terms(text: str | None) -> list[bytes]:
 
 @dataclass(frozen=True)
 class Index:
-    """`rows` is a stored table of postings and, with a NULL term, of the documents of each block; `n_docs` and `n_terms` are its totals."""
+    """`rows` is a stored table of blocks; `n_docs` and `n_terms` are the totals of all documents with a term."""
 
     rows: DataFrame
     n_docs: int
     n_terms: int
 
 
-def _postings(docs: list, m: list[int], words: list[np.ndarray], names: list[bytes], block: int):
-    """The index rows of one block, in batches."""
-    m_of = np.array(m, np.int64)
+def _lists(values, sizes: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), values)
+
+
+def _blocks(docs: list, m: list[int], words: list[np.ndarray], names: list[bytes], block: int):
+    """The blocks of some documents: a row for each of their strata."""
+    m_of, ids = np.array(m, np.int64), pa.array(docs, pa.int64())
     by_m = np.argsort(m_of, kind="stable")
     strata, first, sizes = np.unique(m_of[by_m], return_index=True, return_counts=True)
     place = np.empty(len(m_of), np.int32)
     place[by_m] = np.arange(len(m_of)) - np.repeat(first, sizes)
-    for k, at, size in zip(strata.tolist(), first.tolist(), sizes.tolist(), strict=True):
-        yield pa.record_batch([
-            pa.array([k], pa.int64()), pa.array([block], pa.int64()), pa.nulls(1, pa.string()), pa.nulls(1, pa.int64()), pa.array([size], pa.int64()),
-            pa.nulls(1, pa.list_(pa.int32())), pa.array([[docs[i] for i in by_m[at:at + size].tolist()]], pa.list_(pa.int64()))], INDEX_NAMES)
     doc = np.repeat(np.arange(len(words)), [len(w) for w in words])
     pairs, tf = np.unique(doc * len(names) + np.concatenate(words), return_counts=True)
     doc, word = np.divmod(pairs, len(names))
@@ -83,18 +84,15 @@ def _postings(docs: list, m: list[int], words: list[np.ndarray], names: list[byt
     fresh = np.ones(len(doc), bool)
     fresh[1:] = (m_of[doc[1:]] != m_of[doc[:-1]]) | (word[1:] != word[:-1]) | (tf[1:] != tf[:-1])
     starts = np.flatnonzero(fresh)
-    spelled = pa.array(names, pa.binary()).cast(pa.string())
-    for at in range(0, len(starts), 1 << 16):
-        s = starts[at:at + (1 << 16)]
-        end = starts[at + len(s)] if at + len(s) < len(starts) else len(doc)
-        offsets = np.append(s, end) - s[0]
-        lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(place[doc[s[0]:end]]))
-        yield pa.record_batch([
-            pa.array(m_of[doc[s]]), pa.array(np.full(len(s), block)), spelled.take(pa.array(word[s])), pa.array(tf[s]),
-            pa.array(np.diff(offsets)), lists, pa.nulls(len(s), pa.list_(pa.int64()))], INDEX_NAMES)
-
-
-INDEX_NAMES = [part.split()[0] for part in INDEX.split(", ")]
+    n = np.diff(np.append(starts, len(doc)))
+    groups = np.bincount(np.searchsorted(strata, m_of[doc[starts]]), minlength=len(strata))
+    postings = np.bincount(np.searchsorted(strata, m_of[doc]), minlength=len(strata))
+    spelled = pa.array(names, pa.binary()).cast(pa.string()).take(pa.array(word[starts]))
+    table = pa.record_batch([
+        pa.array(strata), pa.array(np.full(len(strata), block)), _lists(ids.take(pa.array(by_m)), sizes), _lists(spelled, groups),
+        _lists(pa.array(tf[starts]), groups), _lists(pa.array(n), groups), _lists(pa.array(place[doc]), postings)], INDEX_NAMES)
+    for at in range(0, len(strata), 64):
+        yield table.slice(at, 64)
 
 
 def indexed(docs: DataFrame) -> Index:
@@ -122,183 +120,206 @@ def indexed(docs: DataFrame) -> Index:
                 words.append(np.fromiter(map(number.__getitem__, found), np.int64, len(found)))
                 held += len(found)
                 if held >= BLOCK_TERMS or len(ids) >= BLOCK_DOCS:
-                    yield from _postings(ids, m, words, list(number), block)
+                    yield from _blocks(ids, m, words, list(number), block)
                     block += 1
                     number, ids, m, words, held = defaultdict(count().__next__), [], [], [], 0
         if ids:
-            yield from _postings(ids, m, words, list(number), block)
+            yield from _blocks(ids, m, words, list(number), block)
 
     return Index(stabilise(docs.mapInArrow(build, INDEX)), n_docs, n_terms)
 
 
-def _item_terms(items: DataFrame) -> DataFrame:
-    """`(item, term, c)`: the terms of each item row with their number."""
-    def count_terms(batch):
-        rows = [(i, *x) for i, text in zip(batch.column("item").to_pylist(), batch.column("text").to_pylist(), strict=True)
-                for x in zip(*np.unique(np.array(terms(text), object), return_counts=True), strict=True)]
-        return pa.record_batch([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()).cast(pa.string()),
-                                pa.array([int(r[2]) for r in rows], pa.int64())], ["item", "term", "c"])
+class Asked:
+    """The terms of a batch of items, as sent to the tasks: which items ask for a term how often, and its weight."""
 
-    return arrow_map(items.select("item", F.col("text").cast("string").alias("text")), count_terms, "item long, term string, c long")
+    def __init__(self, rows: list, weight: dict[str, int] | None = None):
+        self.terms = sorted({r.term for r in rows})
+        at = {t: i for i, t in enumerate(self.terms)}
+        rows = sorted(rows, key=lambda r: (at[r.term], r.item))
+        self.items = np.array([r.item for r in rows], np.int64)
+        self.counts = np.array([r.c for r in rows], np.int64)
+        self.n = np.bincount([at[r.term] for r in rows], minlength=len(self.terms))
+        self.first = np.cumsum(self.n) - self.n
+        self.weights = np.array([weight.get(t, 0) for t in self.terms], np.int64) if weight is not None else None
 
+    def met(self, names: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Which of some terms are asked for, and their numbers."""
+        number = pc.index_in(names, pa.array(self.terms, pa.string()))
+        where = number.is_valid().to_numpy(zero_copy_only=False)
+        return np.flatnonzero(where), number.drop_null().to_numpy()
 
-def impact(weight: Column, tf: Column, m: Column) -> Column:
-    """The share of a posting in a score, in whole numbers."""
-    one = F.lit(1000).cast("long")
-    return weight * F.call_function("div", one * one * one * tf, one * tf + 12 * m)
 
+def impact(weight, tf, m):
+    """The share of a posting in a score, in whole numbers: of columns of numbers, not of columns of a table."""
+    return weight * ((10**9 * tf) // (1000 * tf + 12 * m))
 
-def _flat(column: pa.ChunkedArray, numbers: bool = True):
-    """The lengths of a column of lists, a missing list having none, and all their values in one array."""
-    lists = column.combine_chunks()
-    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-    values = lists.flatten()
-    return pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), (
-        values.to_numpy(zero_copy_only=False) if numbers else values)
 
+def _seen(index: Index, asked) -> DataFrame:
+    """`(term, m, n, tf)`: in how many documents of a stratum a term occurs, and how often at most."""
+    def look(batch):
+        out = []
+        for i in range(batch.num_rows):
+            where, number = asked.value.met(batch.column("terms")[i].values)
+            if len(where):
+                n, tf = (batch.column(x)[i].values.to_numpy()[where] for x in ("n", "tf"))
+                starts = np.flatnonzero(np.append(True, number[1:] != number[:-1]))
+                out.append((number[starts], np.full(len(starts), batch.column("m")[i].as_py()), np.add.reduceat(n, starts), np.maximum.reduceat(tf, starts)))
+        if out:
+            return pa.record_batch([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*out, strict=True)], ["term", "m", "n", "tf"])
 
-def _visited(index: Index, weighted: DataFrame, alive: DataFrame, k: int) -> DataFrame:
+    rows = arrow_map(index.rows.select("m", "terms", "tf", "n"), look, "term long, m long, n long, tf long")
+    return rows.groupBy("term", "m").agg(F.sum("n").alias("n"), F.max("tf").alias("tf"))
+
+
+def _visited(index: Index, asked, alive: DataFrame, k: int) -> DataFrame:
     """`(item, doc_id, score)`: the k best of every block for each item that visits its stratum.
 
-    `weighted` is (term, w, g, items, counts) and `alive` (m, g, visitors, least): items are numbers inside
-    their group g, and scores below an item's `least` are of no use.
+    `alive` is (m, visitors, least): items, and the scores below which a document is of no use to them.
     """
-    postings = index.rows.where("term is not null").join(weighted, "term").join(alive.select("m", "g"), ["m", "g"]).select(
-        *BLOCK_KEY, impact(F.col("w"), F.col("tf"), F.col("m")).alias("impact"), "places", "items", "counts",
-        F.lit(None).cast("array<long>").alias("ids"), F.lit(None).cast("array<int>").alias("visitors"), F.lit(None).cast("array<long>").alias("least"))
-    members = index.rows.where("term is null").join(alive, "m").select(
-        *BLOCK_KEY, F.lit(None).cast("long").alias("impact"), *[F.lit(None).cast("array<int>").alias(n) for n in ("places", "items", "counts")],
-        "ids", "visitors", "least")
-    laid = postings.unionByName(members).repartition(*BLOCK_KEY).sortWithinPartitions(*BLOCK_KEY)
-
-    def best_of(t: pa.Table, group: np.ndarray, ids: pa.Array, docs: np.ndarray, visitors: np.ndarray, visits: np.ndarray, least: np.ndarray):
-        """The best documents of some whole blocks. Block g has `docs[g]` of `ids`, and `visits[g]` of `visitors`, which are items."""
-        width = np.repeat(docs, visits)  # a row of scores for each visitor
-        ends = np.cumsum(width)
-        first_doc, first_row = np.cumsum(docs) - docs, np.cumsum(visits) - visits
-        row_of = np.full((len(docs), GROUP_ITEMS), -1)
-        row_of[np.repeat(np.arange(len(docs)), visits), visitors] = np.arange(len(visitors))
-        scores = np.zeros(ends[-1] if len(ends) else 0, np.int64)
-        impacts = t["impact"].fill_null(0).to_numpy()
-        n_places, places = _flat(t["places"])
-        n_items, items = _flat(t["items"])
-        # One entry for each posting row and item that asks for its term, if the item visits the block.
-        of = np.repeat(np.arange(t.num_rows), n_items)
-        rows = row_of[group[of], items]
-        of, rows, add = of[rows >= 0], rows[rows >= 0], (_flat(t["counts"])[1] * impacts[of])[rows >= 0]
-        first_place, begin = np.cumsum(n_places) - n_places, (ends - width)[rows]
-        size = n_places[of]
-        reach, at = np.cumsum(size), 0
-        while at < len(of):  # so many single additions at once
-            upto = max(at + 1, int(np.searchsorted(reach, (reach[at - 1] if at else 0) + CELLS, "right")))
-            n = size[at:upto]
-            inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            np.add.at(scores, np.repeat(begin[at:upto], n) + places[np.repeat(first_place[of[at:upto]], n) + inside], np.repeat(add[at:upto], n))
-            at = upto
-        known, names = ids.is_valid().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy(zero_copy_only=False)
-        block = np.repeat(np.arange(len(docs)), visits)
-        reached = np.maximum.reduceat(scores, ends - width) >= least if len(scores) else np.zeros(0, bool)
-        out = ([], [], [])
-        for r in np.flatnonzero(reached).tolist():
-            row, base = scores[ends[r] - width[r]:ends[r]], first_doc[block[r]]
-            floor = max(least[r], int(np.partition(row, -k)[-k])) if len(row) > k else least[r]
-            hit = np.flatnonzero(row >= floor)
-            hit = hit[np.lexsort((names[base + hit], ~known[base + hit], -row[hit]))][:k]
-            out[0].append(np.full(len(hit), visitors[r]))
-            out[1].append(base + hit)
-            out[2].append(row[hit])
-        return [np.concatenate(x) if x else np.zeros(0, np.int64) for x in out]
-
-    def score(batches):
-        for t in grouped(batches, BLOCK_KEY):
-            keys = np.stack([t[n].to_numpy() for n in BLOCK_KEY])
-            fresh = np.append(True, (keys[:, 1:] != keys[:, :-1]).any(axis=0))
-            starts, group = np.flatnonzero(fresh), np.cumsum(fresh) - 1
-            docs, ids = _flat(t["ids"], False)
-            visits, visitors = _flat(t["visitors"])
-            least = _flat(t["least"])[1]
-            member = np.flatnonzero(docs)  # one row a block has its documents
-            docs, visits = docs[member], visits[member]
-            cells = np.cumsum(docs * visits)
-            at = 0
-            while at < len(starts):  # some blocks at a time
-                upto = max(at + 1, int(np.searchsorted(cells, (cells[at - 1] if at else 0) + CELLS, "right")))
-                lo, hi = int(starts[at]), int(starts[upto]) if upto < len(starts) else t.num_rows
-                d, v = (slice(int(x[:at].sum()), int(x[:upto].sum())) for x in (docs, visits))
-                own = ids[d.start:d.stop]
-                numbers, hits, found = best_of(t.slice(lo, hi - lo).combine_chunks(), group[lo:hi] - at, own, docs[at:upto], visitors[v], visits[at:upto], least[v])
-                if len(hits):
-                    which = np.searchsorted(np.cumsum(docs[at:upto]), hits, "right")
-                    g = keys[2][starts[at:upto]][which]
-                    yield pa.record_batch([pa.array(g * GROUP_ITEMS + numbers), own.take(pa.array(hits)), pa.array(found)], ["number", "doc_id", "score"])
+    def best_of(ids: pa.Array, m: int, groups, visitors: np.ndarray, least: np.ndarray):
+        query, (names, tf, n, places), width = asked.value, groups, len(ids)
+        where, number = query.met(names)
+        impacts = impact(query.weights[number], tf[where], m)
+        first_place = (np.cumsum(n) - n)[where]
+        n = n[where]
+        # One entry for each posting group and item that asks for its term.
+        of = np.repeat(np.arange(len(where)), query.n[number])
+        inside = np.arange(len(of)) - np.repeat(np.cumsum(query.n[number]) - query.n[number], query.n[number])
+        entry = query.first[number][of] + inside
+        row_of = np.full(BATCH_ITEMS, -1)
+        known, doc_names = ids.is_valid().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy(zero_copy_only=False)
+        step = max(1, CELLS // width)
+        for v in range(0, len(visitors), step):  # some items at a time
+            mine = visitors[v:v + step]
+            row_of[:] = -1
+            row_of[mine] = np.arange(len(mine))
+            rows = row_of[query.items[entry]]
+            here = rows >= 0
+            groups_of, rows, add = of[here], rows[here], (query.counts[entry] * impacts[of])[here]
+            scores = np.zeros(len(mine) * width, np.int64)
+            size = n[groups_of]
+            reach, at = np.cumsum(size), 0
+            while at < len(rows):
+                upto = max(at + 1, int(np.searchsorted(reach, (reach[at - 1] if at else 0) + CELLS, "right")))
+                s = size[at:upto]
+                posting = np.repeat(first_place[groups_of[at:upto]] - (np.cumsum(s) - s), s) + np.arange(s.sum())
+                np.add.at(scores, np.repeat(rows[at:upto] * width, s) + places[posting], np.repeat(add[at:upto], s))
                 at = upto
-
-    return laid.mapInArrow(score, "number long, doc_id long, score long")
-
-
-def search(index: Index, items: DataFrame, k: int = 20) -> DataFrame:
-    """`(item_id, rank, doc_id, score)`: the k best documents of each row of `items` (item_id, text) with a score above 0."""
-    items = stabilise(items.select("item_id", "text").withColumn("item", F.monotonically_increasing_id()))
-    asked = stabilise(_item_terms(items))
-    # Items are numbered through, in an order that their terms don't set; the groups are ranges of numbers.
-    numbers = _numbered(asked.select("item").distinct())
-    asked = asked.join(numbers, "item").select("number", "term", "c")
-    vocabulary, _ = pin_small(asked.select("term").distinct())
-    postings = index.rows.where("term is not null")
-    seen = stabilise(postings.join(vocabulary, "term", "left_semi").groupBy("term", "m").agg(
-        F.sum("n").alias("n"), F.max("tf").alias("tf")))
-    weights = seen.groupBy("term").agg(F.sum("n").alias("df")).select("term", F.floor(
-        1000 * F.log((2.0 * index.n_docs + 2) / (2 * F.col("df") + 1).cast("double"))).cast("long").alias("w"))
-    weights = stabilise(weights)
-    grouped_terms, _ = pin_small(stabilise(
-        asked.join(weights, "term").groupBy("term", "w", F.floor(F.col("number") / GROUP_ITEMS).alias("g")).agg(
-            F.sort_array(F.collect_list(F.struct((F.col("number") % GROUP_ITEMS).cast("int").alias("i"), F.col("c").cast("int").alias("c")))).alias("x"))
-        .select("term", "w", "g", F.col("x.i").alias("items"), F.col("x.c").alias("counts"))))
-    strata = index.rows.where("term is null").groupBy("m").agg(F.sum("n").alias("docs"))
-    bounds = stabilise(
-        seen.join(weights, "term").join(asked, "term").groupBy("number", "m")
-        .agg(F.sum(F.col("c") * impact(F.col("w"), F.col("tf"), F.col("m"))).alias("bound")).where("bound > 0").join(strata, "m"))
-    before = W.partitionBy("number").orderBy(F.desc("bound"), "m").rowsBetween(W.unboundedPreceding, -1)
+            scores = scores.reshape(len(mine), width)
+            for r in np.flatnonzero(scores.max(axis=1) >= least[v:v + step]).tolist():
+                row = scores[r]
+                floor = max(least[v + r], int(np.partition(row, -k)[-k])) if width > k else least[v + r]
+                hit = np.flatnonzero(row >= floor)
+                hit = hit[np.lexsort((doc_names[hit], ~known[hit], -row[hit]))][:k]
+                yield np.full(len(hit), mine[r]), ids.take(pa.array(hit)), row[hit]
+
+    def score(batch):
+        out = []
+        for i in range(batch.num_rows):
+            ids, names, tf, n, places, visitors, least = (batch.column(x)[i].values for x in ("ids", "terms", "tf", "n", "places", "visitors", "least"))
+            out += best_of(ids, batch.column("m")[i].as_py(), (names, tf.to_numpy(), n.to_numpy(), places.to_numpy()), visitors.to_numpy(), least.to_numpy())
+        if out:
+            items, ids, found = zip(*out, strict=True)
+            return pa.record_batch([pa.array(np.concatenate(items)), pa.concat_arrays(ids), pa.array(np.concatenate(found))], ["item", "doc_id", "score"])
+
+    return arrow_map(index.rows.drop("block").join(alive, "m"), score, "item long, doc_id long, score long", slice_bytes=8 << 20)
+
+
+def _batch(index: Index, rows: list, k: int) -> DataFrame:
+    """`(item, rank, doc_id, score)` of a batch of items with numbers below BATCH_ITEMS; `rows` are their terms (item, term, c)."""
+    spark = index.rows.sparkSession
+    asked = Asked(rows)
+    seen = stabilise(_seen(index, spark.sparkContext.broadcast(asked)))
+    weights = {asked.terms[r.term]: r.w for r in seen.groupBy("term").agg(F.sum("n").alias("df")).select("term", F.floor(
+        1000 * F.log((2.0 * index.n_docs + 2) / (2 * F.col("df") + 1).cast("double"))).alias("w")).collect()}  # a row a term of the batch
+    asked = Asked(rows, weights)
+    sent = spark.sparkContext.broadcast(asked)
+
+    def bound(batch):
+        term, m, tf = (batch.column(x).to_numpy() for x in ("term", "m", "tf"))
+        most = impact(asked_weights.value[term], tf, m)
+        n = sent.value.n[term]
+        of = np.repeat(np.arange(len(term)), n)
+        entry = sent.value.first[term][of] + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+        return pa.record_batch([pa.array(sent.value.items[entry]), pa.array(m[of]), pa.array(sent.value.counts[entry] * most[of])], ["item", "m", "bound"])
+
+    asked_weights = spark.sparkContext.broadcast(asked.weights)
+    strata = index.rows.groupBy("m").agg(F.sum(F.size("ids")).alias("docs"))
+    bounds = arrow_map(seen, bound, "item long, m long, bound long").groupBy("item", "m").agg(F.sum("bound").alias("bound")).where("bound > 0").join(strata, "m")
+    before = W.partitionBy("item").orderBy(F.desc("bound"), "m").rowsBetween(W.unboundedPreceding, -1)
     plan = stabilise(bounds.withColumn("earlier", F.coalesce(F.sum("docs").over(before), F.lit(0))))
     best, low, share = None, -1.0, FIRST_SHARE
     while True:
         high = max(share * index.n_docs, k)
         wave = plan.where((F.col("earlier") > low) & (F.col("earlier") <= high)) if low >= 0 else plan.where(F.col("earlier") <= high)
-        if best is not None:
-            # Below the k-th score nothing more is found; at it a smaller doc_id may be.
-            reached = best.groupBy("number").agg(F.when(F.count("*") >= k, F.min("score")).otherwise(0).alias("least"))
-            wave = wave.join(reached, "number", "left").withColumn("least", F.greatest("least", F.lit(1))).where("bound >= least")
+        if best is None:
+            wave = wave.withColumn("least", F.lit(1).cast("long"))
         else:
-            wave = wave.withColumn("least", F.lit(1))
-        visitor = F.struct((F.col("number") % GROUP_ITEMS).cast("int").alias("i"), F.col("least").cast("long").alias("least"))
-        alive = stabilise(wave.groupBy("m", F.floor(F.col("number") / GROUP_ITEMS).alias("g")).agg(
-            F.sort_array(F.collect_list(visitor)).alias("x")).select("m", "g", F.col("x.i").alias("visitors"), F.col("x.least").alias("least")))
-        alive, rows = pin_small(alive)
-        if rows != []:
-            found = _visited(index, grouped_terms, alive, k)
-            best = stabilise(_top(found if best is None else best.select(*found.columns).unionByName(found), k))
+            # Below the k-th score nothing more is found; at it a smaller doc_id may be.
+            reached = best.groupBy("item").agg(F.when(F.count("*") >= k, F.min("score")).otherwise(1).alias("least"))
+            wave = wave.join(reached, "item", "left").withColumn("least", F.coalesce("least", F.lit(1)).cast("long")).where("bound >= least")
+        alive, found = pin_small(stabilise(wave.groupBy("m").agg(F.sort_array(F.collect_list(F.struct("item", "least"))).alias("x")).select(
+            "m", F.col("x.item").alias("visitors"), F.col("x.least").alias("least"))))  # a row a stratum, at most BATCH_ITEMS in it
+        if found != []:
+            hits = _visited(index, sent, alive, k)
+            best = stabilise(_top(hits if best is None else best.select(*hits.columns).unionByName(hits), k))
         if high >= index.n_docs:
-            break
+            return best if best is not None else spark.createDataFrame([], "item long, doc_id long, score long, rank int")
         low, share = high, share * WAVE_GROWTH
-    if best is None:
-        best = index.rows.sparkSession.createDataFrame([], "number long, doc_id long, score long, rank int")
-    return best.join(numbers, "number").join(items.select("item", "item_id"), "item").select("item_id", "rank", "doc_id", "score")
-
-
-def _numbered(items: DataFrame) -> DataFrame:
-    """Dense numbers: an offset for each of 1,024 hash shards, and a rank inside the shard."""
-    shard = items.withColumn("s", F.pmod(F.xxhash64("item"), F.lit(1024)))
-    offsets = shard.groupBy("s").count().withColumn(
-        "offset", F.coalesce(F.sum("count").over(W.orderBy("s").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    return stabilise(shard.join(F.broadcast(offsets), "s").select(  # 1,024 rows at most
-        "item", (F.col("offset") + F.row_number().over(W.partitionBy("s").orderBy("item")) - 1).alias("number")))
 
 
 def _top(found: DataFrame, k: int) -> DataFrame:
-    order = W.partitionBy("number").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
+    order = W.partitionBy("item").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _item_terms(items: DataFrame) -> DataFrame:
+    """`(row, term, c)`: the terms of each item row with their number."""
+    def count_terms(batch):
+        rows = [(i, *x) for i, text in zip(batch.column("row").to_pylist(), batch.column("text").to_pylist(), strict=True)
+                for x in Counter(terms(text)).items()]
+        return pa.record_batch([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()).cast(pa.string()),
+                                pa.array([r[2] for r in rows], pa.int64())], ["row", "term", "c"])
+
+    return arrow_map(items.select("row", F.col("text").cast("string").alias("text")), count_terms, "row long, term string, c long")
+
+
+def search(index: Index, items: DataFrame, k: int = 20) -> DataFrame:
+    """`(item_id, rank, doc_id, score)`: the k best documents of each row of `items` (item_id, text) with a score above 0."""
+    spark = index.rows.sparkSession
+    items = stabilise(items.select("item_id", "text").withColumn("row", F.monotonically_increasing_id()))
+    asked = stabilise(_item_terms(items))
+    # The driver goes through the items in batches of bounded size, one held at a time; an item's own terms are never parted.
+    found, batch, rows = [], {}, []
+
+    def run():
+        number = {row: i for i, row in enumerate(batch)}
+        local = [_Row(number[r.row], r.term, r.c) for r in rows]
+        names = F.broadcast(spark.createDataFrame([(row, i) for row, i in number.items()], "row long, item long"))
+        found.append(_batch(index, local, k).join(names, "item").select("row", "rank", "doc_id", "score"))
+
+    for r in asked.orderBy("row").toLocalIterator():
+        if r.row not in batch:
+            if len(batch) == BATCH_ITEMS or len(rows) >= BATCH_TERMS:
+                run()
+                batch, rows = {}, []
+            batch[r.row] = True
+        rows.append(r)
+    if rows:
+        run()
+    result = found[0] if found else spark.createDataFrame([], "row long, rank int, doc_id long, score long")
+    for more in found[1:]:
+        result = result.unionByName(more)
+    return result.join(items.select("row", "item_id"), "row").select("item_id", "rank", "doc_id", "score")
+
+
+@dataclass(frozen=True)
+class _Row:
+    item: int
+    term: str
+    c: int
+
+
 #: The same ranking from one table of counts, without an index.
 SQL = r"""
 WITH words AS (

@@ -53,9 +53,10 @@ def corpus(seed=1, n=400):
     return docs, items
 
 
-@pytest.mark.parametrize(("group", "block", "k"), [(128, 1 << 14, 20), (8, 50, 3)])
+@pytest.mark.parametrize(("group", "block", "k"), [(256, 1 << 15, 20), (30, 50, 3)])
 def test_equal_to_scoring_every_document(spark, monkeypatch, group, block, k):
-    monkeypatch.setattr(lexical_search, "GROUP_ITEMS", group)
+    monkeypatch.setattr(lexical_search, "BATCH_ITEMS", group)
+    monkeypatch.setattr(lexical_search, "CELLS", 1 << 22 if group > 8 else 40)
     monkeypatch.setattr(lexical_search, "BLOCK_DOCS", block)
     docs, items = corpus()
     index = indexed(spark.createDataFrame(docs, DOCS).repartition(3))
@@ -67,22 +68,23 @@ def test_strata_below_the_kth_score_are_not_visited(spark, monkeypatch):
     seen = []
     plain = lexical_search._visited
 
-    def spy(index, weighted, alive, k):
+    def spy(index, asked, alive, k):
         seen.append({r.m for r in alive.collect()})
-        return plain(index, weighted, alive, k)
+        return plain(index, asked, alive, k)
 
     monkeypatch.setattr(lexical_search, "_visited", spy)
     items = [(1, "rare common", "")]
     index = indexed(spark.createDataFrame(docs, DOCS))
     assert answers(search(index, spark.createDataFrame(items, ITEMS))) == brute(docs, items, 20)
-    strata = index.rows.where("term is null").select("m").distinct().count()
+    strata = index.rows.select("m").distinct().count()
     assert len(set().union(*seen)) < strata / 4
 
 
 def test_postings_of_a_term_are_grouped_by_tf_in_a_stratum(spark):
     docs = [(1, "a b", 1, "x"), (2, "b a", 1, "x"), (3, "a a", 1, "x"), (4, "a c d", 1, "x")]
     index = indexed(spark.createDataFrame(docs, DOCS).coalesce(1))
-    got = sorted((r.m, r.term, r.tf, r.n) for r in index.rows.where("term = 'a'").collect())
+    got = sorted((r.m, *g) for r in index.rows.collect() for g in zip(r.terms, r.tf, r.n) if g[0] == "a")
+    assert [len(r.places) for r in index.rows.orderBy("m").collect()] == [5, 3]
     assert (index.n_docs, index.n_terms) == (4, 9)
     assert got == [(97, "a", 1, 2), (97, "a", 2, 1), (108, "a", 1, 1)]
 
