@@ -37,6 +37,14 @@ def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+def sliced(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Batches in slices of about `size` bytes, for functions that hold many times their input."""
+    for batch in batches:
+        step = max(1, batch.num_rows * size // max(1, batch.nbytes))
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
+
+
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType,
               slice_bytes: int | None = None) -> DataFrame:
     """Apply a function of one Arrow batch to every batch; batches it returns None for are left out.
@@ -45,12 +53,9 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Non
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = batch.num_rows
-            step = max(1, rows * slice_bytes // max(1, batch.nbytes)) if slice_bytes else max(1, rows)
-            for at in range(0, rows, step):
-                if (out := fn(batch.slice(at, step))) is not None and out.num_rows:
-                    yield out
+        for batch in sliced(batches, slice_bytes) if slice_bytes else batches:
+            if batch.num_rows and (out := fn(batch)) is not None and out.num_rows:
+                yield out
 
     return df.mapInArrow(run, schema)
 

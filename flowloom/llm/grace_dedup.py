@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.bounded import pin_small, stabilise
+from .common import sliced
 
 BLANKS = b"\x20\x09\x0a\x0b\x0c\x0d"
 #: Contents that a task holds at once: when folding what it reads, and when probing a bucket.
@@ -83,13 +84,6 @@ def _rank(points: int, doc_id: int | None, row: int) -> tuple:
     return (-points, doc_id is None, doc_id or 0, row)
 
 
-def _slices(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        step = max(1, batch.num_rows * size // max(1, batch.nbytes))
-        for at in range(0, batch.num_rows, step):
-            yield batch.slice(at, step)
-
-
 def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each record, naming its entry, and the entries: distinct contents of what the task read."""
     base = TaskContext.get().partitionId() << 40
@@ -109,7 +103,7 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     fields = [pa.field(name, {"boolean": pa.bool_(), "long": pa.int64(), "binary": pa.binary()}[kind])
               for name, kind in (part.split() for part in FOLDED.split(", "))]
     schema = pa.schema(fields)
-    for batch in _slices(batches, 4 << 20):
+    for batch in sliced(batches, 4 << 20):
         ids, names, rows, digests = batch.column("doc_id").to_pylist(), [], [], []
         for doc_id, text in zip(ids, batch.column("text").to_pylist(), strict=True):
             text = text or ""
@@ -150,7 +144,7 @@ def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pa.array([None if stats[g][0][1] else stats[g][0][2] for _, g in links], pa.int64()),
             pa.array([stats[g][0][3] for _, g in links], pa.int64()), pa.array([stats[g][3] for _, g in links], pa.binary())], LINK_NAMES)
 
-    for batch in _slices(batches, 4 << 20):
+    for batch in sliced(batches, 4 << 20):
         columns = [batch.column(n).to_pylist() for n in ("bucket", "entry", "digest", "content", "n", "points", "best", "first")]
         for key, entry, digest, content, n, points, best, first in zip(*columns, strict=True):
             if key != bucket:

@@ -34,12 +34,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.bounded import pin_small, stabilise
-from .common import arrow_map
+from .common import arrow_map, sliced
 
 #: What is no part of a term becomes a blank, A-Z become a-z, all other bytes stay.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 #: Terms and documents that a task indexes together: they bound a block.
-BLOCK_TERMS, BLOCK_DOCS = 1 << 22, 1 << 15
+BLOCK_TERMS, BLOCK_DOCS = 1 << 20, 1 << 13
 #: Terms and items that are searched at once: they bound what is broadcast, and a task's rows of scores.
 BATCH_TERMS, BATCH_ITEMS = 1 << 18, 256
 #: Scores that a task holds, and single additions that it makes, at once.
@@ -110,7 +110,7 @@ def indexed(docs: DataFrame) -> Index:
     def build(batches):
         block = TaskContext.get().partitionId() << 32
         number, ids, m, words, held = defaultdict(count().__next__), [], [], [], 0
-        for batch in batches:
+        for batch in sliced(batches, 4 << 20):
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 found = terms(text)
                 if not found:
