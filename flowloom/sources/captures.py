@@ -1,8 +1,13 @@
 """Capture files (pcap and pcapng) as a Spark data source.
 
-One task per file, so a folder of rotated captures is read in parallel. A task
-walks the record headers and takes the packet fields of a whole batch at once
-from the raw bytes. Kept are IPv4 packets with TCP or UDP.
+A file is read in byte ranges, one task each, so a folder of rotated captures and one very large capture are both read in
+parallel. Capture files have no marks between records: a task finds a first record in its range by a chain of
+plausible headers. Such a guess can be wrong (a capture may hold another capture in its payloads), so
+no packet is taken on its word. A first job walks the record headers of all ranges; the walk of a range must end where the
+next range begins, and a range that began elsewhere is walked again from the right place. The ranges
+that are read then have known first records, numbers and interfaces, and give the same packets for every range size.
+
+A task takes the packet fields of a whole batch at once from the raw bytes. Kept are IPv4 packets with TCP or UDP.
 
 What a file holds besides is told by `capture_audit`: frames of unknown link types, frames without IPv4 and
 without time, a tail that was cut off. Files that are no captures give no packets and an audit row.
@@ -10,17 +15,27 @@ without time, a tail that was cut off. Files that are no captures give no packet
 
 from __future__ import annotations
 
+import json
 import struct
+from dataclasses import asdict, dataclass, replace
+from urllib.parse import unquote
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from .files import base_name, located
+
 SCHEMA = ("packet_id bigint, ts_us bigint, src_ip string, dst_ip string, src_port int, dst_port int, protocol int, "
           "header_len int, payload_len int, packet_len int, tcp_flags int, window_size int, capture string")
 BATCH = 50_000
 READ_BYTES = 8 << 20
+#: A task reads about so much of a file.
+RANGE_BYTES = 128 << 20
+#: Headers in a row that must be plausible where a range is entered, the longest frame, and the largest step in time among them.
+CHAIN, LONGEST_FRAME, TIME_STEP = 12, 1 << 18, 86_400
 # Link types with the bytes before the network header, and where the protocol number sits.
 LOOPBACK, ETHERNET, RAW_IP, LINUX_COOKED, IPV4_ONLY, LINUX_COOKED_2 = 0, 1, 101, 113, 228, 276
 IPV4, VLAN_TAGS = 0x0800, (0x8100, 0x88A8)
@@ -29,18 +44,40 @@ CLASSIC = {b"\xd4\xc3\xb2\xa1": ("<", False), b"\xa1\xb2\xc3\xd4": (">", False),
            b"\x4d\x3c\xb2\xa1": ("<", True), b"\xa1\xb2\x3c\x4d": (">", True)}
 SECTION = b"\x0a\x0d\x0d\x0a"
 # What an audit row counts, in the order of its columns.
-AUDIT = ("capture string, format string, frames bigint, ipv4_frames bigint, unknown_link_frames bigint, other_frames bigint, "
+AUDIT = ("number bigint, capture string, format string, frames bigint, ipv4_frames bigint, unknown_link_frames bigint, other_frames bigint, "
          "untimed_frames bigint, truncated boolean")
 
 
+@dataclass(frozen=True)
+class Layout:
+    """What must be known before a record can be read: byte order, time unit, and (link type, ticks per second) of the interfaces."""
+
+    kind: str | None
+    order: str = "<"
+    nano: bool = False
+    links: tuple[tuple[int, int], ...] = ()
+
+    def text(self) -> str:
+        return json.dumps(asdict(self))
+
+    @staticmethod
+    def of(text: str) -> Layout:
+        d = json.loads(text)
+        return Layout(**d | {"links": tuple(map(tuple, d["links"]))})
+
+
 class _Bytes:
     """A forward reader that holds one window of the file."""
 
-    def __init__(self, stream):
-        self.stream, self.data, self.at = stream, b"", 0
+    def __init__(self, stream, start: int = 0):
+        self.stream, self.data, self.at, self.base = stream, b"", 0, start
+
+    def where(self) -> int:
+        return self.base + self.at
 
     def need(self, n: int) -> bool:
         if len(self.data) - self.at < n:
+            self.base += self.at
             self.data = self.data[self.at:] + self.stream.read(max(n, READ_BYTES))
             self.at = 0
         return len(self.data) - self.at >= n
@@ -57,49 +94,135 @@ class _Bytes:
         return out
 
 
-def _classic(src: _Bytes, order: str, nano: bool):
-    """`(time, link, frame)` of every record; a last item None if the file breaks off inside one."""
+def _head(src: _Bytes) -> Layout:
+    """The layout at the beginning of a file; `src` then stands before the first record. A kind without links broke off."""
+    magic = src.take(4)
+    if magic == SECTION:
+        src.at -= 4
+        return Layout("pcapng")
+    if magic not in CLASSIC:
+        return Layout(None)
+    order, nano = CLASSIC[magic]
     head = src.take(20)
-    if head is None:
-        yield None
-        return
     # The upper bits of the link field tell of check sums at the end of frames.
-    link = struct.unpack(order + "I", head[16:])[0] & 0xFFFF
-    record = struct.Struct(order + "IIII")
-    while (head := src.take(16)) is not None:
-        seconds, fraction, size, _ = record.unpack(head)
-        body = src.take(size)
-        if body is None:
-            yield None
-            return
-        yield seconds * 1_000_000 + (fraction // 1000 if nano else fraction), link, body
-    if src.left():
-        yield None
-
-
-def _blocks(src: _Bytes):
-    """As `_classic`; frames of simple packet blocks have no time."""
-    order, links = "<", []
-    while (head := src.take(8)) is not None:
-        if head[:4] == SECTION:
-            src.need(4)
-            order = "<" if src.data[src.at:src.at + 4] == b"\x4d\x3c\x2b\x1a" else ">"
-            links = []
-        kind, size = struct.unpack(order + "II", head)
-        body = src.take(size - 8) if size >= 12 else None
-        if body is None:
-            yield None
+    links = () if head is None else ((struct.unpack(order + "I", head[16:])[0] & 0xFFFF, 1_000_000),)
+    return Layout("pcap", order, nano, links)
+
+
+class Walk:
+    """`(time, link, frame)` of the records that begin before `stop`; a last item None if the file breaks off inside one.
+
+    Frames of simple packet blocks have no time. Afterwards `layout` is what holds for the next record, and `sections`
+    tells whether a section began on the way.
+    """
+
+    def __init__(self, src: _Bytes, layout: Layout, stop: int | None = None):
+        self.src, self.layout, self.stop, self.sections, self.broken = src, layout, stop, 0, False
+
+    def __iter__(self):
+        yield from {"pcap": self._classic, "pcapng": self._blocks}.get(self.layout.kind, lambda: ())()
+
+    def _more(self) -> bool:
+        return self.stop is None or self.src.where() < self.stop
+
+    def _break(self) -> None:
+        self.broken = True
+
+    def _classic(self):
+        src, layout = self.src, self.layout
+        if not layout.links:
+            yield self._break()
             return
-        if kind == 1:
-            links.append((struct.unpack_from(order + "H", body)[0], _ticks(body, order)))
-        elif kind in (2, 6):  # 2 is the older form, with a drop count beside a short interface number
-            port, high, low, kept = struct.unpack_from(order + ("HxxIII" if kind == 2 else "IIII"), body)
-            link, ticks = links[port] if port < len(links) else (-1, 1)
-            yield ((high << 32) | low) * 1_000_000 // ticks, link, body[20:20 + kept]
-        elif kind == 3:
-            yield None, links[0][0] if links else -1, body[4:-4]
-    if src.left():
-        yield None
+        link = layout.links[0][0]
+        record = struct.Struct(layout.order + "IIII")
+        while self._more() and (head := src.take(16)) is not None:
+            seconds, fraction, size, _ = record.unpack(head)
+            body = src.take(size)
+            if body is None:
+                yield self._break()
+                return
+            yield seconds * 1_000_000 + (fraction // 1000 if layout.nano else fraction), link, body
+        if self._more() and src.left():
+            yield self._break()
+
+    def _blocks(self):
+        src, order, links = self.src, self.layout.order, list(self.layout.links)
+        while self._more() and (head := src.take(8)) is not None:
+            if head[:4] == SECTION:
+                src.need(4)
+                order = "<" if src.data[src.at:src.at + 4] == b"\x4d\x3c\x2b\x1a" else ">"
+                links = []
+                self.sections += 1
+            kind, size = struct.unpack(order + "II", head)
+            body = src.take(size - 8) if size >= 12 else None
+            if body is None:
+                yield self._break()
+                return
+            if kind == 1:
+                links.append((struct.unpack_from(order + "H", body)[0], _ticks(body, order)))
+            self.layout = replace(self.layout, order=order, links=tuple(links)) if kind == 1 or head[:4] == SECTION else self.layout
+            if kind in (2, 6):  # 2 is the older form, with a drop count beside a short interface number
+                port, high, low, kept = struct.unpack_from(order + ("HxxIII" if kind == 2 else "IIII"), body)
+                link, ticks = links[port] if port < len(links) else (-1, 1)
+                yield ((high << 32) | low) * 1_000_000 // ticks, link, body[20:20 + kept]
+            elif kind == 3:
+                yield None, links[0][0] if links else -1, body[4:-4]
+        if self._more() and src.left():
+            yield self._break()
+
+
+def _chains(data: bytes, at: int, layout: Layout, size: int, whole: bool) -> bool | None:
+    """Whether plausible headers follow each other from `at`; None if more bytes must be read to tell.
+
+    `whole` says that `data` reaches the end of the file: a chain may then end there, and only there.
+    """
+    before = None
+    for _ in range(CHAIN):
+        if at == size and whole:
+            return True
+        if at + 16 > len(data):
+            return False if whole else None
+        if layout.kind == "pcap":
+            seconds, fraction, kept, sent = struct.unpack_from(layout.order + "IIII", data, at)
+            if kept > min(LONGEST_FRAME, sent) or fraction >= (10**9 if layout.nano else 10**6):
+                return False
+            if before is not None and abs(seconds - before) > TIME_STEP:
+                return False
+            before, at = seconds, at + 16 + kept
+        else:
+            kind, length = struct.unpack_from(layout.order + "II", data, at)
+            if length % 4 or not 12 <= length <= 2 * LONGEST_FRAME or not (kind < 0x100 or kind == 0x0A0D0D0A or kind & 0x80000000):
+                return False
+            if at + length > len(data):
+                return False if whole else None
+            if struct.unpack_from(layout.order + "I", data, at + length - 4)[0] != length:
+                return False
+            at += length
+    return at <= len(data) or (None if not whole else False)
+
+
+def _entered(stream, start: int, end: int, size: int, layout: Layout) -> int | None:
+    """The first offset in a range where a chain of headers begins."""
+    step = 4 if layout.kind == "pcapng" else 1  # blocks lie on whole words
+    at, reach = start + -start % step, 1 << 16
+    while at < min(end, size):
+        stream.seek(at)
+        data = stream.read(reach)
+        whole = at + len(data) >= size
+        for i in range(0, len(data), step):
+            if at + i >= end:
+                return None
+            found = _chains(data, i, layout, size - at, whole)
+            if found:
+                return at + i
+            if found is None:
+                # Start again here with more to look at.
+                reach = reach if i else 4 * reach
+                at += i
+                break
+        else:
+            at += len(data)
+    return None
 
 
 def _ticks(body: bytes, order: str) -> int:
@@ -177,19 +300,114 @@ def packet_columns(times: list[int], ids: list[int], frames: list[bytes], offset
     }
 
 
+RANGE = "number long, uri string, size long, start long, end long, at long, layout string"
+WALKED = "number long, start long, at long, landing long, frames long, sections boolean, added string"
+
+
+def _walked(batches):
+    """Each range from its first record, given or guessed: where the walk landed, and what it met."""
+    for batch in batches:
+        out = []
+        for r in batch.to_pylist():
+            fs, path = located(r["uri"])
+            with fs.open_input_file(path) as stream:
+                layout, at = Layout.of(r["layout"]), r["at"]
+                at = _entered(stream, r["start"], r["end"], r["size"], layout) if at is None else at
+                row = {"number": r["number"], "start": r["start"], "at": at, "landing": None, "frames": 0, "sections": False, "added": layout.text()}
+                if at is not None:
+                    stream.seek(at)
+                    walk = Walk(src := _Bytes(stream, at), replace(layout, links=layout.links if layout.kind == "pcap" else ()), r["end"])
+                    row["frames"] = sum(item is not None for item in walk)
+                    row |= {"landing": None if walk.broken else src.where(), "sections": walk.sections > 0, "added": walk.layout.text()}
+                out.append(row)
+        yield pa.RecordBatch.from_pylist(out, _schema(WALKED))
+
+
+def _schema(ddl: str) -> pa.Schema:
+    kinds = {"string": pa.string(), "long": pa.int64(), "bigint": pa.int64(), "boolean": pa.bool_()}
+    return pa.schema([(n, kinds[k]) for n, k in (f.split() for f in ddl.split(", "))])
+
+
+@dataclass(frozen=True)
+class Part:
+    """A range to read: records that begin in [at, stop), the first of which has this number in its file."""
+
+    number: int
+    uri: str
+    at: int
+    stop: int | None
+    ordinal: int
+    layout: Layout | None  # None: read the file's head first
+
+
+HEAD = "number long, first long, layout string"
+
+
+def _heads(batches):
+    for batch in batches:
+        out = []
+        for r in batch.to_pylist():
+            fs, path = located(r["uri"])
+            with fs.open_input_file(path) as stream:
+                layout = _head(src := _Bytes(stream))
+            out.append({"number": r["number"], "first": src.where(), "layout": layout.text()})
+        yield pa.RecordBatch.from_pylist(out, _schema(HEAD))
+
+
+def settled(spark: SparkSession, files: list[tuple[str, int]], range_bytes: int) -> list[Part]:
+    """The ranges of all files, each with its true first record. The driver holds a row per range, as Spark does for tasks."""
+    parts = [Part(number, uri, 0, None, 0, None) for number, (uri, size) in enumerate(files) if size <= range_bytes]
+    large = {number: f for number, f in enumerate(files) if f[1] > range_bytes}
+    ranged = {}
+    if large:
+        rows = spark.createDataFrame([(n, uri) for n, (uri, _) in large.items()], "number long, uri string")
+        for r in rows.repartition(min(len(large), 256)).mapInArrow(_heads, HEAD).collect():
+            (uri, size), layout = large[r.number], Layout.of(r.layout)
+            if layout.links or layout.kind == "pcapng":
+                ranged[r.number] = (uri, size, r.first, layout, list(range(0, size, range_bytes)))
+            else:
+                parts.append(Part(r.number, uri, 0, None, 0, None))
+    todo = [(number, uri, size, start, min(start + range_bytes, size), first if start == 0 else None, layout.text())
+            for number, (uri, size, first, layout, starts) in ranged.items() for start in starts]
+    known: dict[tuple[int, int], object] = {}
+    while todo:
+        rows = spark.createDataFrame(todo, RANGE).repartition(min(len(todo), 4 * spark.sparkContext.defaultParallelism), "number", "start").mapInArrow(_walked, WALKED)
+        known |= {(r.number, r.start): r for r in rows.collect()}
+        todo = []
+        for number, (uri, size, first, layout, starts) in ranged.items():
+            found, at, ordinal = [], first, 0
+            for start in starts:
+                end = min(start + range_bytes, size)
+                if at is None or at >= end:  # inside a longer record, or the file broke off before
+                    continue
+                r = known[number, start]
+                if r.at != at:
+                    todo.append((number, uri, size, start, end, at, layout.text()))
+                    break
+                last = end == size
+                found.append(Part(number, uri, at, None if last or r.landing is None else end, ordinal, layout))
+                if layout.kind == "pcapng":
+                    new = Layout.of(r.added)
+                    layout = new if r.sections else replace(layout, links=layout.links + new.links)
+                at, ordinal = r.landing, ordinal + r.frames
+            else:
+                parts += found
+                ranged[number] = (uri, size, first, layout, [])
+        ranged = {k: v for k, v in ranged.items() if v[4]}
+    return sorted(parts, key=lambda p: (p.number, p.at))
+
+
 class CaptureReader(DataSourceReader):
-    def __init__(self, files: list[str], max_packets: int | None, audit: bool = False):
-        self.files, self.max_packets, self.audit = files, max_packets, audit
+    def __init__(self, parts: list[Part], max_packets: int | None, audit: bool = False):
+        self.parts, self.max_packets, self.audit = parts, max_packets, audit
 
     def partitions(self):
-        return [InputPartition((i, f)) for i, f in enumerate(self.files)]
+        return [InputPartition(p) for p in self.parts if self.max_packets is None or p.ordinal < self.max_packets or not p.ordinal]
 
     def read(self, partition):
-        import pyarrow.fs as pafs
-
-        number, uri = partition.value
-        fs, path = pafs.FileSystem.from_uri(uri)
-        name = path.rsplit("/", 1)[-1]
+        part: Part = partition.value
+        fs, path = located(part.uri)
+        name = base_name(part.uri)
         ints = {"src_port", "dst_port", "protocol", "header_len", "payload_len", "packet_len", "tcp_flags", "window_size"}
 
         def batch(times, ids, frames, offsets):
@@ -198,13 +416,16 @@ class CaptureReader(DataSourceReader):
             n = len(cols["packet_id"])
             return pa.RecordBatch.from_arrays(arrays + [pa.array([name] * n, pa.string())], [*cols, "capture"])
 
-        with fs.open_input_stream(path) as stream:
-            kind, records = _records(_Bytes(stream))
+        with fs.open_input_file(path) as stream:
+            stream.seek(part.at)
+            src = _Bytes(stream, part.at)
+            layout = part.layout or _head(src)
+            records = Walk(src, layout, part.stop)
             if self.audit:
-                yield pa.RecordBatch.from_pylist([{"capture": name, "format": kind, **_tally(records)}], _audit_schema())
+                yield pa.RecordBatch.from_pylist([{"number": part.number, "capture": name, "format": layout.kind, **_tally(records)}], _schema(AUDIT))
                 return
             held: tuple[list, list, list, list] = ([], [], [], [])
-            for i, item in enumerate(records):
+            for i, item in enumerate(records, part.ordinal):
                 if item is None or self.max_packets is not None and i >= self.max_packets:
                     break
                 ts, link, frame = item
@@ -212,7 +433,7 @@ class CaptureReader(DataSourceReader):
                 if at < 0 or ts is None:
                     continue
                 # Ids order packets inside a file and differ between files.
-                for store, value in zip(held, (ts, (number << 40) + i, frame, at)):
+                for store, value in zip(held, (ts, (part.number << 40) + i, frame, at)):
                     store.append(value)
                 if len(held[0]) >= BATCH:
                     yield batch(*held)
@@ -221,17 +442,6 @@ class CaptureReader(DataSourceReader):
                 yield batch(*held)
 
 
-def _records(src: _Bytes):
-    """`(format, records)` by the file's magic number; `format` is NULL for what is no capture."""
-    magic = src.take(4)
-    if magic == SECTION:
-        src.at -= 4
-        return "pcapng", _blocks(src)
-    if magic in CLASSIC:
-        return "pcap", _classic(src, *CLASSIC[magic])
-    return None, iter(())
-
-
 def _tally(records) -> dict[str, int | bool]:
     n = {"frames": 0, "ipv4_frames": 0, "unknown_link_frames": 0, "other_frames": 0, "untimed_frames": 0, "truncated": False}
     for item in records:
@@ -249,13 +459,8 @@ def _tally(records) -> dict[str, int | bool]:
     return n
 
 
-def _audit_schema() -> pa.Schema:
-    kinds = {"string": pa.string(), "bigint": pa.int64(), "boolean": pa.bool_()}
-    return pa.schema([(n, kinds[k]) for n, k in (f.split() for f in AUDIT.split(", "))])
-
-
 class CaptureSource(DataSource):
-    """Options: `files` (one address per line), `maxPackets`, counted per file before filtering, and `audit`."""
+    """Options: `parts` (the settled ranges), `maxPackets`, counted per file before filtering, and `audit`."""
 
     @classmethod
     def name(cls):
@@ -269,21 +474,29 @@ class CaptureSource(DataSource):
 
     def reader(self, schema):
         limit = self.options.get("maxpackets") or self.options.get("maxPackets")
-        return CaptureReader(self.options["files"].split("\n"), int(limit) if limit else None, self._audits())
+        parts = [Part(**p | {"layout": p["layout"] and Layout.of(p["layout"])}) for p in json.loads(self.options["parts"])]
+        return CaptureReader(parts, int(limit) if limit else None, self._audits())
 
 
-def _reader(spark: SparkSession, path: str):
-    files = sorted(spark.read.format("binaryFile").load(path).inputFiles())
+def _reader(spark: SparkSession, path: str, range_bytes: int):
+    listed = spark.read.format("binaryFile").load(path)
+    # Names and sizes only. Empty files are among the names alone; these are encoded, the paths of the rows are not.
+    sizes = {r.path: r.length for r in listed.select("path", "length").collect()}
+    files = [(f, sizes.get(unquote(f).replace("file:///", "file:/", 1), 0)) for f in sorted(listed.inputFiles())]
+    parts = settled(spark, files, range_bytes)
     spark.dataSource.register(CaptureSource)
-    return spark.read.format("captures").option("files", "\n".join(files))
+    return spark.read.format("captures").option("parts", json.dumps([asdict(p) | {"layout": p.layout and p.layout.text()} for p in parts]))
 
 
-def read_captures(spark: SparkSession, path: str, max_packets: int | None = None):
-    """Packets of all capture files under `path`."""
-    reader = _reader(spark, path)
+def read_captures(spark: SparkSession, path: str, max_packets: int | None = None, range_bytes: int = RANGE_BYTES):
+    """Packets of all capture files under `path`, in tasks of about `range_bytes`."""
+    reader = _reader(spark, path, range_bytes)
     return (reader.option("maxPackets", max_packets) if max_packets is not None else reader).load()
 
 
-def capture_audit(spark: SparkSession, path: str):
+def capture_audit(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES):
     """One row per file under `path`: its format, and how many frames were taken or passed over, and why."""
-    return _reader(spark, path).option("audit", "true").load()
+    rows = _reader(spark, path, range_bytes).option("audit", "true").load()
+    counts = [n for n in rows.columns if n.endswith("frames")]
+    return rows.groupBy("number", "capture", "format").agg(
+        *[F.sum(n).alias(n) for n in counts], F.max("truncated").alias("truncated")).drop("number")

@@ -13,6 +13,7 @@ from ..constants import FEATURES
 from ..functions.bounded import pin_small
 from ..functions.columns import c
 from ..operators.clean import union_files
+from .files import located
 
 
 def clean_header(line: str) -> list[str]:
@@ -28,12 +29,10 @@ def clean_header(line: str) -> list[str]:
 
 
 def _first_lines(batches):
-    import pyarrow.fs as pafs
-
     for files in batches:
         lines = []
         for uri in files["file"]:
-            fs, path = pafs.FileSystem.from_uri(uri)
+            fs, path = located(uri)
             with fs.open_input_stream(path) as stream:
                 text = b""
                 while b"\n" not in text and (more := stream.read(65536)):

@@ -229,6 +229,72 @@ def test_capture_kinds_and_audit(spark, tmp_path):
         "blocks": ("pcapng", 2, 1, 0, 0, 1, False)}
 
 
+def _long_pcap(n: int, nested: bytes = b"") -> bytes:
+    """Records of many sizes and kinds; `nested` goes as payload into the middle."""
+    frames = [_ip_frame(i % 200) + bytes(i * 37 % 400) if i % 5 else b"\x60" + bytes(i % 90) for i in range(n)]
+    if nested:
+        frames.insert(n // 2, _ip_frame(250) + nested)
+    return _pcap(101, frames)
+
+
+def _long_blocks(n: int) -> bytes:
+    """Sections in both halves, interfaces of other kinds and clocks on the way."""
+    def section(link, power):
+        return _block(0x0A0D0D0A, struct.pack("<IHHq", 0x1A2B3C4D, 1, 0, -1)) + _block(
+            1, struct.pack("<HHI", link, 0, 65535) + struct.pack("<HHB3x", 9, 1, power) + struct.pack("<HH", 0, 0))
+
+    out = section(101, 6)
+    for i in range(n):
+        if i == n // 3:
+            out += _block(1, struct.pack("<HHI", 228, 0, 65535))
+        if i == 2 * n // 3:
+            out += section(228, 9)
+        body = _ip_frame(i % 200) + bytes(i * 13 % 300)
+        port = int(n // 3 <= i < 2 * n // 3)
+        out += _block(3, struct.pack("<I", len(body)) + body) if i % 11 == 3 else _block(6, struct.pack("<IIIII", port, 0, 10**6 + i, len(body), len(body)) + body)
+    return out
+
+
+@pytest.mark.parametrize("content", [_long_pcap(400), _long_pcap(300, _long_pcap(300)), _long_pcap(200)[:-9], _long_blocks(500), _long_blocks(90) + b"tail"],
+                         ids=["pcap", "a capture inside", "cut off", "sections", "trailing bytes"])
+def test_any_range_size_gives_the_same_packets(spark, tmp_path, content):
+    (tmp_path / "one").write_bytes(content)
+    (tmp_path / "two").write_bytes(_long_pcap(40))
+    whole = sorted(map(tuple, captures.read_captures(spark, str(tmp_path)).collect()), key=str)
+    audit = sorted(map(tuple, captures.capture_audit(spark, str(tmp_path)).collect()))
+    for size in (4_000, 17_001):
+        df = captures.read_captures(spark, str(tmp_path), range_bytes=size)
+        assert df.rdd.getNumPartitions() > 1
+        assert sorted(map(tuple, df.collect()), key=str) == whole
+        assert sorted(map(tuple, captures.capture_audit(spark, str(tmp_path), range_bytes=size).collect())) == audit
+    few = captures.read_captures(spark, str(tmp_path), max_packets=50).collect()
+    assert sorted(captures.read_captures(spark, str(tmp_path), 50, 5000).collect()) == sorted(few)
+
+
+def test_a_false_start_is_found_and_walked_again(spark, tmp_path):
+    (tmp_path / "one").write_bytes(_long_pcap(300, _long_pcap(300)))
+    (path, size), = [(r.path, r.length) for r in spark.read.format("binaryFile").load(str(tmp_path)).collect()]
+    content = (tmp_path / "one").read_bytes()
+    layout = captures.Layout("pcap", "<", False, ((101, 1_000_000),))
+    inside = content.index(_long_pcap(300)) + 2000
+    with open(tmp_path / "one", "rb") as f:
+        guess = captures._entered(f, inside, inside + 2000, size, layout)
+    at, true = 24, set()
+    while at < size:
+        true.add(at)
+        at += 16 + struct.unpack_from("<I", content, at + 8)[0]
+    assert guess is not None and guess not in true
+    assert {p.at for p in captures.settled(spark, [(path, size)], 2000)} <= true
+
+
+@pytest.mark.parametrize(("address", "other"), [("s3a://b/x/y", "s3"), ("s3n://b/x/y", "s3")])
+def test_addresses_of_hadoop_connectors(address, other):
+    from flowloom.sources import files
+    fs, path = files.located(address)
+    assert (fs.type_name, path) == (other, "b/x/y")
+    assert files.located("file:/tmp/a")[1] == files.located("file:///tmp/a")[1] == "/tmp/a"
+
+
 def test_feature_list_is_complete():
     assert len(set(FEATURES)) == 77
 
