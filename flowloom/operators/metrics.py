@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.bounded import pin_small, stabilise
+from ..functions.bounded import pin_small
 from ..functions.columns import c, fbeta, is_missing, ratio, side_by_side
-from ..functions.quantiles import exact_quantiles
+from ..functions.quantiles import quantiles_of
 from ..functions.running import with_running_totals
 
 
@@ -103,56 +103,64 @@ def classification_report(df: DataFrame, truth: str, pred: str) -> DataFrame:
 
 # --------------------------------------------------------------------------- score curves
 
-def score_counts(df: DataFrame, score: str = "y_prob", truth: str = "y_true") -> DataFrame:
-    """Positives and negatives per distinct score; rows without a score are left out.
-
-    All curves start from this table. It is written once, so the predictions are read once.
-    """
-    return stabilise(df.where(~is_missing(c(score).cast("double"))).groupBy(c(score).cast("double").alias("score")).agg(
-        F.count_if(c(truth) == 1).alias("pos"), F.count_if(c(truth) == 0).alias("neg")))
+def score_counts(df: DataFrame, score: str = "y_prob", truth: str = "y_true", by: list[str] | tuple[str, ...] = ()) -> DataFrame:
+    """Positives and negatives per group and distinct score. Rows without a score are under NULL, as `unscored` alone."""
+    value = c(score).cast("double")
+    rows = df.select(*[c(b) for b in by], F.when(~is_missing(value), value).alias("score"), c(truth).alias("_truth"))
+    scored = F.col("score").isNotNull()
+    return rows.groupBy(*[c(b) for b in by], "score").agg(
+        F.count_if(scored & (F.col("_truth") == 1)).alias("pos"), F.count_if(scored & (F.col("_truth") == 0)).alias("neg"),
+        F.count_if(~scored).alias("unscored"))
 
 
-def _cumulated(counts: DataFrame, descending: bool) -> DataFrame:
-    return with_running_totals(counts, "score", {"pos": "tp", "neg": "fp"}, descending)
+def _points(df: DataFrame, score: str, truth: str, descending: bool, by: list[str] | tuple[str, ...] = ()) -> DataFrame:
+    """Per group and distinct score: positives (tp) and negatives (fp) up to it in this order, and those of the group."""
+    counts = score_counts(df, score, truth, by)
+    return with_running_totals(counts, "score", {"pos": "tp", "neg": "fp"}, descending, by)
 
 
-def _curve(df: DataFrame, score: str, truth: str) -> DataFrame:
-    """Per distinct score: positives and negatives at or above it, and the totals."""
-    counts = score_counts(df, score, truth)
-    row = counts.agg(F.coalesce(F.sum("pos"), F.lit(0)).alias("p"), F.coalesce(F.sum("neg"), F.lit(0)).alias("n")).first()
-    return _cumulated(counts, True).withColumns({"positives": F.lit(row.p), "negatives": F.lit(row.n)})
+def curves(df: DataFrame, score: str = "y_prob", truth: str = "y_true", by: list[str] | tuple[str, ...] = ()) -> DataFrame:
+    """`(threshold, tp, fp, positives, negatives)` per group and distinct score, classifying score >= threshold as positive."""
+    return _points(df, score, truth, True, by).where("score is not null").select(
+        *[c(b) for b in by], F.col("score").alias("threshold"), "tp", "fp", F.col("all_tp").alias("positives"), F.col("all_fp").alias("negatives"))
 
 
-def roc_curve(df: DataFrame, score: str = "y_prob", truth: str = "y_true") -> DataFrame:
-    """`(threshold, fpr, tpr)` per distinct score, classifying score >= threshold as positive."""
-    return _curve(df, score, truth).select(
-        F.col("score").alias("threshold"), ratio(F.col("fp"), F.col("negatives")).alias("fpr"),
-        ratio(F.col("tp"), F.col("positives")).alias("tpr"))
+def roc_curve(df: DataFrame, score: str = "y_prob", truth: str = "y_true", by: list[str] | tuple[str, ...] = ()) -> DataFrame:
+    """`(threshold, fpr, tpr)` per group and distinct score."""
+    return curves(df, score, truth, by).select(
+        *[c(b) for b in by], "threshold", ratio(F.col("fp"), F.col("negatives")).alias("fpr"), ratio(F.col("tp"), F.col("positives")).alias("tpr"))
 
 
-def pr_curve(df: DataFrame, score: str = "y_prob", truth: str = "y_true") -> DataFrame:
-    return _curve(df, score, truth).select(
-        F.col("score").alias("threshold"), ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"),
+def pr_curve(df: DataFrame, score: str = "y_prob", truth: str = "y_true", by: list[str] | tuple[str, ...] = ()) -> DataFrame:
+    return curves(df, score, truth, by).select(
+        *[c(b) for b in by], "threshold", ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"),
         ratio(F.col("tp"), F.col("positives")).alias("recall"))
 
 
-def roc_auc(df: DataFrame, score: str = "y_prob", truth: str = "y_true") -> DataFrame:
-    """Area under the ROC curve from mid-ranks of score groups; NULL with one class only.
+def areas(df: DataFrame, score: str = "y_prob", truth: str = "y_true", by: list[str] | tuple[str, ...] = ()) -> DataFrame:
+    """Per group: `roc_auc` and `average_precision`, and how many positives, negatives and rows without a score there are.
 
-    Each positive beats the negatives below its score and ties half of those at it.
+    The area under the ROC curve is taken from mid-ranks of score groups and is NULL with one class only: each
+    positive beats the negatives below its score and ties half of those at it. Both areas come from one ascending pass.
     """
-    # Ascending, so fp counts the negatives at or below a score.
-    points = _cumulated(score_counts(df, score, truth), False)
+    points = _points(df, score, truth, False, by)  # fp counts the negatives at or below a score
+    pos, neg = F.sum("pos").cast("double"), F.sum("neg").cast("double")
     wins = F.sum(F.col("pos") * (F.col("fp") - F.col("neg") / 2))
-    pairs = F.sum("pos").cast("double") * F.sum("neg").cast("double")
-    return points.agg(F.when(pairs > 0, wins / F.nullif(pairs, F.lit(0.0))).alias("roc_auc"))
+    tp, fp = F.col("all_tp") - F.col("tp") + F.col("pos"), F.col("all_fp") - F.col("fp") + F.col("neg")
+    # NULL comes first in this order and holds neither class.
+    weighted = F.sum(F.when(F.col("pos") > 0, F.col("pos") * tp / (tp + fp)))
+    return points.groupBy(*[c(b) for b in by]).agg(
+        F.when(pos * neg > 0, wins / F.nullif(pos * neg, F.lit(0.0))).alias("roc_auc"),
+        F.when(pos > 0, weighted / F.nullif(pos, F.lit(0.0))).alias("average_precision"),
+        *[F.coalesce(F.sum(n), F.lit(0)).alias(out) for n, out in (("pos", "positives"), ("neg", "negatives"), ("unscored", "unscored"))])
+
+
+def roc_auc(df: DataFrame, score: str = "y_prob", truth: str = "y_true", by: list[str] | tuple[str, ...] = ()) -> DataFrame:
+    return areas(df, score, truth, by).select(*[c(b) for b in by], "roc_auc")
 
 
-def average_precision(df: DataFrame, score: str = "y_prob", truth: str = "y_true") -> DataFrame:
-    points = _cumulated(score_counts(df, score, truth), True)
-    positives = F.sum("pos").cast("double")
-    weighted = F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp")))
-    return points.agg(F.when(positives > 0, weighted / F.nullif(positives, F.lit(0.0))).alias("average_precision"))
+def average_precision(df: DataFrame, score: str = "y_prob", truth: str = "y_true", by: list[str] | tuple[str, ...] = ()) -> DataFrame:
+    return areas(df, score, truth, by).select(*[c(b) for b in by], "average_precision")
 
 
 # --------------------------------------------------------------------------- errors
@@ -179,10 +187,9 @@ def error_describe(df: DataFrame, features: list[str]) -> DataFrame:
     stats = long.groupBy("kind", "feature").agg(
         F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
         F.min("value").alias("min"), F.max("value").alias("max"))
-    rows = []
-    for kind in ("false_positive", "false_negative"):
-        quartiles = exact_quantiles(wrong.where(F.col("kind") == kind), features, [0.25, 0.5, 0.75])
-        rows += [(kind, n, *q) for n, q in quartiles.items()]
+    cells = [(kind, n) for kind in ("false_positive", "false_negative") for n in features]
+    quartiles = quantiles_of(wrong, [F.when(F.col("kind") == kind, c(n)) for kind, n in cells], [0.25, 0.5, 0.75])
+    rows = [(*cell, *q) for cell, q in zip(cells, quartiles, strict=True)]
     table = F.broadcast(df.sparkSession.createDataFrame(  # two rows per feature
         rows, "kind string, feature string, q25 double, q50 double, q75 double"))
     return stats.join(table, ["kind", "feature"])

@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..constants import CALIBRATION_CATEGORIES, CRITICAL_FEATURES, DEFAULT_TOLERANCE, FEATURES, TOLERANCES
 from ..constants import VALIDATION_CATEGORIES
-from ..functions.bounded import stabilise
 from ..functions.columns import c, finite, pearson, ratio, unpivot_features
 from ..functions.quantiles import exact_quantiles
 from ..functions.ranks import placed
@@ -256,27 +253,34 @@ def paired_correlation(pairs: DataFrame, a: str, b: str, min_rows: int = 10) ->
 KS_TERMS = 100
 
 
-def ks_two_sample(a: DataFrame, b: DataFrame, value: str) -> DataFrame:
-    """Kolmogorov-Smirnov statistic of two samples, on all rows, with its asymptotic p-value."""
+def ks_features(a: DataFrame, b: DataFrame, names: list[str]) -> DataFrame:
+    """Kolmogorov-Smirnov statistic of two samples for every feature, on all rows, with its asymptotic p-value.
+
+    All features go through one pass: a row per feature and distinct value, and running totals within each feature.
+    A feature without values on one side has the largest distance; without any, none.
+    """
     def side(df, in_a):
-        return df.select(finite(c(value).cast("double")).alias("x"), F.lit(in_a).alias("in_a"),
-                         F.lit(1 - in_a).alias("in_b")).where("x is not null")
-
-    # One row per distinct value, written once and read three times.
-    per_value = stabilise(side(a, 1).unionByName(side(b, 0)).groupBy("x").agg(
-        F.sum("in_a").alias("a"), F.sum("in_b").alias("b")))
-    curve = with_running_totals(per_value, "x", {"a": "cum_a", "b": "cum_b"})
-    sizes = per_value.agg(F.coalesce(F.sum("a"), F.lit(0)).alias("n"), F.coalesce(F.sum("b"), F.lit(0)).alias("m")).first()
-    gap = F.abs(ratio(F.col("cum_a"), F.lit(sizes.n)) - ratio(F.col("cum_b"), F.lit(sizes.m)))
-    out = curve.agg(F.coalesce(F.max(gap), F.lit(0.0)).alias("ks_statistic"))
-    effective = math.sqrt(sizes.n * sizes.m / (sizes.n + sizes.m)) if sizes.n and sizes.m else 0.0
-    z = F.col("ks_statistic") * effective
+        return unpivot_features(df, [], names, value_col="x").select(
+            "feature", finite(F.col("x")).alias("x"), F.lit(in_a).alias("in_a"), F.lit(1 - in_a).alias("in_b")).where("x is not null")
+
+    per_value = side(a, 1).unionByName(side(b, 0)).groupBy("feature", "x").agg(F.sum("in_a").alias("a"), F.sum("in_b").alias("b"))
+    curve = with_running_totals(per_value, "x", {"a": "cum_a", "b": "cum_b"}, groups=["feature"])
+    gap = F.abs(ratio(F.col("cum_a"), F.col("all_cum_a")) - ratio(F.col("cum_b"), F.col("all_cum_b")))
+    measured = curve.groupBy("feature").agg(F.max(gap).alias("ks_statistic"), F.max("all_cum_a").alias("n_a"), F.max("all_cum_b").alias("n_b"))
+    listed = a.sparkSession.createDataFrame([(n,) for n in names], "feature string")  # the schema bounds it
+    out = listed.join(measured, "feature", "left").fillna({"ks_statistic": 0.0, "n_a": 0, "n_b": 0})
+    n, m = F.col("n_a").cast("double"), F.col("n_b").cast("double")
+    z = F.col("ks_statistic") * F.sqrt(ratio(n * m, n + m))
     tail = F.aggregate(
         F.sequence(F.lit(1), F.lit(KS_TERMS)), F.lit(0.0),
         lambda acc, k: acc + F.when(k % 2 == 1, 2.0).otherwise(-2.0) * F.exp(z * z * k * k * -2))
-    return out.withColumns({
-        "ks_pvalue": F.when(z < 0.2, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), tail))),
-        "n_a": F.lit(sizes.n).cast("long"), "n_b": F.lit(sizes.m).cast("long")})
+    return out.select("feature", "ks_statistic", F.when(z < 0.2, 1.0).otherwise(
+        F.greatest(F.lit(0.0), F.least(F.lit(1.0), tail))).alias("ks_pvalue"), "n_a", "n_b")
+
+
+def ks_two_sample(a: DataFrame, b: DataFrame, value: str) -> DataFrame:
+    """The statistic for one column, on one row."""
+    return ks_features(a, b, [value]).drop("feature")
 
 
 def high_discrepancy(drift: DataFrame) -> DataFrame:

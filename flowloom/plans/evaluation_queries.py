@@ -101,6 +101,40 @@ def average_precision(df):
     return rounded(metrics.average_precision(df), ["average_precision"], 9)
 
 
+#: Scores of one day in four are taken away, so that rows without one are met.
+GAPPY = """, g as (select model, day, y_true, case when day % 4 = 3 and bytes % 7 = 0 then null else y_prob end as p from predictions)"""
+
+
+def _gappy(df):
+    missing = (F.col("day") % 4 == 3) & (F.col("bytes") % 7 == 0)
+    return df.withColumn("y_prob", F.when(~missing, F.col("y_prob")))
+
+
+@over_view("auc_by_group", VIEW, GAPPY + """, r as (select *, avg(rn) over (partition by model, day, p) as midrank
+  from (select *, row_number() over (partition by model, day order by p) as rn from g where p is not null) x),
+k as (select model, day, sum(midrank) filter (where y_true = 1) as ranks, (count(*) filter (where y_true = 1))::double as pos,
+  (count(*) filter (where y_true = 0))::double as neg from r group by model, day),
+d as (select model, day, p, count(*) filter (where y_true = 1) as pos, count(*) as n from g where p is not null group by model, day, p),
+t as (select *, sum(pos) over w as tp, sum(n) over w as taken, sum(pos) over (partition by model, day) as positives
+  from d window w as (partition by model, day order by p desc)),
+a as (select model, day, case when max(positives) > 0 then sum((pos / positives::double) * (tp / taken::double)) end as ap from t group by model, day),
+u as (select model, day, count(*) filter (where p is null) as unscored from g group by model, day)
+select model, day, round(case when pos * neg > 0 then (ranks - pos * (pos + 1) / 2) / (pos * neg) end, 9) as roc_auc,
+  round(ap, 9) as average_precision, coalesce(pos, 0)::bigint as positives, coalesce(neg, 0)::bigint as negatives, unscored
+from u left join k using (model, day) left join a using (model, day)""")
+def auc_by_group(df):
+    return rounded(metrics.areas(_gappy(df), by=["model", "day"]), ["roc_auc", "average_precision"], 9)
+
+
+@over_view("roc_by_group", VIEW, """, s as (select model, y_prob as score, count(*) filter (where y_true = 1) as pos,
+  count(*) filter (where y_true = 0) as neg from predictions group by model, y_prob)
+select model, score as threshold, round(sum(neg) over w / (sum(neg) over g)::double, 9) as fpr,
+  round(sum(pos) over w / (sum(pos) over g)::double, 9) as tpr
+from s window w as (partition by model order by score desc), g as (partition by model)""")
+def roc_by_group(df):
+    return rounded(metrics.roc_curve(df, by=["model"]), ["fpr", "tpr"], 9)
+
+
 @over_view("roc_curve", VIEW, POINTS + """ select score as threshold, round(fp / negatives::double, 9) as fpr,
   round(tp / positives::double, 9) as tpr from p""")
 def roc_curve(df):

@@ -443,6 +443,21 @@ def ks_two_sample(spark, sf_dir):
     return out.withColumns({"ks_statistic": F.round("ks_statistic", 9), "ks_pvalue": F.round("ks_pvalue", 6)})
 
 
+@over_view("ks_all_features", VIEW, ", " + ", ".join(f"""v{i} as (select {q(n)} as x, count(*) filter (where "Label" = 'PortScan') as a,
+  count(*) filter (where "Label" <> 'PortScan') as b from raw_flows where {q(n)} is not null and not isnan({q(n)}) and not {is_inf(n)} group by 1),
+c{i} as (select '{n}' as feature, sum(a) over (order by x) as ca, sum(b) over (order by x) as cb, sum(a) over () as n, sum(b) over () as m from v{i}),
+s{i} as (select feature, max(abs(ca / n::double - cb / m::double)) as ks, max(n)::double as n, max(m)::double as m from c{i} group by feature)"""
+    for i, n in enumerate(RAW_FEATURES)) + ", s as (" + " union all ".join(f"select * from s{i}" for i in range(len(RAW_FEATURES))) + """),
+z as (select *, ks * sqrt(n * m / (n + m)) as z from s),
+tail as (select feature, sum((case when k % 2 = 1 then 2.0 else -2.0 end) * exp(-2 * z * z * k * k)) as p
+  from z, (select unnest(range(1, 101))::double as k) t group by feature)
+select feature, round(ks, 9) as ks_statistic, round(case when z < 0.2 then 1.0 else greatest(0.0, least(1.0, p)) end, 6) as ks_pvalue,
+  cast(n as bigint) as n_a, cast(m as bigint) as n_b from z join tail using (feature)""")
+def ks_all_features(df):
+    attack = F.col("Label") == "PortScan"
+    return rounded(rounded(quality.ks_features(df.where(attack), df.where(~attack), RAW_FEATURES), ["ks_statistic"], 9), ["ks_pvalue"])
+
+
 @over_view("file_profile", VIEW, f"""select cast(source_file as varchar) as file, count(*) as rows, {len(FILE)} as cols,
   count(*) filter (where upper(trim("Label")) = 'BENIGN') as benign,
   count(*) filter (where upper(trim("Label")) <> 'BENIGN') as attacks,

@@ -25,11 +25,11 @@ def _numbers():
             for i in range(2000)] + [(float("inf"), float("nan"))]
 
 
-@pytest.mark.parametrize("bins", [16, 4096])
-def test_exact_quantiles(spark, bins):
+@pytest.mark.parametrize(("accuracy", "gathered"), [(10_000, 2_000_000), (100, 2_000_000), (20, 100)])
+def test_exact_quantiles(spark, accuracy, gathered):
     df = spark.createDataFrame(_numbers(), "a double, b double")
     probs = [0.0, 0.25, 0.5, 0.753, 1.0]
-    got = exact_quantiles(df, ["a", "b"], probs, bins=bins)
+    got = exact_quantiles(df, ["a", "b"], probs, accuracy, gathered)
     for name, i in (("a", 0), ("b", 1)):
         values = [r[i] for r in _numbers() if r[i] is not None and math.isfinite(r[i])]
         assert got[name] == pytest.approx(np.quantile(values, probs).tolist(), rel=1e-12, abs=1e-12)
@@ -42,11 +42,38 @@ def test_running_totals_in_ranges(spark, descending):
     df = spark.createDataFrame(list(values.items()), "x double, n bigint")
     order = sorted(values, reverse=descending)
     want = dict(zip(order, itertools.accumulate(values[x] for x in order)))
-    for buckets in (16, 2048):
-        assert {r.x: r.cum for r in with_running_totals(df, "x", {"n": "cum"}, descending, buckets).collect()} == want
+    for parts in (None, 7):
+        got = with_running_totals(df, "x", {"n": "cum"}, descending, partitions=parts).collect()
+        assert {r.x: r.cum for r in got} == want and {r.all_cum for r in got} == {sum(values.values())}
     assert with_running_totals(df.limit(0), "x", {"n": "cum"}, descending).count() == 0
 
 
+def test_running_totals_in_groups_of_all_sizes(spark):
+    rng = random.Random(4)
+    data = [(g, x, rng.randint(1, 5), rng.random()) for g, n in (("big", 2000), (None, 30), ("one", 1), ("b", 400)) for x in rng.sample(range(9000), n)]
+    df = spark.createDataFrame(data, "g string, x int, n int, w double").repartition(5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 64)
+    try:
+        got = {(r.g, r.x): (r.cum, r.mass) for r in with_running_totals(df, "x", {"n": "cum", "w": "mass"}, groups=["g"], partitions=9).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for g in {r[0] for r in data}:
+        mine = sorted(r for r in data if r[0] == g) if g else sorted((r for r in data if r[0] is None), key=lambda r: r[1])
+        for k, r in enumerate(mine):
+            n, w = got[g, r[1]]
+            assert n == sum(m[2] for m in mine[:k + 1]) and w == pytest.approx(sum(m[3] for m in mine[:k + 1]))
+
+
+def test_quantiles_take_two_scans_of_the_wide_table(spark, tmp_path):
+    spark.range(30_000).selectExpr("cast(id as double) a", "pow(id % 977, 2) b", "cast(id % 3 as double) c").write.parquet(str(tmp_path / "t"))
+    listed = spark.sparkContext._jsc.sc().statusStore()
+    before = listed.jobsList(None).size()
+    got = exact_quantiles(spark.read.parquet(str(tmp_path / "t")), ["a", "b", "c"], [0.1, 0.5, 0.9])
+    assert listed.jobsList(None).size() - before <= 5  # a listing at most, and two jobs of a scan and its merge
+    assert got["a"] == pytest.approx(np.quantile(np.arange(30_000), [0.1, 0.5, 0.9]).tolist())
+    assert got["c"] == [0.0, 1.0, 2.0]
+
+
 # --------------------------------------------------------------------------- cleaning
 
 def test_clean_drops_infinite_and_fills_missing(spark):
@@ -189,16 +216,16 @@ def test_curves_against_brute_force(spark):
     assert max(r.tpr for r in metrics.roc_curve(df).collect()) == 1.0
 
 
-def test_curves_in_value_ranges(spark, monkeypatch):
-    from flowloom.functions import running
-
+def test_areas_of_groups_are_those_of_each_group_alone(spark):
     rng = random.Random(9)
-    df = spark.createDataFrame([(int(rng.random() < 0.3), rng.random()) for _ in range(2000)] + [(1, None), (0, float("nan"))],
-                               "y_true int, y_prob double")
-    whole = metrics.roc_auc(df).first()[0], metrics.average_precision(df).first()[0]
-    monkeypatch.setattr(running.with_running_totals, "__defaults__", (False, 50, 32))
-    ranged = metrics.roc_auc(df).first()[0], metrics.average_precision(df).first()[0]
-    assert whole == pytest.approx(ranged)
+    data = [(g, int(rng.random() < 0.3), round(rng.random(), 3)) for g, n in ((1, 1500), (2, 40), (None, 60)) for _ in range(n)]
+    data += [(1, 1, None), (1, 0, float("nan")), (3, 0, 0.5), (4, 1, None)]
+    df = spark.createDataFrame(data, "g int, y_true int, y_prob double")
+    got = {r.g: tuple(r)[1:] for r in metrics.areas(df, by=["g"]).collect()}
+    for g in (1, 2, None):
+        own = df.where(F.col("g").eqNullSafe(F.lit(g)))
+        assert got[g][:2] == pytest.approx((metrics.roc_auc(own).first()[0], metrics.average_precision(own).first()[0]))
+    assert got[1][4] == 2 and got[3] == (None, None, 0, 1, 0) and got[4] == (None, None, 0, 0, 1)
 
 
 # --------------------------------------------------------------------------- scorecard, quality, timing
