@@ -6,14 +6,16 @@ from __future__ import annotations
 SCHEMES = {"s3a": "s3", "s3n": "s3", "wasbs": "abfss", "wasb": "abfs"}
 
 
+def outside_hadoop(address: str) -> str:
+    scheme, mark, rest = address.partition("://")
+    return SCHEMES.get(scheme, scheme) + mark + rest
+
+
 def located(address: str):
     """`(file system, path)` of an address, with credentials from the environment of the process that opens it."""
     import pyarrow.fs as pafs
 
-    scheme, mark, rest = address.partition("://")
-    if mark:
-        return pafs.FileSystem.from_uri(SCHEMES.get(scheme, scheme) + mark + rest)
-    return pafs.FileSystem.from_uri(address)  # file:/a/b
+    return pafs.FileSystem.from_uri(outside_hadoop(address))
 
 
 def base_name(address: str) -> str:
