@@ -48,7 +48,8 @@ CELLS = 1 << 22
 FIRST_SHARE, WAVE_GROWTH = 1 / 32, 8
 
 #: A block: its documents, and its posting groups: the term and tf of each, how many places it has, and the places of all.
-INDEX = "m long, block long, ids array<long>, terms array<string>, tf array<long>, n array<long>, places array<int>"
+#: Numbers are packed as 32-bit integers, terms as one string with where each ends: lists of so many values cost a reader several times their size.
+INDEX = "m long, block long, ids array<long>, terms binary, ends binary, tf binary, n binary, places binary"
 INDEX_NAMES = [part.split()[0] for part in INDEX.split(", ")]
 
 
@@ -65,13 +66,24 @@ class Index:
     n_terms: int
 
 
-def _lists(values, sizes: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), values)
+def _packed(values: np.ndarray) -> bytes:
+    return values.astype(np.int32).tobytes()
+
+
+def _numbers(cell: pa.Scalar) -> np.ndarray:
+    return np.frombuffer(cell.as_buffer(), np.int32).astype(np.int64)
+
+
+def _names(batch: pa.RecordBatch, i: int) -> pa.Array:
+    """The terms of a block."""
+    ends = np.frombuffer(batch.column("ends")[i].as_buffer(), np.int32)
+    offsets = pa.py_buffer(np.concatenate([[np.int32(0)], ends]).astype(np.int32))
+    return pa.StringArray.from_buffers(len(ends), offsets, batch.column("terms")[i].as_buffer())
 
 
 def _blocks(docs: list, m: list[int], words: list[np.ndarray], names: list[bytes], block: int):
     """The blocks of some documents: a row for each of their strata."""
-    m_of, ids = np.array(m, np.int64), pa.array(docs, pa.int64())
+    m_of = np.array(m, np.int64)
     by_m = np.argsort(m_of, kind="stable")
     strata, first, sizes = np.unique(m_of[by_m], return_index=True, return_counts=True)
     place = np.empty(len(m_of), np.int32)
@@ -85,14 +97,20 @@ def _blocks(docs: list, m: list[int], words: list[np.ndarray], names: list[bytes
     fresh[1:] = (m_of[doc[1:]] != m_of[doc[:-1]]) | (word[1:] != word[:-1]) | (tf[1:] != tf[:-1])
     starts = np.flatnonzero(fresh)
     n = np.diff(np.append(starts, len(doc)))
-    groups = np.bincount(np.searchsorted(strata, m_of[doc[starts]]), minlength=len(strata))
-    postings = np.bincount(np.searchsorted(strata, m_of[doc]), minlength=len(strata))
-    spelled = pa.array(names, pa.binary()).cast(pa.string()).take(pa.array(word[starts]))
-    table = pa.record_batch([
-        pa.array(strata), pa.array(np.full(len(strata), block)), _lists(ids.take(pa.array(by_m)), sizes), _lists(spelled, groups),
-        _lists(pa.array(tf[starts]), groups), _lists(pa.array(n), groups), _lists(pa.array(place[doc]), postings)], INDEX_NAMES)
-    for at in range(0, len(strata), 64):
-        yield table.slice(at, 64)
+    group_at = np.searchsorted(m_of[doc[starts]], strata)  # where the groups and the places of each stratum begin
+    place_at = np.searchsorted(m_of[doc], strata)
+    rows = []
+    for k, (g, p, d) in enumerate(zip(group_at, place_at, first, strict=True)):
+        g = slice(g, group_at[k + 1] if k + 1 < len(strata) else None)
+        p = slice(p, place_at[k + 1] if k + 1 < len(strata) else None)
+        spelled = [names[w] for w in word[starts[g]].tolist()]
+        rows.append((int(strata[k]), block, [docs[i] for i in by_m[d:d + sizes[k]].tolist()], b"".join(spelled),
+                     _packed(np.cumsum([len(t) for t in spelled])), _packed(tf[starts[g]]), _packed(n[g]), _packed(place[doc[p]])))
+        if len(rows) == 64 or k + 1 == len(strata):
+            columns = list(zip(*rows, strict=True))
+            kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 5]
+            yield pa.record_batch([pa.array(list(c), kind) for c, kind in zip(columns, kinds, strict=True)], INDEX_NAMES)
+            rows = []
 
 
 def indexed(docs: DataFrame) -> Index:
@@ -159,15 +177,15 @@ def _seen(index: Index, asked) -> DataFrame:
     def look(batch):
         out = []
         for i in range(batch.num_rows):
-            where, number = asked.value.met(batch.column("terms")[i].values)
+            where, number = asked.value.met(_names(batch, i))
             if len(where):
-                n, tf = (batch.column(x)[i].values.to_numpy()[where] for x in ("n", "tf"))
+                n, tf = (_numbers(batch.column(x)[i])[where] for x in ("n", "tf"))
                 starts = np.flatnonzero(np.append(True, number[1:] != number[:-1]))
                 out.append((number[starts], np.full(len(starts), batch.column("m")[i].as_py()), np.add.reduceat(n, starts), np.maximum.reduceat(tf, starts)))
         if out:
             return pa.record_batch([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*out, strict=True)], ["term", "m", "n", "tf"])
 
-    rows = arrow_map(index.rows.select("m", "terms", "tf", "n"), look, "term long, m long, n long, tf long")
+    rows = arrow_map(index.rows.select("m", "terms", "ends", "tf", "n"), look, "term long, m long, n long, tf long")
     return rows.groupBy("term", "m").agg(F.sum("n").alias("n"), F.max("tf").alias("tf"))
 
 
@@ -216,8 +234,9 @@ def _visited(index: Index, asked, alive: DataFrame, k: int) -> DataFrame:
     def score(batch):
         out = []
         for i in range(batch.num_rows):
-            ids, names, tf, n, places, visitors, least = (batch.column(x)[i].values for x in ("ids", "terms", "tf", "n", "places", "visitors", "least"))
-            out += best_of(ids, batch.column("m")[i].as_py(), (names, tf.to_numpy(), n.to_numpy(), places.to_numpy()), visitors.to_numpy(), least.to_numpy())
+            ids, visitors, least = (batch.column(x)[i].values for x in ("ids", "visitors", "least"))
+            groups = (_names(batch, i), *(_numbers(batch.column(x)[i]) for x in ("tf", "n", "places")))
+            out += best_of(ids, batch.column("m")[i].as_py(), groups, visitors.to_numpy(), least.to_numpy())
         if out:
             items, ids, found = zip(*out, strict=True)
             return pa.record_batch([pa.array(np.concatenate(items)), pa.concat_arrays(ids), pa.array(np.concatenate(found))], ["item", "doc_id", "score"])

@@ -83,8 +83,10 @@ def test_strata_below_the_kth_score_are_not_visited(spark, monkeypatch):
 def test_postings_of_a_term_are_grouped_by_tf_in_a_stratum(spark):
     docs = [(1, "a b", 1, "x"), (2, "b a", 1, "x"), (3, "a a", 1, "x"), (4, "a c d", 1, "x")]
     index = indexed(spark.createDataFrame(docs, DOCS).coalesce(1))
-    got = sorted((r.m, *g) for r in index.rows.collect() for g in zip(r.terms, r.tf, r.n) if g[0] == "a")
-    assert [len(r.places) for r in index.rows.orderBy("m").collect()] == [5, 3]
+    rows = index.rows.toArrow().combine_chunks().to_batches()[0]
+    got = sorted((rows["m"][i].as_py(), *g) for i in range(rows.num_rows) for g in zip(
+        lexical_search._names(rows, i).to_pylist(), *(lexical_search._numbers(rows[x][i]).tolist() for x in ("tf", "n"))) if g[0] == "a")
+    assert sorted(len(lexical_search._numbers(x)) for x in rows["places"]) == [3, 5]
     assert (index.n_docs, index.n_terms) == (4, 9)
     assert got == [(97, "a", 1, 2), (97, "a", 2, 1), (108, "a", 1, 1)]
 
