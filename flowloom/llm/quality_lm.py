@@ -4,9 +4,11 @@ The units are characters, so that names, rare words and all languages share one
 order is 5. Counts of the trusted text and the distinct n-grams of the whole corpus are tables in Spark:
 map tasks combine what they see, and a shuffle by n-gram sums it. Continuation counts, context sums and discounts
 come from these tables, and joins sharded by n-gram give every distinct n-gram of the corpus its
-probability, order by order. A document then needs one figure for each of its positions. The
-probabilities are written in shards of bounded size to the shared folder; tasks read them one after the
-other and add up integers (millionths of a nat), so the result depends on no order and no number of shards.
+probability, order by order. A document then needs one figure for each of its positions. A bounded number of the
+most frequent n-grams settles most positions where the text is read. What a document has besides leaves as counts of
+n-gram hashes, which are joined with the probabilities, sharded by the hash, and summed for each document. No task holds
+more of the table than that bounded part, and an n-gram of the join is rarer than all of these, so no key is hot. Sums are
+integers (millionths of a nat): the result depends on no order and no number of shards.
 
 Trusted documents with a hash remainder are left out of the training and set the thresholds: per language, a quantile of their
 cross-entropy, exact to a thousandth of a nat, plus an allowance that shrinks with the length of the
@@ -23,20 +25,21 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
-import pyarrow.parquet as pq
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.bounded import shared_dir, stabilise
+from ..functions.bounded import stabilise
 from .common import arrow_map, id_filter, may_contain, mix
 
 ORDER = 5
 #: Padding before a text, and the sign after it.
 BEGIN, END = 2, 3
-#: n-grams in a shard of the probability table, about: what a task holds at a time.
-SHARD_ROWS = 1_500_000
+#: The most frequent n-grams, which every task holds: so many at most.
+COMMON = 1 << 20
+#: Hashes in one row of what a document has besides.
+PIECE = 1 << 16
 QUANTILE = 0.99
 #: Nats that a document of n characters may lie above the quantile, times the square root of n.
 SLACK = 2.0
@@ -149,12 +152,12 @@ def _discounts(tables: dict[int, DataFrame]) -> dict[int, tuple[float, float, fl
 
 
 def probabilities(trained: DataFrame, wanted: DataFrame, order: int = ORDER) -> DataFrame:
-    """`(g, p)` of every n-gram in `wanted` (g), by the counts `trained` (g, c): both stored tables."""
+    """`(g, p)` of every n-gram in `wanted` (g), by the counts `trained` (g, c): both stored tables. Other columns of `wanted` stay."""
     counts = {order: trained}
     for k in range(order - 1, 0, -1):  # how many different characters precede
         counts[k] = counts[k + 1].groupBy(F.substring("g", 2, k).alias("g")).agg(F.count("*").alias("c"))
     discount = _discounts(counts)
-    grams = {order: wanted.select("g")}
+    grams, more = {order: wanted}, [n for n in wanted.columns if n != "g"]
     for k in range(order - 1, 0, -1):
         grams[k] = grams[k + 1].select(F.substring("g", 2, k).alias("g")).distinct()
     letters = grams[1].count() + 1
@@ -174,7 +177,7 @@ def probabilities(trained: DataFrame, wanted: DataFrame, order: int = ORDER) ->
                 lower.select(F.col("g").alias("suffix"), F.col("p").alias("p_below")), "suffix")
         p = F.when(F.col("total").isNull(), below).otherwise(
             F.coalesce(F.col("above"), F.lit(0.0)) / F.col("total") + F.col("freed") / F.col("total") * below)
-        lower = suffixed.select("g", p.alias("p"))
+        lower = suffixed.select("g", p.alias("p"), *(more if k == order else []))
     return lower
 
 
@@ -190,12 +193,7 @@ def hashed(at: np.ndarray, order: int = ORDER) -> np.ndarray:
 class Shard:
     """A part of the probability table for vectorised look-up: open addressing, zero marks a free place."""
 
-    def __init__(self, grams: list[str], values: np.ndarray, order: int = ORDER):
-        at = np.frombuffer("".join(grams).encode("utf-32-le"), np.uint32).reshape(-1, order)
-        h = np.zeros(len(at), np.uint64)
-        for k in range(order):
-            h = h * np.uint64(0x9E3779B97F4A7C15) + at[:, k]
-        h = np.maximum(mix(h), np.uint64(1))
+    def __init__(self, h: np.ndarray, values: np.ndarray):
         size = 1 << max(4, int(2 * len(h)).bit_length())
         self.mask, self.keys, self.values = np.uint64(size - 1), np.zeros(size, np.uint64), np.zeros(size, np.int32)
         left, slot = np.arange(len(h)), h & self.mask
@@ -224,49 +222,111 @@ class Shard:
         return out
 
 
+def _hash_of(table: DataFrame, order: int) -> DataFrame:
+    """`(h, micro, met)` of `(g, p, met)`: the hash of an n-gram and its cost in millionths of a nat."""
+    def number(batch):
+        at = np.frombuffer("".join(batch.column("g").to_pylist()).encode("utf-32-le"), np.uint32).reshape(-1, order)
+        h = np.zeros(len(at), np.uint64)
+        for k in range(order):
+            h = h * np.uint64(0x9E3779B97F4A7C15) + at[:, k]
+        return pa.record_batch([pa.array(np.maximum(mix(h), np.uint64(1)).view(np.int64)), batch.column("micro"), batch.column("met")], ["h", "micro", "met"])
+
+    return arrow_map(table.select("g", F.round(-F.log("p") * 1e6).cast("int").alias("micro"), "met"), number, "h long, micro int, met long")
+
+
+def _common(table: DataFrame, most: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """A number of occurrences that at most `most` n-grams reach, with the hashes and costs of those."""
+    step = F.floor(F.log2("met") * 8)  # classes of frequency, a few hundred
+    least, held = None, 0
+    for r in sorted(table.groupBy(step.alias("step")).agg(F.count("*").alias("n"), F.min("met").alias("met")).collect(), key=lambda r: -r.step):
+        held += r.n
+        if held > most:
+            break
+        least = r.met
+    if least is None:
+        return 1 << 62, np.zeros(0, np.uint64), np.zeros(0, np.int32)
+    rows = table.where(F.col("met") >= least).select("h", "micro").toArrow()  # at most `most` rows
+    return least, rows["h"].to_numpy().view(np.uint64), rows["micro"].to_numpy()
+
+
 _held: dict[str, Shard] = {}
 
 
-def _shard(root: str, k: int) -> Shard:
-    """A shard from the shared folder; a worker keeps the last two."""
-    path = f"{root}/shard={k}"
-    if path not in _held:
-        fs, at = pafs.FileSystem.from_uri(path) if ":" in path else (pafs.LocalFileSystem(), path)
-        rows = pq.ParquetDataset(at, filesystem=fs, partitioning=None).read(["g", "micro"])
-        while len(_held) > 1:
-            _held.pop(next(iter(_held)))
-        _held[path] = Shard(rows["g"].to_pylist(), rows["micro"].to_numpy())
-    return _held[path]
-
-
-def scored(docs: DataFrame, probability: DataFrame, order: int = ORDER) -> DataFrame:
-    """`(doc_id, lang, n, micro)`: positions and cost in millionths of a nat of every text."""
-    root = f"{shared_dir(docs.sparkSession)}/shards-{uuid.uuid4().hex}"
-    table = stabilise(probability)
-    shards = max(1, -(-table.count() // SHARD_ROWS))
-    table.select("g", F.round(-F.log("p") * 1e6).cast("int").alias("micro"),
-                 F.pmod(F.xxhash64("g"), F.lit(shards)).alias("shard")).repartition(shards, "shard").write.partitionBy(
-        "shard").parquet(root)
-
-    def score(batch):
-        texts = batch.column("text").to_pylist()
-        cost, n = np.zeros(len(texts), np.int64), np.array([len(t or "") + 1 for t in texts], np.int64)
-        for k in range(shards):
-            try:
-                shard = _shard(root, k)
-            except FileNotFoundError:  # no n-gram fell there
-                continue
+def _shard(sent) -> Shard:
+    """The table of a broadcast; a worker keeps the last one."""
+    if sent.id not in _held:
+        _held.clear()
+        h, micro = sent.value
+        _held[sent.id] = Shard(h, micro + 1)  # 0 is for what is not there
+    return _held[sent.id]
+
+
+SCORED = "row long, doc_id long, lang string, n long, micro long, grams array<long>, times array<int>"
+
+
+class _Sent:
+    """A broadcast and a name for it that workers can tell it by."""
+
+    def __init__(self, broadcast):
+        self.broadcast, self.id = broadcast, uuid.uuid4().hex
+
+    @property
+    def value(self):
+        return self.broadcast.value
+
+
+def scored(docs: DataFrame, probability: DataFrame, order: int = ORDER, most: int = COMMON) -> DataFrame:
+    """`(doc_id, lang, n, micro)`: positions and cost in millionths of a nat of every text. `probability` is (g, p, met)."""
+    table = stabilise(_hash_of(probability, order))
+    least, h, micro = _common(table, most)
+    sent = _Sent(docs.sparkSession.sparkContext.broadcast((h, micro)))
+
+    def score(batches):
+        row = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
             for a, b in _chunks(texts):
                 at, starts = points(texts[a:b], order)
-                each = np.append(shard.look_up(hashed(at, order)), np.zeros(order - 1, np.int32)).astype(np.int64)
+                h = hashed(at, order)
+                value = _shard(sent).look_up(h)
+                whole = np.ones(len(h), bool)
                 for j in range(1, order):  # windows over the seam of two texts
-                    each[starts[1:] - j] = 0
-                cost[a:b] += np.add.reduceat(each, starts[:-1])
-        return pa.record_batch([batch.column("doc_id"), batch.column("lang"), pa.array(n), pa.array(cost)],
-                               ["doc_id", "lang", "n", "micro"])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
-    return arrow_map(rows, score, "doc_id long, lang string, n long, micro long")
+                    whole[starts[1:-1] - j] = False
+                cost = np.append(np.where(whole & (value > 0), value - 1, 0).astype(np.int64), np.zeros(order - 1, np.int64))
+                rest = np.flatnonzero(whole & (value == 0))
+                doc = np.searchsorted(starts, rest, "right") - 1
+                by = np.lexsort((h[rest], doc))
+                gram, doc = h[rest][by].view(np.int64), doc[by]
+                fresh = np.ones(len(gram), bool)
+                fresh[1:] = (gram[1:] != gram[:-1]) | (doc[1:] != doc[:-1])
+                first = np.flatnonzero(fresh)
+                times = np.diff(np.append(first, len(gram))).astype(np.int32)
+                gram, doc = gram[first], doc[first]
+                begin = np.searchsorted(doc, np.arange(b - a + 1))
+                sums = np.add.reduceat(cost, starts[:-1]).tolist()
+                out = []
+                for i in range(b - a):
+                    for piece in range(begin[i], max(begin[i + 1], begin[i] + 1), PIECE):
+                        upto = min(piece + PIECE, begin[i + 1])
+                        lead = piece == begin[i]
+                        out.append((row, batch.column("doc_id")[a + i].as_py(), batch.column("lang")[a + i].as_py(),
+                                    len(texts[a + i] or "") + 1 if lead else None, sums[i] if lead else None, upto - piece, piece))
+                    row += 1
+                columns = list(zip(*out, strict=True))
+                sizes = pa.array(np.concatenate([[0], np.cumsum(columns[5])]), pa.int32())
+                yield pa.record_batch([
+                    pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.string()), pa.array(columns[3], pa.int64()),
+                    pa.array(columns[4], pa.int64()), pa.ListArray.from_arrays(sizes, pa.array(gram)), pa.ListArray.from_arrays(sizes, pa.array(times))],
+                    [part.split()[0] for part in SCORED.split(", ")])
+
+    rows = stabilise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text").mapInArrow(score, SCORED))
+    besides = rows.where(F.size("grams") > 0).select("row", F.inline(F.arrays_zip("grams", "times"))).select("row", F.col("grams").alias("h"), "times")
+    # Every n-gram of the corpus has a probability; one without would be lost silently, so it stops the job.
+    micro = F.coalesce("micro", F.raise_error(F.lit("an n-gram of a document has no probability")).cast("int"))
+    joined = besides.join(table.where(F.col("met") < least).select("h", "micro"), "h", "left")
+    sums = joined.groupBy("row").agg(F.sum(F.col("times").cast("long") * micro).alias("more"))
+    return rows.where("n is not null").join(sums, "row", "left").select(
+        "doc_id", "lang", "n", (F.col("micro") + F.coalesce("more", F.lit(0))).alias("micro"))
 
 
 def classified(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slack: float = SLACK,
@@ -283,7 +343,7 @@ def classified(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, s
     # Only texts that may be trusted leave the map side; the join decides.
     near = arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), pick, "doc_id long, text string")
     trained = stabilise(counted(near.join(training, "doc_id", "left_semi"), order))
-    everything = stabilise(counted(docs, order).select("g"))
+    everything = stabilise(counted(docs, order).withColumnRenamed("c", "met"))
     scores = stabilise(scored(docs, probabilities(trained, everything, order), order))
     blank = F.col("n") <= 1
     milli = F.floor(F.col("micro") / F.col("n") / 1000).cast("long")
