@@ -39,11 +39,11 @@ from .common import arrow_map, sliced
 #: What is no part of a term becomes a blank, A-Z become a-z, all other bytes stay.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 #: Terms and documents that a task indexes together: they bound a block.
-BLOCK_TERMS, BLOCK_DOCS = 1 << 20, 1 << 13
+BLOCK_TERMS, BLOCK_DOCS = 1 << 19, 1 << 13
 #: Terms and items that are searched at once: they bound what is broadcast, and a task's rows of scores.
 BATCH_TERMS, BATCH_ITEMS = 1 << 18, 256
 #: Scores that a task holds, and single additions that it makes, at once.
-CELLS = 1 << 22
+CELLS = 1 << 19
 #: Share of the documents that the first wave visits; each later wave visits so many times more.
 FIRST_SHARE, WAVE_GROWTH = 1 / 32, 8
 
