@@ -102,14 +102,14 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80, scheme:
         (F.col("doc_id").isNull() | (F.col("id") == component)).alias("kept"))
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """`docs` without the rows whose doc_id is in `ids` (doc_id, distinct). Only texts that may be among them are shuffled."""
-    wanted = id_filter(ids, "doc_id")
+def without(docs: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFrame:
+    """`docs` without the rows whose `column` is in `ids` (distinct). Only texts that may be among them are shuffled."""
+    wanted = id_filter(ids, column)
 
     def side(wanted_ones: bool) -> DataFrame:
         def pick(batch):
-            return batch.filter(pa.array(may_contain(wanted.value, batch.column("doc_id")) == wanted_ones))
+            return batch.filter(pa.array(may_contain(wanted.value, batch.column(column)) == wanted_ones))
 
         return arrow_map(docs, pick, docs.schema)
 
-    return side(False).unionByName(side(True).join(ids, "doc_id", "left_anti"))
+    return side(False).unionByName(side(True).join(ids, column, "left_anti"))
