@@ -17,15 +17,16 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose perplexity is within the limit of their language. Needs unique doc_ids or equal decisions for a doc_id's rows."""
-    scores = quality_lm.classified(docs, table(spark, sf_dir, "labels"))
-    rejected = scores.where(~F.col("keep")).select("doc_id").distinct()
-    return _without(docs, rejected)
+    """Documents whose perplexity is within the limit of their language. All rows of a doc_id go if one is rejected; without one the text decides."""
+    scores = quality_lm.classified(docs.withColumn("doc_id", minhash_dedup.node_id()), table(spark, sf_dir, "labels"))
+    return _without(docs, scores.where(~F.col("keep")).select("doc_id").distinct())
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: word shingles of five, similarity 0.8."""
-    found = minhash_dedup.near_duplicates(docs, width=5)
+    """One document of each group of near copies: word shingles of five, similarity 0.8. Rows without doc_id are documents by their text."""
+    nameless = docs.where("doc_id is null").dropDuplicates(["text"])
+    docs = docs.where("doc_id is not null").unionByName(nameless)
+    found = minhash_dedup.near_duplicates(docs.select(minhash_dedup.node_id().alias("doc_id"), "text"), width=5)
     return _without(docs, found.where(~F.col("kept")).select("doc_id").distinct())
 
 
@@ -44,8 +45,9 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """`docs` without the rejected ids. Texts stay where they are: the ids are bounded by a filter, the rest by a join."""
-    return minhash_dedup.without(docs, rejected)
+    """`docs` without the rejected ids, as `node_id` names them. Texts stay where they are: the ids are bounded by a filter, the rest by a join."""
+    named = docs.withColumn("_node", minhash_dedup.node_id())
+    return minhash_dedup.without(named, rejected.withColumnRenamed("doc_id", "_node"), "_node").drop("_node")
 
 
 STAGES = [("quality", quality), ("near_dedup", near_dedup), ("substring_dedup", substring), ("mixing", mix), ("packing", pack)]
