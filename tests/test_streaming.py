@@ -69,7 +69,23 @@ def test_streaming_detection(spark, sf, landed, tmp_path):
     assert sum(seen) == attacks.count() > 0
     total = flow_stream.session_so_far(spark, str(tmp_path / "log")).first()
     assert (total.flows_analyzed, total.attacks_detected) == (table.count(), attacks.count())
-    assert total.packets == flows.keep_tcp_udp(spark_view(spark, sf, "packets")).count()
+    traffic = flows.keep_tcp_udp(spark_view(spark, sf, "packets"))
+    assert total.packets == traffic.count()
+    # A thousand addresses are within what a sketch counts exactly.
+    assert (total.unique_src_ips, total.unique_dst_ips) == tuple(traffic.agg(F.countDistinct("src_ip"), F.countDistinct("dst_ip")).first())
     wanted = alerts.block_list(expected.withColumns({"ts_us": F.col("start_us")}))
     blocked = flow_stream.blocked_so_far(spark, str(tmp_path / "log"))
     assert {(r.ip, r.blocked_us) for r in blocked.collect()} == {(r.ip, r.blocked_us) for r in wanted.collect()}
+
+
+def test_distinct_addresses_add_up_across_batches(spark):
+    def batch(first, n):
+        return spark.range(first, first + n).selectExpr(
+            "concat('10.0.', id div 256, '.', id % 256) src_ip", "concat('10.9.0.', id % 9) dst_ip", "1 packets", "2 bytes", "'BENIGN' label",
+            "id ts_us", "1 duration_us")
+
+    parts = [alerts.verdict_counts(batch(*b)) for b in ((0, 3000), (1000, 4000), (0, 0), (1000, 4000))]
+    total = alerts.total_verdicts(parts[0].union(parts[1]).union(parts[2]).union(parts[3])).first()
+    assert total.unique_dst_ips == 9 and abs(total.unique_src_ips - 5000) <= 100
+    empty = alerts.total_verdicts(parts[0].limit(0)).first()
+    assert (empty.unique_src_ips, empty.unique_dst_ips, empty.flows_analyzed) == (0, 0, 0)
