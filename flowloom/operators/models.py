@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import random
 import time
+from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
@@ -15,7 +16,7 @@ from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.bounded import pin_small
+from ..functions.bounded import pin_small, stabilise
 from ..functions.columns import c
 from .labels import class_weights
 
@@ -23,20 +24,23 @@ MAX_CLASSES = 1_000
 INPUT = "_input_"
 # The forest that ranks features.
 IMPORTANCE_FOREST = {"numTrees": 100, "maxDepth": 10, "minInstancesPerNode": 50, "seed": 42}
-# Search spaces of our own, (kind, low, high) or a list of choices, in Spark ML terms. Spark's trees end at depth 30; its boosting has no
-# column sampling, leaf limit or L1 and L2 terms, and rounds cost far more than in a single-node library, so there are fewer.
+# Bounds and choices of the tuning search, (kind, low, high) or a list of choices, under Spark ML's parameter names. Spark has
+# no counterpart for: depths above 30 or without end, splits by rows of a node, column sampling per tree, L1 and L2 terms, leaf counts and
+# searched class weights; leaving these out is ours.
 SEARCH_SPACES = {
     "random_forest": {
         "numTrees": ("int", 50, 500), "maxDepth": [10, 20, 30], "minInstancesPerNode": ("int", 1, 10),
         "featureSubsetStrategy": ["sqrt", "log2", "all"], "bootstrap": [True, False]},
     "xgboost": {
-        "maxIter": ("int", 100, 500), "maxDepth": ("int", 3, 20), "stepSize": ("log", 0.001, 0.3),
+        "maxIter": ("int", 100, 5000), "maxDepth": ("int", 3, 20), "stepSize": ("log", 0.001, 0.3),
         "subsamplingRate": ("float", 0.5, 1.0), "minInstancesPerNode": ("int", 1, 10),
         "minInfoGain": ("float", 0.0, 5.0)},
     "lightgbm": {
-        "maxIter": ("int", 100, 500), "maxDepth": ("int", 3, 30), "stepSize": ("log", 0.001, 0.3),
+        "maxIter": ("int", 100, 5000), "maxDepth": ("int", 3, 30), "stepSize": ("log", 0.001, 0.3),
         "subsamplingRate": ("float", 0.5, 1.0), "minInstancesPerNode": ("int", 10, 100)},
 }
+# Boosting goes on for so many rounds at most, and ends after so many without a better loss on the validation rows.
+MOST_ROUNDS, PATIENCE = 500, 20
 # Settings under which one boosted-tree learner plays either library.
 GBT_PRESETS = {
     "xgboost": {"maxIter": 100, "maxDepth": 6, "stepSize": 0.1, "subsamplingRate": 0.8, "maxBins": 64},
@@ -92,6 +96,55 @@ def train(df: DataFrame, features: list[str], label: str, learner, extra: list[s
     return Pipeline(stages=[*input_stages(features, scaler), learner]).fit(training_table(df, features, label, extra))
 
 
+@dataclass(frozen=True)
+class Boosted:
+    """A boosted model, the validation loss after each round that was made, the best round, and the one that ended the search."""
+
+    model: PipelineModel
+    losses: list[float]
+    best_round: int
+    stop_round: int
+
+
+def stopping(losses: list[float], patience: int) -> tuple[int, int | None]:
+    """The best round (from 1) before the first `patience` rounds without a better one, and the round at which these end, if they do."""
+    best = 0
+    for i, x in enumerate(losses):
+        if x < losses[best] or i == 0:
+            best = i
+        elif i - best >= patience:
+            return best + 1, i + 1
+    return best + 1, None
+
+
+def train_boosted(df: DataFrame, features: list[str], label: str, validation: str, preset: str = "xgboost", rounds: int = MOST_ROUNDS,
+                  patience: int = PATIENCE, scaler: dict[str, tuple[float, float]] | None = None, **params) -> Boosted:
+    """Boosting that ends `patience` rounds after the best loss on the rows where `validation` is true.
+
+    A round depends on its number and the rounds before it alone, so a longer fit begins with the rounds of a shorter one:
+    fits of 32, 64, 128, ... rounds are made until the loss has stood for `patience` rounds, and the model has the rounds up to the best one.
+    """
+    table = stabilise(training_table(df, features, label, [validation]))  # the same rows in the same places for every fit
+    stages = input_stages(features, scaler)
+    prepare = PipelineModel(stages=stages)
+    train, held = (prepare.transform(table.where(F.col(validation) == v)).select("features", "label", "weight") for v in (False, True))
+    base = {"weightCol": "weight", "seed": 42, **GBT_PRESETS[preset], **params}
+
+    def fit(n: int):
+        return GBTClassifier(**base | {"maxIter": n}).fit(train)
+
+    made = min(32, rounds)
+    while True:
+        fitted = fit(made)
+        losses = fitted.evaluateEachIteration(held)
+        best, stop = stopping(losses, patience)
+        if stop is not None or made == rounds:
+            break
+        made = min(2 * made, rounds)
+    final = fitted if best == made else fit(best)
+    return Boosted(PipelineModel(stages=[*stages, final]), losses[:stop], best, stop or made)
+
+
 def train_boosted_multiclass(df: DataFrame, features: list[str], label: str, **params) -> PipelineModel:
     """Boosted trees are binary in Spark ML, so several classes become one against the rest."""
     gbt = GBTClassifier(**{"seed": 42, **GBT_PRESETS["xgboost"], **params})

@@ -45,9 +45,23 @@ def test_models_are_trained_on_the_whole_table_with_the_presets(spark, sf, monke
         seen.append({p.name: v for p, v in learner.extractParamMap().items()})
         raise StopIteration
 
+    def boost(df, features, label, validation, preset):
+        assert features == RAW_FEATURES and models.MOST_ROUNDS == 500 and models.PATIENCE == 20
+        seen.append({"preset": preset})
+        raise StopIteration
+
     monkeypatch.setattr(models, "train", fit)
-    for name in ("rf_importance", "train_rf", "score_batch", "train_gbt", "train_gbt_leafwise"):
+    monkeypatch.setattr(models, "train_boosted", boost)
+    for name in ("rf_importance", "train_rf", "train_gbt", "train_gbt_leafwise"):
         with pytest.raises(StopIteration):
             getattr(model_queries, name)(spark, sf)
-    assert [(p["numTrees"], p["maxDepth"]) for p in seen[:3]] == [(100, 10)] * 3
-    assert [(p["maxIter"], p["maxDepth"]) for p in seen[3:]] == [(100, 6), (100, 8)]
+    assert [(p["numTrees"], p["maxDepth"]) for p in seen[:2]] == [(100, 10)] * 2
+    assert [p["preset"] for p in seen[2:]] == ["xgboost", "lightgbm"]
+
+
+def test_scoring_loads_the_stored_forest(spark, sf, monkeypatch):
+    from flowloom.plans import model_queries
+
+    model_queries._stored_forest(spark, sf)
+    monkeypatch.setattr(model_queries, "_train_forest", None)
+    assert model_queries.score_batch(spark, sf).count() == spark.read.parquet(f"{sf}/lineitem.parquet").count()

@@ -1,4 +1,5 @@
 import json
+import random
 import struct
 
 import pytest
@@ -124,6 +125,25 @@ def test_report_and_model_versions(spark, tmp_path):
     assert again.select("prediction").exceptAll(scored.select("prediction")).count() == 0
 
 
+def test_stopping_is_told_by_the_first_standstill():
+    assert models.stopping([5, 4, 3, 3, 3, 2], 2) == (3, 5)
+    assert models.stopping([5, 4, 3, 3, 2, 2], 2) == (5, None)
+    assert models.stopping([1.0], 20) == (1, None) and models.stopping([1, 2, 3], 2) == (1, 3)
+
+
+def test_boosting_ends_after_patience_and_keeps_the_best_rounds(spark):
+    rng = random.Random(1)
+    rows = [(x := rng.random(), rng.random(), int((x > 0.5) != (rng.random() < 0.25)), i % 4 == 0) for i in range(600)]
+    data = spark.createDataFrame(rows, "a double, b double, y int, held boolean")
+    found = models.train_boosted(data, ["a", "b"], "y", "held", rounds=40, patience=3, stepSize=0.5, maxDepth=4)
+    assert found.stop_round == found.best_round + 3 <= 40 and len(found.losses) == found.stop_round
+    assert found.losses[found.best_round - 1] == min(found.losses)
+    assert len(found.model.stages[-1].trees) == found.best_round
+    assert models.score(data, found.model).where("prediction = y").count() > 350
+    few = models.train_boosted(data, ["a", "b"], "y", "held", rounds=2, patience=3, maxDepth=2)
+    assert few.best_round <= few.stop_round == 2
+
+
 def test_multiclass_boosting(spark):
     data = spark.createDataFrame([(float(i), float(i % 5), i // 40) for i in range(120)], "a double, b double, y int")
     model = models.train_boosted_multiclass(data, ["a", "b"], "y", maxIter=2, maxDepth=2)
