@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +46,18 @@ def sliced(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBa
             yield batch.slice(at, step)
 
 
+@contextmanager
+def rows_a_batch(spark: SparkSession, rows: int):
+    """Jobs that run inside hand Python so many rows at once: for tables whose rows are large. The session's setting comes back."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType,
               slice_bytes: int | None = None) -> DataFrame:
     """Apply a function of one Arrow batch to every batch; batches it returns None for are left out.

@@ -34,7 +34,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.bounded import pin_small, stabilise
-from .common import arrow_map, sliced
+from .common import arrow_map, rows_a_batch, sliced
 
 #: What is no part of a term becomes a blank, A-Z become a-z, all other bytes stay.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -44,6 +44,8 @@ BLOCK_TERMS, BLOCK_DOCS = 1 << 19, 1 << 13
 BATCH_TERMS, BATCH_ITEMS = 1 << 18, 256
 #: Scores that a task holds, and single additions that it makes, at once.
 CELLS = 1 << 19
+#: Blocks that a task is handed at once.
+BLOCKS_A_BATCH = 64
 #: Share of the documents that the first wave visits; each later wave visits so many times more.
 FIRST_SHARE, WAVE_GROWTH = 1 / 32, 8
 
@@ -248,7 +250,8 @@ def _batch(index: Index, rows: list, k: int) -> DataFrame:
     """`(item, rank, doc_id, score)` of a batch of items with numbers below BATCH_ITEMS; `rows` are their terms (item, term, c)."""
     spark = index.rows.sparkSession
     asked = Asked(rows)
-    seen = stabilise(_seen(index, spark.sparkContext.broadcast(asked)))
+    with rows_a_batch(spark, BLOCKS_A_BATCH):
+        seen = stabilise(_seen(index, spark.sparkContext.broadcast(asked)))
     weights = {asked.terms[r.term]: r.w for r in seen.groupBy("term").agg(F.sum("n").alias("df")).select("term", F.floor(
         1000 * F.log((2.0 * index.n_docs + 2) / (2 * F.col("df") + 1).cast("double"))).alias("w")).collect()}  # a row a term of the batch
     asked = Asked(rows, weights)
@@ -281,7 +284,8 @@ def _batch(index: Index, rows: list, k: int) -> DataFrame:
             "m", F.col("x.item").alias("visitors"), F.col("x.least").alias("least"))))  # a row a stratum, at most BATCH_ITEMS in it
         if found != []:
             hits = _visited(index, sent, alive, k)
-            best = stabilise(_top(hits if best is None else best.select(*hits.columns).unionByName(hits), k))
+            with rows_a_batch(spark, BLOCKS_A_BATCH):
+                best = stabilise(_top(hits if best is None else best.select(*hits.columns).unionByName(hits), k))
         if high >= index.n_docs:
             return best if best is not None else spark.createDataFrame([], "item long, doc_id long, score long, rank int")
         low, share = high, share * WAVE_GROWTH
