@@ -45,7 +45,8 @@ QUANTILE = 0.99
 SLACK = 2.0
 #: Every fifth trusted document is not trained on and sets the thresholds.
 HELD_OUT = 5
-CHUNK = 2_000_000
+#: Characters that a task takes apart at once, new n-grams that it merges at once, and n-grams that it holds.
+CHUNK, FRESH, HELD = 500_000, 1_000_000, 2_000_000
 
 
 def points(texts: list[str | None], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
@@ -100,9 +101,9 @@ class Counter:
             cut = starts[1:-1] - k
             ends[cut[(cut >= 0) & (cut < n)]] = False
         self.fresh.append(np.unique(keys[ends], return_counts=True))
-        if sum(len(k) for k, _ in self.fresh) > 2_000_000:
+        if sum(len(k) for k, _ in self.fresh) > FRESH:
             self.merge()
-            if len(self.keys) > 3_000_000:
+            if len(self.keys) > HELD:
                 yield from self.flush()
 
     def merge(self) -> None:
