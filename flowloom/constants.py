@@ -93,7 +93,12 @@ CALIBRATION_CATEGORIES = {
         "Fwd PSH Flags", "Bwd PSH Flags", "Fwd URG Flags", "Bwd URG Flags",
         "CWE Flag Count", "ECE Flag Count", "Subflow Fwd Packets", "Subflow Bwd Packets", "act_data_pkt_fwd",
     ],
-    "size": [f for f in VALIDATION_CATEGORIES["size"] if f != "Average Packet Size"] + [
+    "size": [
+        "Total Length of Fwd Packets", "Total Length of Bwd Packets",
+        "Fwd Packet Length Max", "Fwd Packet Length Mean", "Fwd Packet Length Std",
+        "Bwd Packet Length Max", "Bwd Packet Length Mean", "Bwd Packet Length Std",
+        "Packet Length Mean", "Packet Length Std", "Packet Length Variance",
+        "Avg Fwd Segment Size", "Avg Bwd Segment Size",
         "Fwd Packet Length Min", "Bwd Packet Length Min", "Max Packet Length", "Min Packet Length",
         "Fwd Header Length", "Bwd Header Length", "Fwd Avg Bytes/Bulk", "Fwd Avg Packets/Bulk",
         "Bwd Avg Bytes/Bulk", "Bwd Avg Packets/Bulk", "Subflow Fwd Bytes", "Subflow Bwd Bytes",

@@ -298,13 +298,13 @@ def flow_counters(segmented: DataFrame, rules: FlowRules = FlowRules()) -> DataF
 # --------------------------------------------------------------------------- idle sessions
 
 def idle_sessions(packets: DataFrame, timeout: int = 60 * SECOND) -> DataFrame:
-    """Sessions of a key separated by gaps above `timeout` (a gap equal to it does not split).
+    """TCP and UDP sessions of a key separated by gaps above `timeout` (a gap equal to it does not split).
 
     Packets closer than the timeout always share a session, so each key is first
     reduced to one row per timeout-wide bucket on the map side; only those rows,
     whose number depends on the covered time and not on the packets, are windowed.
     """
-    buckets = with_flow_key(packets).groupBy("flow_key", (F.col("ts_us") - F.pmod("ts_us", F.lit(timeout))).alias("bucket")).agg(
+    buckets = with_flow_key(keep_tcp_udp(packets)).groupBy("flow_key", (F.col("ts_us") - F.pmod("ts_us", F.lit(timeout))).alias("bucket")).agg(
         F.min("ts_us").alias("first_us"), F.max("ts_us").alias("last_us"),
         F.count("*").alias("n"), F.sum(F.col("packet_len").cast("long")).alias("b"),
     )

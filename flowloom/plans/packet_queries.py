@@ -7,7 +7,8 @@ import dataclasses
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..constants import FEATURES, FLAG_FEATURES, TCP_FLAG_BITS
+from ..constants import FEATURES, FLAG_FEATURES, TCP_FLAG_BITS, TOLERANCES, VALIDATION_CATEGORIES
+from ..functions.bounded import stabilise
 from ..functions.columns import c
 from ..operators import flow_features as ff
 from ..operators import flows, quality
@@ -99,7 +100,7 @@ def flow_segments_hot(spark, sf_dir):
 
 @query("idle_sessions", f"""with {sql_view('packets')}, {KEYED},
 marked as (select *, case when ts_us - lag(ts_us) over (partition by flow_key order by ts_us, packet_id)
-  > {RULES.idle_timeout} then 1 else 0 end as splits from keyed),
+  > {RULES.idle_timeout} then 1 else 0 end as splits from keyed where protocol in (6, 17)),
 numbered as (select *, sum(splits) over (partition by flow_key order by ts_us, packet_id) as session_no from marked)
 select flow_key, cast(session_no as bigint) as session_no, min(ts_us) as start_us, max(ts_us) as last_us,
   count(*) as packets, cast(sum(packet_len) as bigint) as bytes from numbered group by flow_key, session_no""")
@@ -286,35 +287,31 @@ def feat_sanity(spark, sf_dir):
 
 # --------------------------------------------------------------------------- extracted against labelled flows
 
-MATCH = ["Total Length of Fwd Packets", "Total Fwd Packets", "Flow Duration"]
-
-
-@query("flow_match_compare", FLOWS + """, ext as (
-  select flow_key, flow_pos, min(ts_us) as start_us, count(*) as packets,
-    cast(coalesce(sum(packet_len) filter (where is_forward), 0) as double) as a,
-    cast(count(*) filter (where is_forward) as double) as b,
-    cast(greatest(max(ts_us) - min(ts_us), 1) as double) as c
-  from pk group by flow_key, flow_pos),
-lab as (select flow_key, flow_pos, start_us + 1000000 as start_us,
-  a * (1 + (packets % 5) / 20.0::double) as a, b * (1 + (packets % 5) / 20.0::double) as b,
-  c * (1 + (packets % 5) / 20.0::double) as c from ext),
-paired as (select e.flow_key, e.flow_pos, l.flow_pos as labelled_pos, e.a, e.b, e.c, l.a as la, l.b as lb, l.c as lc,
-    row_number() over (partition by e.flow_key, e.flow_pos
-      order by abs(l.start_us - e.start_us), l.start_us, l.flow_pos) as n
-  from ext e join lab l on l.flow_key = e.flow_key),
-long as (select flow_key, flow_pos, labelled_pos,
-    unnest(['Total Length of Fwd Packets', 'Total Fwd Packets', 'Flow Duration']) as feature,
-    unnest([la, lb, lc]) as expected, unnest([a, b, c]) as actual, unnest([0.15, 0.05, 0.30]::double[]) as tolerance
-  from paired where n = 1),
-diff as (select *, case when expected <> 0 then abs(actual - expected) / abs(expected)
-    when actual <> 0 then 1.0 else 0.0 end as d from long)
+_DEVIATIONS = {n: 6 if "Length" in n else MICRO_DIGITS for n in FEATURES if n.endswith(("Std", "Variance"))}
+_TOLERANCES = ", ".join(f"('{n}', {TOLERANCES[k]}::double)" for k, names in VALIDATION_CATEGORIES.items() for n in names)
+
+
+@query("flow_match_compare", f"""{TIMED}, wide as (
+  select flow_key, flow_pos, min(ts_us) as start_us, 1 + (count(*) % 5) / 20.0::double as growth,
+    {', '.join(ALL_SELECTS + _PERIOD_SELECTS)} {_WITH_ACTIVE}),
+ranked as (select e.flow_key, e.flow_pos, l.flow_pos as labelled_pos, row_number() over (partition by e.flow_key, e.flow_pos
+    order by abs(l.start_us + 1000000 - e.start_us), l.start_us, l.flow_pos) as n
+  from wide e join wide l on l.flow_key = e.flow_key),
+long as (select r.flow_key, r.flow_pos, r.labelled_pos, unnest([{', '.join(f"'{n}'" for n in FEATURES)}]) as feature,
+    unnest([{', '.join(f'l."{n}" * l.growth' for n in FEATURES)}]) as expected, unnest([{', '.join(f'e."{n}"' for n in FEATURES)}]) as actual
+  from ranked r join wide e on e.flow_key = r.flow_key and e.flow_pos = r.flow_pos
+  join wide l on l.flow_key = r.flow_key and l.flow_pos = r.labelled_pos where r.n = 1),
+tolerances as (select * from (values {_TOLERANCES}) x(feature, tolerance)),
+diff as (select long.*, coalesce(tolerance, 0.20::double) as tolerance, case when expected <> 0 then abs(actual - expected) / abs(expected)
+    when actual <> 0 then 1.0 else 0.0 end as d from long left join tolerances using (feature) where expected is not null and actual is not null)
 select flow_key, flow_pos, labelled_pos, feature, round(d, 6) as relative_diff, d <= tolerance as passed from diff""")
 def flow_match_compare(spark, sf_dir):
-    extracted = ff.flow_features(packets(spark, sf_dir), RULES, MATCH + ["Total Backward Packets"]).withColumnRenamed(
-        "flow_pos", "id")
+    """Every feature of every flow against that of the nearest labelled flow; the features are computed once."""
+    features = ff.flow_features(packets(spark, sf_dir), RULES, FEATURES)
+    extracted = stabilise(features.withColumns({n: F.round(c(n), d) for n, d in _DEVIATIONS.items()}).withColumnRenamed("flow_pos", "id"))
     growth = 1 + F.pmod(c("Total Fwd Packets") + c("Total Backward Packets"), F.lit(5)) / 20
-    labelled = extracted.withColumns({"start_us": F.col("start_us") + flows.SECOND, **{n: c(n) * growth for n in MATCH}})
-    out = quality.compare_matched_flows(extracted, labelled, MATCH)
+    labelled = extracted.withColumns({"start_us": F.col("start_us") + flows.SECOND, **{n: c(n) * growth for n in FEATURES}})
+    out = quality.compare_matched_flows(extracted, labelled, FEATURES)
     return out.select(
         "flow_key", F.col("id").alias("flow_pos"), F.col("labelled_id").alias("labelled_pos"), "feature",
         F.round("relative_diff", 6).alias("relative_diff"), "passed")

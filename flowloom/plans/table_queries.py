@@ -355,7 +355,7 @@ def tolerance_lookup(df):
     return rounded(quality.calibration_tolerance(quality.feature_means(_cleaned(df), RAW_FEATURES)), ["mean"])
 
 
-MEANS = ["Flow Duration", "Flow Bytes/s", "Flow IAT Mean", "Fwd IAT Mean", "Fwd Avg Bytes/Bulk"]
+MEANS = RAW_FEATURES
 _JUDGED = ", pairs as (" + " union all ".join(
     f"""select '{n}' as feature, avg({q(n)}) filter (where "Label" = 'PortScan' and not {is_inf(n)}) as expected,
   avg({q(n)} * 1.2) filter (where "Label" <> 'PortScan' and not {is_inf(n)}) as actual from raw_flows""" for n in MEANS) + """),
