@@ -137,17 +137,18 @@ def taken(docs: DataFrame, **options) -> DataFrame:
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The documents that the mix holds, one row for each copy, with their columns, `_shard`, `_copy` and `_order`.
+    """The documents that the mix holds, one row for each copy, with their columns, `_shard`, `_copy` and `_order`; columns so called are replaced.
 
     Rows come shard after shard, shuffled inside by `_order`, a seeded hash. A range of (shard, hash) is a task's share, so
     a large shard is spread; files that are read again have no order of their own, but the two columns restore it.
     """
     seed = options.get("seed", 7)
+    docs = docs.drop("_shard", "_copy", "_order")
     _, draws = drawn(docs, **options)
     block = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(BLOCKS)).cast("int")
-    marked = docs.withColumn("_block", block)
-    copies = draws.select(F.col("source").alias("_source"), F.col("block").alias("_b"), "copy", "shard")
-    out = marked.join(copies, marked["source"].eqNullSafe(F.col("_source")) & (F.col("_block") == F.col("_b")))
-    shuffled = F.xxhash64(F.lit(seed + 3), "shard", marked["doc_id"], "copy", marked["text"])
-    return out.select(*[marked[c] for c in docs.columns], F.col("shard").alias("_shard"), F.col("copy").alias("_copy"),
-                      shuffled.alias("_order")).orderBy("_shard", "_order")
+    # The documents' columns travel as one, so none of them can be taken for one of the draws'.
+    whole = docs.select(F.col("source").cast("string").alias("d_source"), block.alias("d_block"), F.struct(*docs.columns).alias("doc"))
+    copies = draws.select(F.col("source").alias("c_source"), F.col("block").alias("c_block"), F.col("copy").alias("c_copy"), F.col("shard").alias("c_shard"))
+    out = whole.join(copies, F.col("d_source").eqNullSafe(F.col("c_source")) & (F.col("d_block") == F.col("c_block")))
+    shuffled = F.xxhash64(F.lit(seed + 3), "c_shard", "doc.doc_id", "c_copy", "doc.text")
+    return out.select("doc.*", F.col("c_shard").alias("_shard"), F.col("c_copy").alias("_copy"), shuffled.alias("_order")).orderBy("_shard", "_order")

@@ -336,6 +336,8 @@ def test_mix_is_shuffled_inside_its_shards(spark, sf, none):
     by_shard = sorted((s, r.doc_id) for r in mixing.taken(docs, shards=4).collect() for s in r.shards)
     assert by_shard == sorted((r["_shard"], r.doc_id) for r in rows)
     assert mixing.mixed(none).count() == 0
+    clashing = docs.selectExpr("*", "1 shard", "'x' copy", "2 block", "3 _order", "4 order", "5 `rank`")
+    assert [(r.doc_id, r.shard, r.copy, r["_shard"]) for r in mixing.mixed(clashing, shards=4).collect()] == [(r.doc_id, 1, "x", r["_shard"]) for r in rows]
     stage = corpus_pipeline.mix(spark, docs, sf)
     assert stage.columns == [*docs.columns, "_shard", "_order"]
     assert [r["_order"] for r in stage.collect()] == sorted(r["_order"] for r in stage.collect())
