@@ -37,7 +37,7 @@ ORDER = 5
 #: Padding before a text, and the sign after it.
 BEGIN, END = 2, 3
 #: The most frequent n-grams, which every task holds: so many at most.
-COMMON = 1 << 20
+COMMON = 1 << 19
 #: Hashes in one row of what a document has besides.
 PIECE = 1 << 16
 QUANTILE = 0.99
@@ -46,7 +46,7 @@ SLACK = 2.0
 #: Every fifth trusted document is not trained on and sets the thresholds.
 HELD_OUT = 5
 #: Characters that a task takes apart at once, new n-grams that it merges at once, and n-grams that it holds.
-CHUNK, FRESH, HELD = 500_000, 1_000_000, 2_000_000
+CHUNK, FRESH, HELD = 500_000, 500_000, 1_000_000
 
 
 def points(texts: list[str | None], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
