@@ -47,6 +47,16 @@ GBT_PRESETS = {
     "lightgbm": {"maxIter": 100, "maxDepth": 8, "stepSize": 0.1, "subsamplingRate": 0.8, "minInstancesPerNode": 20,
                  "maxBins": 128},
 }
+# Names under which tuning files keep parameters, and Spark ML's. `None` as a depth or a share of features means no limit.
+TUNED_NAMES = {
+    "random_forest": {"n_estimators": "numTrees", "max_depth": "maxDepth", "min_samples_leaf": "minInstancesPerNode",
+                      "max_features": "featureSubsetStrategy", "bootstrap": "bootstrap"},
+    "xgboost": {"n_estimators": "maxIter", "max_depth": "maxDepth", "learning_rate": "stepSize", "subsample": "subsamplingRate",
+                "min_child_weight": "minInstancesPerNode", "gamma": "minInfoGain"},
+    "lightgbm": {"n_estimators": "maxIter", "max_depth": "maxDepth", "learning_rate": "stepSize", "subsample": "subsamplingRate",
+                 "min_child_samples": "minInstancesPerNode"},
+}
+DEEPEST = 30  # Spark's trees end there
 F2_ON_ATTACK = dict(metricName="fMeasureByLabel", metricLabel=1.0, beta=2.0)
 
 
@@ -160,6 +170,29 @@ def forest_importance(df: DataFrame, features: list[str], label: str, **params)
         list(zip(features, values)), "feature string, importance double").orderBy(F.desc("importance"), "feature")
 
 
+def tuned_learner(model_type: str, best_params: dict):
+    """The learner of a tuning run, and the names of its parameters that Spark has no counterpart for."""
+    names = TUNED_NAMES[model_type]
+    learner = random_forest() if model_type == "random_forest" else boosted_trees(model_type)
+    known = {}
+    for name, value in best_params.items():
+        if name not in names:
+            continue
+        target = names[name]
+        if target == "featureSubsetStrategy":
+            known[target] = "all" if value in (None, "None") else str(value)
+        elif target == "bootstrap":
+            known[target] = value if isinstance(value, bool) else str(value).lower() == "true"
+        elif target == "maxDepth":
+            known[target] = DEEPEST if value in (None, "None") or int(value) < 0 else min(int(value), DEEPEST)
+        elif target in ("stepSize", "subsamplingRate", "minInfoGain"):
+            known[target] = float(value)
+        else:
+            known[target] = int(float(value))
+    learner.setParams(**known)
+    return learner, sorted(set(best_params) - set(names))
+
+
 def draw_params(learner, space: dict, draws: int, seed: int = 42) -> list[dict]:
     """Seeded random parameter maps from a search space."""
     rng = random.Random(seed)

@@ -125,6 +125,17 @@ def test_report_and_model_versions(spark, tmp_path):
     assert again.select("prediction").exceptAll(scored.select("prediction")).count() == 0
 
 
+def test_a_tuning_run_becomes_a_learner(spark):
+    forest, rest = models.tuned_learner("random_forest", {"n_estimators": 80, "max_depth": None, "min_samples_leaf": "3", "max_features": None,
+                                                          "bootstrap": "True", "min_samples_split": 5, "class_weight": "balanced"})
+    assert (forest.getNumTrees(), forest.getMaxDepth(), forest.getMinInstancesPerNode()) == (80, 30, 3)
+    assert forest.getFeatureSubsetStrategy() == "all" and forest.getBootstrap() and forest.getWeightCol() == "weight"
+    assert rest == ["class_weight", "min_samples_split"]
+    boosted, rest = models.tuned_learner("lightgbm", {"n_estimators": "120", "max_depth": -1, "learning_rate": "0.05", "subsample": 0.7, "num_leaves": 40})
+    assert (boosted.getMaxIter(), boosted.getMaxDepth(), boosted.getStepSize(), boosted.getSubsamplingRate()) == (120, 30, 0.05, 0.7)
+    assert rest == ["num_leaves"]
+
+
 def test_stopping_is_told_by_the_first_standstill():
     assert models.stopping([5, 4, 3, 3, 3, 2], 2) == (3, 5)
     assert models.stopping([5, 4, 3, 3, 2, 2], 2) == (5, None)
