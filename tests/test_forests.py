@@ -42,6 +42,16 @@ def test_groups_give_the_tree_of_their_rows(repeated):
     assert len(grouped.stages) > len(rows.stages) and set(a) == set(b)
 
 
+def test_rows_of_equal_bins_are_scored_once(repeated, monkeypatch):
+    model = models.train(repeated, ["a", "b"], "y", models.random_forest(numTrees=6, maxDepth=3))
+    seen, rows = [], models._scored_rows
+    plain = rows(repeated, model)
+    monkeypatch.setattr(models, "_scored_rows", lambda df, m: seen.append(df.count()) or rows(df, m))
+    scored = models.score(repeated, model)
+    assert seen == [16] and scored.columns == plain.columns
+    assert scored.count() == 4000 and scored.exceptAll(plain).count() == 0
+
+
 def test_rows_that_hardly_repeat_are_fitted_as_they_are(spark):
     data = spark.range(300).selectExpr("cast(id as double) as a", "rand(1) as b", "cast(id % 2 as int) as y")
     model = models.train(data, ["a", "b"], "y", models.random_forest(numTrees=2, maxDepth=2))
