@@ -71,3 +71,11 @@ def test_drawn_counts_are_poisson(mean):
     rng = np.random.default_rng(1)
     x = forests.poisson(np.full(100_000, float(mean)), rng.random(100_000), rng.random(100_000))
     assert abs(x.mean() - mean) < 0.02 * mean and abs(x.var() - mean) < 0.04 * mean and (x == np.rint(x)).all()
+
+
+def test_boosting_makes_no_more_rounds_than_it_needs_to_stop(spark, monkeypatch):
+    made, fit = [], models.GBTClassifier.fit
+    monkeypatch.setattr(models.GBTClassifier, "fit", lambda self, data, params=None: made.append(self.getMaxIter()) or fit(self, data, params))
+    data = spark.range(400).selectExpr("rand(1) as a", "rand(2) as b", "cast(rand(3) > 0.5 as int) as y", "id % 2 = 0 as held")
+    found = models.train_boosted(data, ["a", "b"], "y", "held", rounds=40, patience=3, maxDepth=2)
+    assert made[0] == 4 and found.stop_round == found.best_round + 3
