@@ -14,7 +14,8 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,35 +24,90 @@ from ..functions.ranks import with_position
 from . import flows
 
 FAN_IN = 512
+#: Packets that a task summarises at once.
+AT_ONCE = 200_000
 KEYS = ["flow_key", "chunk"]
 
 
-def next_starts(ts: np.ndarray, closes: np.ndarray, rules: flows.FlowRules) -> np.ndarray:
-    """For each position of a sorted packet run, where the flow after the one beginning there begins."""
+def next_starts(ts: np.ndarray, closes: np.ndarray, rules: flows.FlowRules, ends: np.ndarray | None = None,
+                timed: np.ndarray | None = None) -> np.ndarray:
+    """For each position of sorted packet runs, where the flow after the one beginning there begins.
+
+    `ends` gives the end of each position's run (by default all are one run); runs lie one after the other. Packets
+    where `timed` is false have no time: they come first in a run and no gap or limit of time holds for them.
+    """
     n = len(ts)
     at = np.arange(n)
-    last = np.minimum(at + rules.max_packets - 1, n)
-    last = np.minimum(last, np.searchsorted(ts, ts + rules.active_timeout, side="right"))
-    flagged = np.minimum.accumulate(np.where(closes, at, n)[::-1])[::-1]
+    ends = np.full(n, n) if ends is None else ends
+    timed = np.ones(n, bool) if timed is None else timed
+    last = np.minimum(at + rules.max_packets - 1, ends)
+    # How many packets lie up to each limit: packets and limits in one order, packets first where they are equal.
+    lowest, highest = np.iinfo(np.int64).min, np.iinfo(np.int64).max
+    spots = np.concatenate([np.where(timed, ts, lowest), np.where(timed, ts + rules.active_timeout, highest)])
+    order = np.lexsort((np.repeat([0, 1], n), spots, np.tile(ends, 2)))
+    within = np.empty(2 * n, np.int64)
+    within[order] = np.cumsum(order < n)
+    last = np.minimum(last, within[n:])
+    flagged = np.minimum(np.minimum.accumulate(np.where(closes, at, n)[::-1])[::-1], ends)
     last = np.minimum(last, np.maximum(flagged, at + rules.min_closing_packets - 1))
-    gap_after = np.append(np.diff(ts) > rules.idle_timeout, True)
+    gap_after = np.append((np.diff(ts) > rules.idle_timeout) & timed[:-1], True) | (at + 1 == ends)
     next_gap = np.minimum.accumulate(np.where(gap_after, at + 1, n)[::-1])[::-1]
-    return np.minimum(np.minimum(last + 1, next_gap), n)
-
-
-def _exit_table(rules: flows.FlowRules, chunk_packets: int):
-    def exits(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos", ignore_index=True)
-        size = min(chunk_packets, len(pdf))
-        jump = next_starts(pdf.ts_us.to_numpy(), pdf.closes.to_numpy(), rules)
-        # Pointer doubling; where a flow begins in the next chunk, the walk stands still.
-        jump = np.append(np.where(np.arange(len(jump)) < size, jump, np.arange(len(jump))), len(jump))
-        entries = min(size, rules.max_packets)
-        while (jump[:entries] < size).any():
-            jump = jump[jump]
-        return pd.DataFrame({
-            "flow_key": [pdf.flow_key[0]], "chunk": [pdf.chunk[0]], "exits": [(jump[:entries] - size).tolist()],
-        })
+    return np.minimum(np.minimum(last + 1, next_gap), ends)
+
+
+def _chunk_starts(packets: pa.Table) -> np.ndarray:
+    fresh = np.ones(packets.num_rows, bool)
+    key, chunk = packets.column("flow_key"), packets.column("chunk").to_numpy()
+    fresh[1:] = (chunk[1:] != chunk[:-1]) | pc.not_equal(key.slice(1), key.slice(0, len(key) - 1)).to_numpy()
+    return np.flatnonzero(fresh)
+
+
+def _exits_of(packets: pa.Table, starts: np.ndarray, rules: flows.FlowRules, chunk_packets: int) -> pa.RecordBatch:
+    """The exit tables of whole chunks that lie one after the other, all at once."""
+    n = packets.num_rows
+    lengths = np.diff(np.append(starts, n))
+    number = np.repeat(np.arange(len(starts)), lengths)
+    sizes = np.minimum(lengths, chunk_packets)
+    ts = packets.column("ts_us")
+    jump = next_starts(ts.fill_null(0).to_numpy(), packets.column("closes").fill_null(False).to_numpy(), rules,
+                       np.repeat(starts + lengths, lengths), ts.is_valid().to_numpy())
+    # Every chunk gets a place behind its last packet. Where a flow begins in the next chunk, the walk stands still.
+    first = starts + np.arange(len(starts))
+    walk = np.arange(n + len(starts))
+    inside = np.arange(n) - starts[number] < sizes[number]
+    at = np.arange(n) + number
+    walk[at[inside]] = (jump + number)[inside]
+    entries = np.minimum(sizes, rules.max_packets)
+    offsets = np.concatenate([[0], np.cumsum(entries)])
+    owner = np.repeat(np.arange(len(starts)), entries)
+    entered = first[owner] + np.arange(offsets[-1]) - offsets[:-1][owner]
+    bound = (first + sizes)[owner]
+    while (walk[entered] < bound).any():  # pointer doubling
+        walk = walk[walk]
+    exits = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array((walk[entered] - bound).astype(np.int32)))
+    heads = packets.select(KEYS).take(pa.array(starts)).combine_chunks()
+    return pa.record_batch([*[heads.column(k).combine_chunks() for k in KEYS], exits], [*KEYS, "exits"])
+
+
+def _exit_tables(rules: flows.FlowRules, chunk_packets: int, at_once: int = AT_ONCE):
+    """For packets sorted by chunk and position; a task holds `at_once` of them, or twice a longer chunk."""
+    def exits(batches):
+        held, rows, enough = [], 0, at_once
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows < enough:
+                continue
+            packets = pa.Table.from_batches(held)
+            starts = _chunk_starts(packets)
+            if cut := int(starts[-1]):  # the last chunk may go on
+                yield _exits_of(packets.slice(0, cut), starts[:-1], rules, chunk_packets)
+            held = packets.slice(cut).to_batches()
+            rows -= cut
+            enough = max(at_once, 2 * rows)
+        if rows:
+            packets = pa.Table.from_batches(held)
+            yield _exits_of(packets, _chunk_starts(packets), rules, chunk_packets)
 
     return exits
 
@@ -105,8 +161,8 @@ def segment_hot(keyed: DataFrame, rules: flows.FlowRules, carry: list[str], chun
 
     tables = stabilise(
         spread.select(*KEYS, "pos", "ts_us", flows.is_closing_packet().alias("closes"))
-        .groupBy(*KEYS).applyInPandas(
-            _exit_table(rules, chunk_packets), "flow_key string, chunk bigint, exits array<int>"))
+        .repartition(*KEYS).sortWithinPartitions(*KEYS, "pos").mapInArrow(
+            _exit_tables(rules, chunk_packets), "flow_key string, chunk bigint, exits array<int>"))
     chunks = tables.agg(F.max("chunk")).first()[0]
     entries = chunk_entries(tables, (chunks or 0) + 1, fan_in)
 

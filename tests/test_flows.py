@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import frame, packet, walk
 from pyspark.sql import functions as F
@@ -78,6 +80,37 @@ def test_hot_key_with_equal_times_only(spark):
     assert positions(hot) == walk(packets, RULES)
 
 
+def test_many_small_chunks_are_summarised_together():
+    rng, rows = np.random.default_rng(7), []
+    for key, chunk, n in [("a", c, 12) for c in range(30)] + [("b", 0, 3), ("c", 0, 1), ("c", 1, 40)]:
+        ts = np.cumsum(rng.choice([0, 1, 8, 40], n)) * SECOND
+        rows += [(key, chunk, None if key == "b" and i == 0 else int(t), bool(rng.random() < 0.2)) for i, t in enumerate(ts)]
+    table = pa.table(list(zip(*rows)), pa.schema([
+        ("flow_key", pa.string()), ("chunk", pa.int64()), ("ts_us", pa.int64()), ("closes", pa.bool_())]))
+    got = list(hot_keys._exit_tables(RULES, 10, at_once=100)(table.to_batches(max_chunksize=7)))
+    assert len(got) < 7  # not a call for each of the 33 chunks
+    found = {(r["flow_key"], r["chunk"]): r["exits"] for b in got for r in b.to_pylist()}
+    expected = {}
+    for key, chunk in dict.fromkeys(r[:2] for r in rows):
+        own = [r for r in rows if r[:2] == (key, chunk)]
+        packets = [(i, t, c) for i, (_, _, t, c) in enumerate(own)]
+        size, exits = min(10, len(own)), []
+        for at in range(min(size, RULES.max_packets)):
+            while at < size:
+                n, closing, start = 0, False, packets[at][1]
+                while True:
+                    _, t, closes = packets[at]
+                    n, closing, at = n + 1, closing or closes, at + 1
+                    late = None not in (t, start) and t - start > RULES.active_timeout
+                    if at == len(packets) or n >= RULES.max_packets or late or (closing and n >= RULES.min_closing_packets):
+                        break
+                    if None not in (t, packets[at][1]) and packets[at][1] - t > RULES.idle_timeout:
+                        break
+            exits.append(at - size)
+        expected[key, chunk] = exits
+    assert found == expected
+
+
 def test_heavy_keys_take_the_chunked_way(spark):
     import dataclasses
 
