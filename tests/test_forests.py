@@ -79,3 +79,19 @@ def test_boosting_makes_no_more_rounds_than_it_needs_to_stop(spark, monkeypatch)
     data = spark.range(400).selectExpr("rand(1) as a", "rand(2) as b", "cast(rand(3) > 0.5 as int) as y", "id % 2 = 0 as held")
     found = models.train_boosted(data, ["a", "b"], "y", "held", rounds=40, patience=3, maxDepth=2)
     assert made[0] == 4 and found.stop_round == found.best_round + 3
+
+
+def test_a_search_fits_and_judges_counted_rows(repeated, monkeypatch):
+    data = repeated.withColumn("fold", F.expr("cast(hash(a, b, y) % 7 = 0 as int)")).unionByName(
+        repeated.withColumn("fold", F.expr("cast(rand(3) < 0.5 as int)")))
+    learner, judge = models.random_forest(bootstrap=False, featureSubsetStrategy="all"), models.MulticlassClassificationEvaluator
+    draws = models.draw_params(learner, {"numTrees": [1], "maxDepth": [1, 3]}, 4, seed=5)
+    assert len({str(d) for d in draws}) == 2
+    evaluate, seen = judge.evaluate, []
+    monkeypatch.setattr(judge, "evaluate", lambda self, df, *a: seen.append(df.count()) or evaluate(self, df, *a))
+    grouped = models.search(data, ["a", "b"], "y", learner, draws, "fold", 2)
+    assert len(seen) == 8 and max(seen) <= 32  # 16 kinds with two labels at most, not thousands of rows
+    monkeypatch.setattr(models, "_search_groups", lambda *a: None)
+    rows = models.search(data, ["a", "b"], "y", learner, draws, "fold", 2)
+    assert grouped.avgMetrics == pytest.approx(rows.avgMetrics)
+    assert grouped.bestModel.stages[-1].getNumTrees == 1
