@@ -280,6 +280,18 @@ def test_nearest_flow_match(spark, partitions):
     assert len(got) == 60
 
 
+def test_values_are_not_sorted_to_match_flows(spark, monkeypatch):
+    seen, place = [], quality.placed
+    monkeypatch.setattr(quality, "placed", lambda df, *a: seen.extend(df.columns) or place(df, *a))
+    ext = spark.createDataFrame([("a", 5, 1, 2.0), ("a", 50, 2, 3.0), (None, 7, 3, 4.0), ("b", 1, 4, 1.0)], "flow_key string, start_us long, id long, x double")
+    lab = spark.createDataFrame([("a", 9, 8, 2.5), ("a", 1, 9, None), (None, 7, 7, 4.0)], "flow_key string, start_us long, id long, x double")
+    got = {r.id: (r.labelled_id, r.actual.v0, r.expected.v0) for r in quality.match_flows(ext, lab, ["x"]).collect()}
+    assert got == {1: (9, 2.0, None), 2: (8, 3.0, 2.5)}  # a flow without a key matches none
+    assert "actual" not in seen and "spot" in seen
+    judged = quality.compare_matched_flows(ext, lab, ["x"]).collect()
+    assert {(r.id, r.category, r.tolerance, r.passed) for r in judged} == {(2, "other", 0.2, True)}
+
+
 def test_relative_difference_and_tolerance(spark):
     df = spark.createDataFrame([("Flow Duration", 10.0, 13.0), ("Total Fwd Packets", 10.0, 11.0), ("x", 0.0, 5.0),
                                 ("y", 0.0, 0.0)], "feature string, expected double, actual double")
