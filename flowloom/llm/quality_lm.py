@@ -156,11 +156,11 @@ def probabilities(trained: DataFrame, wanted: DataFrame, order: int = ORDER) ->
     """`(g, p)` of every n-gram in `wanted` (g), by the counts `trained` (g, c): both stored tables. Other columns of `wanted` stay."""
     counts = {order: trained}
     for k in range(order - 1, 0, -1):  # how many different characters precede
-        counts[k] = counts[k + 1].groupBy(F.substring("g", 2, k).alias("g")).agg(F.count("*").alias("c"))
+        counts[k] = stabilise(counts[k + 1].groupBy(F.substring("g", 2, k).alias("g")).agg(F.count("*").alias("c")))
     discount = _discounts(counts)
     grams, more = {order: wanted}, [n for n in wanted.columns if n != "g"]
     for k in range(order - 1, 0, -1):
-        grams[k] = grams[k + 1].select(F.substring("g", 2, k).alias("g")).distinct()
+        grams[k] = stabilise(grams[k + 1].select(F.substring("g", 2, k).alias("g")).distinct())
     letters = grams[1].count() + 1
     lower = None
     for k in range(1, order + 1):
@@ -178,7 +178,10 @@ def probabilities(trained: DataFrame, wanted: DataFrame, order: int = ORDER) ->
                 lower.select(F.col("g").alias("suffix"), F.col("p").alias("p_below")), "suffix")
         p = F.when(F.col("total").isNull(), below).otherwise(
             F.coalesce(F.col("above"), F.lit(0.0)) / F.col("total") + F.col("freed") / F.col("total") * below)
+        # Stored order by order: one plan over all orders would make its tables again and again, and the driver would hold it.
         lower = suffixed.select("g", p.alias("p"), *(more if k == order else []))
+        if k < order:
+            lower = stabilise(lower)
     return lower
 
 
