@@ -133,6 +133,39 @@ def test_windows_have_the_hash_and_anchor_of_their_words_alone():
     assert not len(substring_dedup.windows(b" ".join([b"x"] * 49))[0])
 
 
+def test_windows_are_compared_by_stretches_and_not_one_by_one(spark):
+    shared = passage(np.random.default_rng(11), 2_000, 10**6)
+    docs = spark.createDataFrame([(1, shared, "", "", 0, ""), (2, f"{shared} more", "", "", 0, "")], DOCS)
+    (found,) = (r.found for r in substring_dedup.spans(docs).collect())
+    assert 0 < sum(f.kind == 2 for f in found) < 1_951 / 5
+
+
+@pytest.mark.parametrize("crowd", [substring_dedup.CROWD, 1])
+def test_repeated_windows_are_those_of_a_search(spark, crowd):
+    rng = np.random.default_rng(12)
+    pool = [passage(rng, 160, 10**6).split() for _ in range(4)]
+    docs = []
+    for i in range(40):
+        parts = [passage(rng, 20, 10**6)]
+        for _ in range(3):
+            own, (a, b) = pool[rng.integers(4)], sorted(rng.integers(0, 160, 2))
+            parts += [" ".join(own[a:b]), passage(rng, int(rng.integers(0, 30)), 10**6)]
+        docs.append((i // 2 if i > 35 else i, " ".join(parts)))
+    docs += [(50, "so " * 300), (51, "well " + "so " * 120), (52, "so " * 49)]
+    rows = spark.createDataFrame([(i, k, text) for k, (i, text) in enumerate(docs)], "id long, row long, text string")
+    least = {}
+    for i, text in docs:
+        said = text.split()
+        for w in range(len(said) - 49):
+            least[tuple(said[w:w + 50])] = min(i, least.get(tuple(said[w:w + 50]), i))
+    want = set()
+    for k, (i, text) in enumerate(docs):
+        said = text.split()
+        want |= {(k, p) for w in range(len(said) - 49) if least[tuple(said[w:w + 50])] < i for p in range(w, w + 50)}
+    got = substring_dedup._repeated_windows(rows, crowd).collect()
+    assert {(r.row, p) for r in got for p in range(r.start, r.end)} == want and len(want) > 2_000
+
+
 # 3
 def test_licences(spark, sf, odd, none):
     docs = spark.createDataFrame([(1, "Foo bar. Released under the MIT licence, the MIT License."), (2, license_scan.TEMPLATES["MIT"]),
