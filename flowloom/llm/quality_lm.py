@@ -31,7 +31,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.bounded import stabilise
-from .common import arrow_map, id_filter, may_contain, mix
+from .common import arrow_map, id_filter, may_contain, mix, sliced
 
 ORDER = 5
 #: Padding before a text, and the sign after it.
@@ -46,7 +46,11 @@ SLACK = 2.0
 #: Every fifth trusted document is not trained on and sets the thresholds.
 HELD_OUT = 5
 #: Characters that a task takes apart at once, new n-grams that it merges at once, and n-grams that it holds.
-CHUNK, FRESH, HELD = 500_000, 500_000, 1_000_000
+CHUNK, FRESH, HELD = 200_000, 300_000, 1_000_000
+#: N-grams that become strings at once.
+SPELT = 100_000
+#: Bytes of texts that a task has as Python strings.
+SLICE = 4 << 20
 
 
 def points(texts: list[str | None], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
@@ -109,17 +113,24 @@ class Counter:
     def merge(self) -> None:
         keys = np.concatenate([self.keys, *(k for k, _ in self.fresh)])
         counts = np.concatenate([self.counts, *(c for _, c in self.fresh)])
-        self.keys, where = np.unique(keys, return_inverse=True)
-        self.counts, self.fresh = np.bincount(where, counts, len(self.keys)).astype(np.int64), []
+        self.keys = self.counts = None
+        self.fresh = []
+        if len(keys):
+            by = np.argsort(keys)
+            keys, counts = keys[by], counts[by]
+            del by
+            first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+            keys, counts = keys[first], np.add.reduceat(counts, first)
+        self.keys, self.counts = keys, counts
 
     def flush(self):
         self.merge()
         letters = np.array(self.alphabet, np.uint32)
-        for at in range(0, len(self.keys), 500_000):
-            keys = self.keys[at:at + 500_000]
+        for at in range(0, len(self.keys), SPELT):
+            keys = self.keys[at:at + SPELT]
             digits = np.stack([keys // self.MOST ** (self.order - 1 - k) % self.MOST for k in range(self.order)], axis=1)
             grams = np.ascontiguousarray(letters[digits]).view(f"<U{self.order}").ravel()
-            yield pa.record_batch([pa.array(grams.tolist(), pa.string()), pa.array(self.counts[at:at + 500_000])], ["g", "c"])
+            yield pa.record_batch([pa.array(grams.tolist(), pa.string()), pa.array(self.counts[at:at + SPELT])], ["g", "c"])
         self.__init__(self.order)
 
 
@@ -127,7 +138,7 @@ def counted(texts: DataFrame, order: int = ORDER) -> DataFrame:
     """`(g, c)`: n-gram counts of a table with a column `text`."""
     def count(batches):
         counter = Counter(order)
-        for batch in batches:
+        for batch in sliced(batches, SLICE):
             rows = batch.column("text").to_pylist()
             for a, b in _chunks(rows):
                 yield from counter.add(*points(rows[a:b], order))
@@ -287,7 +298,7 @@ def scored(docs: DataFrame, probability: DataFrame, order: int = ORDER, most: in
 
     def score(batches):
         row = TaskContext.get().partitionId() << 40
-        for batch in batches:
+        for batch in sliced(batches, SLICE):
             texts = batch.column("text").to_pylist()
             for a, b in _chunks(texts):
                 at, starts = points(texts[a:b], order)

@@ -82,3 +82,13 @@ def test_look_up():
     h = np.arange(1, 5000, 3).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     shard = Shard(h, np.arange(1, len(h) + 1).astype(np.int32))
     assert (shard.look_up(h) == np.arange(1, len(h) + 1)).all() and not shard.look_up(h + np.uint64(1)).any()
+
+
+def test_a_task_spells_few_ngrams_at_once_and_counts_them_all():
+    letters = np.random.default_rng(4).integers(0x4E00, 0x4E00 + 3_000, 260_000)
+    text = "".join(map(chr, letters))
+    counter = quality_lm.Counter(3)
+    batches = [b for t in (text[:130_000], text[130_000:], text[:130_000]) for b in counter.add(*quality_lm.points([t], 3))]
+    batches += counter.flush()
+    assert max(b.num_rows for b in batches) <= 100_000
+    assert sum(sum(b.column("c").to_pylist()) for b in batches) == 3 * (130_000 + 1)
