@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowloom.functions.bounded import stabilise
+from flowloom.functions.bounded import scratch, stabilise
 from flowloom.llm import minhash_dedup, mixing, packing, quality_lm, substring_dedup
 from flowloom.llm.common import table
 
@@ -18,16 +18,20 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose perplexity is within the limit of their language. All rows of a doc_id go if one is rejected; without one the text decides."""
-    scores = quality_lm.classified(docs.withColumn("doc_id", minhash_dedup.node_id()), table(spark, sf_dir, "labels"))
-    return _without(docs, scores.where(~F.col("keep")).select("doc_id").distinct())
+    with scratch(spark) as keep:  # the rejected ids alone stay of what the operator stores
+        scores = quality_lm.classified(docs.withColumn("doc_id", minhash_dedup.node_id()), table(spark, sf_dir, "labels"))
+        rejected = keep(stabilise(scores.where(~F.col("keep")).select("doc_id").distinct()))
+    return _without(docs, rejected)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: word shingles of five, similarity 0.8. Rows without doc_id are documents by their text."""
     nameless = docs.where("doc_id is null").dropDuplicates(["text"])
     docs = docs.where("doc_id is not null").unionByName(nameless)
-    found = minhash_dedup.near_duplicates(docs.select(minhash_dedup.node_id().alias("doc_id"), "text"), width=5)
-    return _without(docs, found.where(~F.col("kept")).select("doc_id").distinct())
+    with scratch(spark) as keep:
+        found = minhash_dedup.near_duplicates(docs.select(minhash_dedup.node_id().alias("doc_id"), "text"), width=5)
+        rejected = keep(stabilise(found.where(~F.col("kept")).select("doc_id").distinct()))
+    return _without(docs, rejected)
 
 
 def substring(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -89,10 +89,9 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80, scheme:
         F.min("sig").alias("sig")))
     found = clusters(items, fetcher(docs, width), scheme, percent)
     # A document with several versions belongs to several classes: its id ties them together.
-    named = full.join(classes, "digest").select("id", "rep").distinct()
-    versions = named.where("id <> rep").join(
-        named.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"), "id", "left_semi")
-    if not versions.isEmpty():
+    several = full.groupBy("id").agg(F.min("digest").alias("least"), F.max("digest").alias("most")).where("least <> most").select("id")
+    if not several.isEmpty():
+        versions = full.join(several, "id", "left_semi").join(classes, "digest").select("id", "rep").where("id <> rep").distinct()
         found = components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).union(versions))
     of = found.select(F.col("node").alias("rep"), "component")
     labelled = rows.join(classes, "digest", "left").withColumn("rep", F.coalesce("rep", "id")).join(of, "rep", "left")

@@ -252,4 +252,5 @@ def clusters(items: DataFrame, fetch: Callable[[DataFrame], DataFrame], scheme:
         "least <> most").select("key")
     members = wide.join(open_keys, "key", "left_semi").join(items.select("id", "sig"), "id").select("key", "n", "id", "comp", "sig")
     more = stabilise(_all_links(members, fetch, scheme, percent))
-    return found if more.isEmpty() else components(edges.union(more))
+    # What is connected already goes on as stars: fewer links and rounds than from the start.
+    return found if more.isEmpty() else components(found.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v")).union(more))

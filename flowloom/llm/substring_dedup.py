@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.bounded import stabilise
+from ..functions.bounded import scratch, stabilise
 from .common import arrow_map, id_filter, may_contain, mix, shingle_hashes
 from .minhash_dedup import node_id
 from .near import Scheme, clusters, grouped
@@ -429,7 +429,8 @@ def cut(text: str, gone: list[tuple[int, int]]) -> tuple[str, list[dict]]:
 def deduplicated(docs: DataFrame, percent: int = 80) -> DataFrame:
     """`docs` with repeated passages cut from `text`, and `removed`: the spans `(start, length)` in the old text."""
     docs = docs.drop("removed")
-    found = spans(docs, percent)
+    with scratch(docs.sparkSession) as keep:  # the spans alone stay beside the texts
+        found = keep(stabilise(spans(docs, percent)))
     names = docs.columns
     keyed = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
 
