@@ -3,9 +3,10 @@
 import numpy as np
 import pytest
 from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import functions as F
 
-from flowloom.operators import forests, models
+from flowloom.operators import boosting, forests, models
 
 
 @pytest.fixture(scope="module")
@@ -95,3 +96,53 @@ def test_a_search_fits_and_judges_counted_rows(repeated, monkeypatch):
     rows = models.search(data, ["a", "b"], "y", learner, draws, "fold", 2)
     assert grouped.avgMetrics == pytest.approx(rows.avgMetrics)
     assert grouped.bestModel.stages[-1].getNumTrees == 1
+
+
+def _held(repeated):
+    return repeated.withColumn("held", F.col("a") * 7 % 3 + F.rand(4) < 0.7)
+
+
+def test_rounds_on_groups_are_those_of_their_rows(spark, repeated, tmp_path, monkeypatch):
+    from flowloom.functions.bounded import stabilise
+
+    data = stabilise(_held(repeated))
+    params = dict(subsamplingRate=1.0, maxDepth=2, stepSize=0.4, rounds=22, patience=30)  # past the rounds after which margins are stored
+    grouped = models.train_boosted(data, ["a", "b"], "y", "held", **params)
+    loaded = models.PipelineModel.load(_saved(grouped.model, tmp_path))
+    monkeypatch.setattr(boosting, "counted_rows", lambda *a: None)
+    rows = models.train_boosted(data, ["a", "b"], "y", "held", **params)
+    assert len(grouped.model.stages) > len(rows.model.stages)
+    assert grouped.losses == pytest.approx(rows.losses, rel=1e-9) and grouped.losses[0] > grouped.losses[-1]
+    assert (grouped.best_round, grouped.stop_round) == (rows.best_round, rows.stop_round)
+    a, b = (models.score(data, m).selectExpr("a", "b", "prediction", "round(confidence, 9)").distinct().collect() for m in (loaded, rows.model))
+    assert len(a) == 16 and set(a) == set(b)
+
+
+def _saved(model, folder):
+    model.write().overwrite().save(str(folder / "boosted"))
+    return str(folder / "boosted")
+
+
+def test_boosting_makes_each_round_once_on_counted_rows(spark, repeated, monkeypatch):
+    seen, fit = [], RandomForestRegressor.fit
+    monkeypatch.setattr(RandomForestRegressor, "fit", lambda self, data, params=None: seen.append(data.count()) or fit(self, data, params))
+    monkeypatch.setattr(models.GBTClassifier, "fit", None)
+    found = models.train_boosted(_held(repeated), ["a", "b"], "y", "held", rounds=12, patience=2, maxDepth=3)
+    assert len(seen) == found.stop_round == len(found.losses) <= 12 and max(seen) <= 32  # kinds and labels, not thousands of rows
+    assert len(found.model.stages[-1].trees) == found.best_round
+    assert found.losses[found.best_round - 1] == min(found.losses)
+    assert models.score(repeated, found.model).where("(prediction = 1) = (a > 4)").count() == 4000
+
+
+def test_leaves_of_groups_hold_the_least_rows(repeated):
+    few = models.train_boosted(_held(repeated), ["a", "b"], "y", "held", rounds=1, patience=3, minInstancesPerNode=1_000, maxDepth=5)
+    assert few.model.stages[-1].trees[0].numNodes <= 5  # some 2,900 rows to fit
+    assert models.train_boosted(_held(repeated), ["a", "b"], "y", "held", rounds=1, patience=3, maxDepth=5).model.stages[-1].trees[0].numNodes > 5
+
+
+@pytest.mark.parametrize("n,rate", [(1, 0.8), (7, 0.5), (40, 0.8), (249, 0.8), (251, 0.8), (5000, 0.8), (5000, 0.001), (30, 0.2)])
+def test_entering_counts_are_binomial(n, rate):
+    rng = np.random.default_rng(2)
+    x = boosting.binomial(np.full(100_000, float(n)), rate, rng.random(100_000), rng.random(100_000))
+    assert abs(x.mean() - n * rate) < 0.02 * np.sqrt(n * rate * (1 - rate)) and abs(x.var() / (n * rate * (1 - rate)) - 1) < 0.04
+    assert (x == np.rint(x)).all() and x.min() >= 0 and x.max() <= n
